@@ -10,7 +10,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .text import SPACE, _col, collapse_space, trim_space, unescape, word_count, words
+from .text import (
+    SPACE_CHARS, _col, apply_sql, collapse_space, let, sql_let, sql_literal, unescape, unescape_sql, word_count, words,
+)
 
 _ATTRS = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 # Comments and the bodies of script and style; whichever opens first wins.
@@ -25,12 +27,22 @@ def tag_pattern(name: str) -> str:
 
 def attribute(tag, name: str) -> Column:
     """Decoded attribute value of an opening tag, empty text for a bare attribute, NULL when absent."""
-    tag = _col(tag)
+    return apply_sql(_col(tag), "at", attribute_sql("at", name))
+
+
+def attribute_sql(tag: str, name: str) -> str:
+    """SQL text of :func:`attribute`; the captured value still has its quotes, which are cut off."""
     other = rf"(?:[\s/]+(?!{name}[\s=/>])[^\s=/>]++(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++))?+)*+"
     head = rf"(?is)^<\w+{other}[\s/]+{name}(?=[\s=/>])"
-    value = rf"{head}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-    found = F.concat(*[F.regexp_extract(tag, value, g) for g in (1, 2, 3)])
-    return F.when(tag.rlike(head), unescape(found))
+    value = sql_literal(rf"{head}(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
+    bare = f"if(aq rlike '^[\"\\']', substr(aq, 2, length(aq) - 2), aq)"
+    decoded = sql_let(f"regexp_extract({tag}, {value}, 1)", "aq", sql_let(bare, "av", unescape_sql("av")))
+    return f"if({tag} rlike {sql_literal(head)}, {decoded}, null)"
+
+
+def attribute_values(tags: Column, name: str) -> Column:
+    """Values of an attribute over an array of tags; tags without it are left out."""
+    return F.array_compact(F.call_function("transform", tags, F.expr(f"at -> {attribute_sql('at', name)}")))
 
 
 def markup(html) -> Column:
@@ -38,48 +50,68 @@ def markup(html) -> Column:
     return F.regexp_replace(_col(html), _HIDDEN, "")
 
 
+def _source(html, cleaned: bool) -> Column:
+    """``cleaned=True`` says that the column already holds ``markup``."""
+    return _col(html) if cleaned else markup(html)
+
+
 def inner_text(fragment) -> Column:
     """Text of an element: every text node trimmed, then joined without a separator."""
-    return trim_space(unescape(trim_space(F.regexp_replace(_col(fragment), rf"{SPACE}*{_TAG}{SPACE}*", ""))))
+    return apply_sql(_col(fragment), "ie", inner_text_sql("ie"))
+
 
+def inner_text_sql(fragment: str) -> str:
+    blanks = sql_literal(SPACE_CHARS)
+    joined = f"array_join(transform(split({fragment}, {sql_literal(_TAG)}), ip -> btrim(ip, {blanks})), '')"
+    return f"btrim({sql_let(joined, 'it', unescape_sql('it'))}, {blanks})"
 
-def page_title(html) -> Column:
+
+def page_title(html, cleaned: bool = False) -> Column:
     """Decoded ``<title>``; NULL when absent or empty."""
-    raw = F.regexp_extract(markup(html), r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>", 1)
+    raw = F.regexp_extract(_source(html, cleaned), r"(?is)<title(?=[\s>])[^>]*>(.*?)</title\s*>", 1)
     return F.nullif(unescape(raw), F.lit(""))
 
 
-def meta_description(html) -> Column:
+def meta_description(html, cleaned: bool = False) -> Column:
     """``content`` of the first ``<meta name="description">`` (exact-case name)."""
-    tags = F.regexp_extract_all(markup(html), F.lit(tag_pattern("meta")), F.lit(0))
-    return F.get(F.transform(F.filter(tags, lambda t: F.coalesce(attribute(t, "name") == "description", F.lit(False))),
-                             lambda t: attribute(t, "content")), F.lit(0))
+    tags = F.regexp_extract_all(_source(html, cleaned), F.lit(tag_pattern("meta")), F.lit(0))
+    named = f"mt -> coalesce({attribute_sql('mt', 'name')} = 'description', false)"
+    first = F.get(F.call_function("filter", tags, F.expr(named)), F.lit(0))
+    return attribute(first, "content")
 
 
-def first_h1(html) -> Column:
+def first_h1(html, cleaned: bool = False) -> Column:
     """Text of the first ``<h1>``; NULL when there is none."""
     pattern = r"(?is)<h1(?=[\s>])[^>]*>(.*?)(?:</h1\s*>|\z)"
-    source = markup(html)
+    source = _source(html, cleaned)
     return F.when(source.rlike(r"(?i)<h1[\s>]"), inner_text(F.regexp_extract(source, pattern, 1)))
 
 
-def heading_elements(html) -> Column:
+def heading_elements(html, cleaned: bool = False) -> Column:
     """Array of whole h2..h4 elements in document order."""
-    return F.regexp_extract_all(markup(html), F.lit(r"(?is)<(h[234])(?=[\s>])[^>]*>.*?</\1\s*>"), F.lit(0))
+    return F.regexp_extract_all(_source(html, cleaned), F.lit(r"(?is)<(h[234])(?=[\s>])[^>]*>.*?</\1\s*>"), F.lit(0))
 
 
-def link_tags(html) -> Column:
-    return F.regexp_extract_all(markup(html), F.lit(tag_pattern("a")), F.lit(0))
+def link_tags(html, cleaned: bool = False) -> Column:
+    return F.regexp_extract_all(_source(html, cleaned), F.lit(tag_pattern("a")), F.lit(0))
 
 
-def image_tags(html) -> Column:
-    return F.regexp_extract_all(markup(html), F.lit(tag_pattern("img")), F.lit(0))
+def image_tags(html, cleaned: bool = False) -> Column:
+    return F.regexp_extract_all(_source(html, cleaned), F.lit(tag_pattern("img")), F.lit(0))
 
 
 def strip_tags(fragment) -> Column:
     return F.regexp_replace(_col(fragment), _TAG, " ")
 
 
+def shown_text_sql(fragment: str) -> str:
+    """SQL text: tags to blanks, references decoded, white space collapsed."""
+    stripped = f"regexp_replace({fragment}, {sql_literal(_TAG)}, ' ')"
+    blanks = f"translate(st, {sql_literal(SPACE_CHARS)}, {sql_literal(' ' * len(SPACE_CHARS))})"
+    collapsed = f"trim(regexp_replace({blanks}, ' {{2,}}', ' '))"
+    return sql_let(sql_let(stripped, "sg", unescape_sql("sg")), "st", collapsed)
+
+
 def visible_text(html) -> Column:
     """All text outside scripts and styles, title included, white space collapsed."""
     shown = F.regexp_replace(_col(html), _HIDDEN, " ")
@@ -102,30 +134,27 @@ _ANCHOR = r"(?is)<a(?=[\s>])[^>]*>(.*?)</a\s*>"
 def main_blocks(html, max_link_share: float = 0.5) -> Column:
     """Ordered, de-duplicated text blocks of the page body without furniture or link lists."""
     pieces = F.split(F.regexp_replace(_col(html), _FURNITURE, "<br>"), _BLOCK)
-
-    def measure(piece: Column) -> Column:
-        linked = F.array_join(F.regexp_extract_all(piece, F.lit(_ANCHOR), F.lit(1)), " ")
-        return F.struct(
-            collapse_space(unescape(strip_tags(piece))).alias("text"),
-            F.length(collapse_space(unescape(strip_tags(linked)))).alias("linked"),
-        )
-
-    measured = F.transform(F.filter(pieces, lambda p: ~p.rlike(r"^\s*$")), measure)
-    kept = F.filter(measured, lambda b: (F.length(b["text"]) > 0)
-                    & (b["linked"] <= F.length(b["text"]) * F.lit(max_link_share)))
-    return F.array_distinct(F.transform(kept, lambda b: b["text"]))
+    linked = f"array_join(regexp_extract_all(bp, {sql_literal(_ANCHOR)}, 1), ' ')"
+    measure = f"named_struct('text', {shown_text_sql('bp')}, 'linked', length({sql_let(linked, 'ba', shown_text_sql('ba'))}))"
+    keep = f"bm.text <> '' and bm.linked <= length(bm.text) * cast({float(max_link_share)} as double)"
+    body = (f"array_distinct(transform(filter(transform(filter(bs, bp -> not bp rlike '^\\\\s*$'), bp -> {measure}), "
+            f"bm -> {keep}), bm -> bm.text))")
+    return apply_sql(pieces, "bs", body)
 
 
 def language_of(text, stopwords: Mapping[str, Sequence[str]]) -> Column:
     """Language whose stop words are most frequent; NULL when none occurs. Ties: first by name."""
-    tokens = words(F.lower(_col(text)))
-    scores = [
-        F.struct(F.size(F.filter(tokens, lambda w, s=listed: w.isin(*s))).alias("hits"),
-                 F.lit(-rank).alias("order"), F.lit(lang).alias("lang"))
-        for rank, (lang, listed) in enumerate(sorted(stopwords.items()))
-    ]
-    best = F.greatest(*scores)
-    return F.when(best["hits"] > 0, best["lang"])
+    def hits(tokens: Column, listed: Sequence[str]) -> Column:
+        return F.size(F.filter(tokens, lambda w: w.isin(*listed)))
+
+    def best(tokens: Column) -> Column:
+        return F.greatest(*[
+            F.struct(hits(tokens, listed).alias("hits"), F.lit(-rank).alias("order"), F.lit(lang).alias("lang"))
+            for rank, (lang, listed) in enumerate(sorted(stopwords.items()))
+        ])
+
+    winner = let(words(F.lower(_col(text))), best)
+    return let(winner, lambda w: F.when(w["hits"] > 0, w["lang"]))
 
 
 __all__ = [

@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-# The characters Python's str.split() and str.strip() treat as white space.
-_SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{_SPACES}]"
-NON_SPACE = f"[^{_SPACES}]"
+# Code points Python's str.split() and str.strip() treat as white space.
+SPACE_CHARS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
+
 
 # HTML named character references decoded without leaving the JVM.
 NAMED_ENTITIES = {
@@ -33,24 +35,50 @@ def _col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also inside lambdas where Spark shares nothing."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sql_literal(text: str) -> str:
+    """Spark SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` bound to ``value``, evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def apply_sql(value: Column, name: str, body: str) -> Column:
+    """:func:`let` with a SQL body: one parse instead of one call per node, so plans build fast."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
+
+
 def trim_space(text) -> Column:
     """Python ``strip()``: every Unicode white space, not only blanks."""
-    return F.regexp_replace(_col(text), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(text), F.lit(SPACE_CHARS))
+
+
+def blank_space(text) -> Column:
+    """Every white-space character as a blank. Character mapping, much cheaper than a regex class."""
+    return F.translate(_col(text), SPACE_CHARS, " " * len(SPACE_CHARS))
 
 
 def collapse_space(text) -> Column:
     """Runs of white space become one blank; ends trimmed."""
-    return F.trim(F.regexp_replace(_col(text), rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(blank_space(text), " {2,}", " "))
 
 
 def words(text) -> Column:
     """Python ``split()``: white-space tokens, empty array for empty text."""
-    return F.array_remove(F.split(_col(text), rf"{SPACE}+"), "")
+    return F.array_remove(F.split(blank_space(text), " "), "")
 
 
 def word_count(text) -> Column:
     """Number of white-space tokens; 0 for NULL or empty text."""
-    return F.coalesce(F.regexp_count(_col(text), F.lit(rf"{NON_SPACE}+")), F.lit(0))
+    return F.coalesce(F.size(words(F.coalesce(_col(text), F.lit("")))), F.lit(0))
 
 
 def title_case(text) -> Column:
@@ -61,18 +89,12 @@ def title_case(text) -> Column:
 
 def slug(text, max_length: int = 50) -> Column:
     """File-name form: word characters only, hyphens for blanks, cut, then hyphens trimmed."""
-    kept = F.regexp_replace(_col(text), rf"[^\p{{L}}\p{{N}}_\-{_SPACES}]", "")
-    hyphened = F.regexp_replace(kept, rf"[-{_SPACES}]+", "-")
+    kept = F.regexp_replace(blank_space(text), r"[^\p{L}\p{N}_\- ]", "")
+    hyphened = F.regexp_replace(kept, "[- ]+", "-")
     cut = F.regexp_replace(F.substring(hyphened, 1, max_length), r"^-+|-+$", "")
     return or_default(F.lower(cut), "untitled")
 
 
-def _code_point(number: Column) -> Column:
-    """Character for a code point; U+FFFD for zero, surrogates and out-of-range numbers."""
-    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-
-
 @F.pandas_udf(StringType())
 def _unescape_every_name(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
@@ -85,28 +107,27 @@ def unescape(text, every_name: bool = False) -> Column:
     so ``&amp;lt;`` gives ``&lt;``. Text without ``&`` is returned untouched. ``every_name=True``
     covers the full HTML5 name list through an Arrow batch function.
     """
-    text = _col(text)
-    if every_name:
-        return _unescape_every_name(text)
-    names = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
-
-    def decode(piece: Column, index: Column) -> Column:
-        ref = F.regexp_extract(piece, _ENTITY, 1)
-        tail = F.substr(piece, F.length(ref) + 2)
-        hexa = F.conv(F.substr(ref, F.lit(3)), 16, 10).cast("long")
-        deci = F.substr(ref, F.lit(2)).cast("long")
-        char = (
-            F.when(ref == "", None)
-            .when(ref.rlike("^#[xX]"), _code_point(hexa))
-            .when(ref.startswith("#"), _code_point(deci))
-            .otherwise(F.try_element_at(names, ref))
-        )
-        return F.when(index == 0, piece).when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(
-            F.concat(char, tail)
-        )
+    return _unescape_every_name(_col(text)) if every_name else apply_sql(_col(text), "ut", unescape_sql("ut"))
+
 
-    decoded = F.array_join(F.transform(F.split(text, "&"), decode), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+def unescape_sql(text: str) -> str:
+    """SQL text of :func:`unescape`; ``text`` is a column or lambda variable.
+
+    Cuts at ``&``, decodes the reference each piece starts with and joins again. Code points outside
+    Unicode become U+FFFD.
+    """
+    names = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in NAMED_ENTITIES.items())
+    code = sql_let(
+        "if(up.ref rlike '^#[xX]', cast(conv(substr(up.ref, 3), 16, 10) as bigint), cast(substr(up.ref, 2) as bigint))",
+        "un", "if(un between 1 and 1114111 and un not between 55296 and 57343, "
+              "decode(unhex(lpad(hex(un), 8, '0')), 'UTF-32'), '\ufffd')")
+    find = (f"named_struct('piece', ux, 'cut', ui > 0, 'ref', "
+            f"if(ui > 0, regexp_extract(ux, {sql_literal(_ENTITY)}, 1), ''))")
+    char = f"case when up.ref = '' then null when up.ref like '#%' then {code} else try_element_at(map({names}), up.ref) end"
+    decode = f"named_struct('piece', up.piece, 'cut', up.cut, 'n', length(up.ref), 'char', {char})"
+    rebuild = "coalesce(uq.char || substr(uq.piece, uq.n + 2), if(uq.cut, '&' || uq.piece, uq.piece))"
+    pieces = f"transform(transform(split({text}, '&'), (ux, ui) -> {find}), up -> {decode})"
+    return f"if(contains({text}, '&'), array_join(transform({pieces}, uq -> {rebuild}), ''), {text})"
 
 
 def ellipsis(text, n: int = 40, empty: str = "No title") -> Column:
@@ -124,7 +145,8 @@ def fmt(value, spec: str) -> Column:
         width = int(spec[:-1])
         return F.format_string(f"%0{width}d", value.cast("long"))
     if spec.endswith("f"):
-        return F.format_string(f"%{spec}", value.cast("double"))
+        pattern = "0" if int(spec[1:-1]) == 0 else "0." + "0" * int(spec[1:-1])
+        return F.call_function("format_number", value.cast("double"), F.lit(pattern))
     if spec == "iso":
         base = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
         micros = F.date_format(value, "SSSSSS")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import _col, or_default, title_case
+from .text import _col, apply_sql, or_default, sql_let, sql_literal, title_case
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _GROUP = {"PROTOCOL": 1, "AUTHORITY": 2, "PATH": 3, "QUERY": 4, "REF": 5}
@@ -47,6 +47,15 @@ def percent_decode(text) -> Column:
     ).otherwise(text)
 
 
+def url_parts(url) -> Column:
+    """All parts as one struct: ``scheme, authority, path, query, ref, root``."""
+    url = _col(url)
+    return F.struct(
+        url_part(url, "PROTOCOL").alias("scheme"), url_part(url, "AUTHORITY").alias("authority"),
+        url_part(url, "PATH").alias("path"), url_part(url, "QUERY").alias("query"), url_part(url, "REF").alias("ref"),
+        url_root(url).alias("root"))
+
+
 def _unsplit(scheme: Column, authority: Column, path: Column, query: Column, ref: Column) -> Column:
     rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     return F.concat(
@@ -56,58 +65,74 @@ def _unsplit(scheme: Column, authority: Column, path: Column, query: Column, ref
     )
 
 
-def _remove_dots(path: Column) -> Column:
-    def step(done: Column, segment: Column) -> Column:
-        return (
-            F.when(segment == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
-            .when(segment == ".", done)
-            .otherwise(F.concat(done, F.array(segment)))
-        )
-
-    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
-    joined = F.array_join(kept, "/")
-    ends_in_dots = path.rlike(r"(?:^|/)\.{1,2}$")
-    return or_default(
-        F.when(ends_in_dots & (F.size(kept) > 0), F.concat(joined, F.lit("/"))).otherwise(joined), "/"
-    )
-
-
-def url_join(base, ref) -> Column:
+def url_join(base, ref, base_parts: Column | None = None) -> Column:
     """Resolve ``ref`` against an absolute http(s) ``base`` as Python's ``urljoin`` does.
 
     Empty ``?`` and ``#`` are dropped, runs of ``/`` collapse only in relative paths, and
-    references with another scheme (``mailto:``) come back unchanged.
+    references with another scheme (``mailto:``) come back unchanged. The common ``/path`` form takes one
+    test and one concatenation; ``base_parts`` passes a precomputed ``url_parts(base)``.
     """
-    base = _col(base)
-    ref = F.regexp_replace(F.regexp_replace(_col(ref), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    scheme, authority = url_part(base, "PROTOCOL"), url_part(base, "AUTHORITY")
-    r_scheme, r_path = url_part(ref, "PROTOCOL"), url_part(ref, "PATH")
-    r_query, r_ref = url_part(ref, "QUERY"), url_part(ref, "REF")
-
-    folder = or_default(F.regexp_replace(url_part(base, "PATH"), r"[^/]*$", ""), "/")
-    merged = F.when(r_path.startswith("/"), r_path).otherwise(
-        F.regexp_replace(F.concat(folder, r_path), r"/{2,}", "/")
-    )
-    resolved = F.when(merged.rlike(_DOTS), _remove_dots(merged)).otherwise(merged)
-    plain_rooted = ref.rlike(r"^(?=/)(?!//)(?!.*(?:[?#]|/\.))")
+    base, ref = _col(base), _col(ref)
+    parts = url_parts(base) if base_parts is None else base_parts
+    root = url_root(base) if base_parts is None else base_parts["root"]
     return (
-        F.when(ref == "", base)
-        .when(plain_rooted, F.concat(scheme, F.lit("://"), authority, ref))
-        .when((r_scheme != "") & (r_scheme != scheme), ref)
-        .when(url_part(ref, "AUTHORITY") != "",
-              _unsplit(scheme, url_part(ref, "AUTHORITY"), r_path, r_query, r_ref))
-        .when(r_path == "",
-              _unsplit(scheme, authority, url_part(base, "PATH"),
-                       F.when(r_query != "", r_query).otherwise(url_part(base, "QUERY")), r_ref))
-        .otherwise(_unsplit(scheme, authority, resolved, r_query, r_ref))
+        F.when(ref.rlike(r"^(?=/)(?!//)(?!.*(?:[\s?#]|/\.))"), F.concat(root, ref))
+        .when(ref.rlike(r"^https?://[^\s/?#]+/[^\s?#]*$"), ref)
+        .otherwise(_resolve(base, parts, ref))
     )
 
 
-def link_class(target, page_url) -> Column:
+def _resolve(base: Column, base_parts: Column, ref: Column) -> Column:
+    cleaned = F.regexp_replace(F.regexp_replace(ref, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    bound = F.struct(base.alias("base"), base_parts.alias("b"), cleaned.alias("ref"))
+    return apply_sql(bound, "j", _RESOLVE)
+
+
+def _unsplit_sql(scheme: str, authority: str, path: str, query: str, ref: str) -> str:
+    rooted = f"if({path} = '' or {path} like '/%', {path}, '/' || {path})"
+    return (f"{scheme} || '://' || {authority} || {rooted} || if({query} <> '', '?' || {query}, '') "
+            f"|| if({ref} <> '', '#' || {ref}, '')")
+
+
+def _resolve_sql() -> str:
+    """SQL over ``j`` (base, its parts ``b``, the cleaned ``ref``), following RFC 3986 section 5.2.
+
+    Dot segments are folded left to right: ``.`` is dropped, ``..`` removes its predecessor.
+    """
+    split = sql_literal(_SPLIT)
+    parts = ", ".join(
+        f"'{name}', {'lower' if name == 'scheme' else ''}(regexp_extract(j.ref, {split}, {group}))"
+        for name, group in (("scheme", 1), ("authority", 2), ("path", 3), ("query", 4), ("ref", 5)))
+    step = ("(done, seg) -> case when seg = '..' then slice(done, 1, greatest(size(done) - 1, 0)) "
+            "when seg = '.' then done else concat(done, array(seg)) end")
+    folded = f"aggregate(split(m, '/'), cast(array() as array<string>), {step})"
+    ends_in_dots = sql_literal(r"(?:^|/)\.{1,2}$")
+    joined = f"array_join(kept, '/') || if(m rlike {ends_in_dots} and size(kept) > 0, '/', '')"
+    undotted = sql_let(sql_let(folded, "kept", joined), "u", "if(u = '', '/', u)")
+    resolved = f"if(m rlike {sql_literal(_DOTS)}, {undotted}, m)"
+    folder = sql_let("regexp_replace(j.b.path, '[^/]*$', '')", "f", "if(f = '', '/', f)")
+    merged = f"if(r.path like '/%', r.path, regexp_replace({folder} || r.path, '/{{2,}}', '/'))"
+    full_path = sql_let(sql_let(merged, "m", resolved), "p", _unsplit_sql("j.b.scheme", "j.b.authority", "p", "r.query", "r.ref"))
+    query = "if(r.query <> '', r.query, j.b.query)"
+    body = (
+        "case when j.ref = '' then j.base when r.scheme <> '' and r.scheme <> j.b.scheme then j.ref "
+        f"when r.authority <> '' then {_unsplit_sql('j.b.scheme', 'r.authority', 'r.path', 'r.query', 'r.ref')} "
+        f"when r.path = '' then {_unsplit_sql('j.b.scheme', 'j.b.authority', 'j.b.path', query, 'r.ref')} "
+        f"else {full_path} end")
+    return sql_let(f"named_struct({parts})", "r", body)
+
+
+_RESOLVE = _resolve_sql()
+
+
+def link_class(target, page_url, base_parts: Column | None = None) -> Column:
     """``internal`` for the page's own authority (port included), ``external`` for other http(s), else NULL."""
     target = _col(target)
+    root = url_root(page_url) if base_parts is None else base_parts["root"]
+    authority = url_part(page_url, "AUTHORITY") if base_parts is None else base_parts["authority"]
     return (
-        F.when(url_part(target, "AUTHORITY") == url_part(page_url, "AUTHORITY"), "internal")
+        F.when(F.startswith(target, F.concat(root, F.lit("/"))), "internal")
+        .when(url_part(target, "AUTHORITY") == authority, "internal")
         .when(url_part(target, "PROTOCOL").isin("http", "https"), "external")
     )
 

@@ -69,15 +69,16 @@ def exclusion_values(text, lexicon: Lexicon = DEFAULT, reference_groups: bool =
     ``reference_groups=True`` keeps a pattern's own group instead of what follows it.
     """
     lowered = F.lower(text)
-    found = []
-    for pattern in lexicon.exclusion_patterns:
+
+    def statements(pattern: str) -> Column:
         if reference_groups and group_count(pattern):
-            statements = _matches(lowered, f"{pattern}[^.]*", 1)
-        else:
-            statements = F.transform(_matches(lowered, f"{pattern}[^.]*", 0),
-                                     lambda m, p=pattern: F.regexp_replace(m, f"^(?:{p})", ""))
-        found.append(F.flatten(F.transform(statements, lambda m: noun_phrases(m, lexicon.noun_stopwords))))
-    return _all(found)
+            return _matches(lowered, f"{pattern}[^.]*", 1)
+        return F.transform(_matches(lowered, f"{pattern}[^.]*", 0),
+                           lambda m: F.regexp_replace(m, f"^(?:{pattern})", ""))
+
+    return _all(
+        F.flatten(F.transform(statements(p), lambda m: noun_phrases(m, lexicon.noun_stopwords)))
+        for p in lexicon.exclusion_patterns)
 
 
 def copyright_values(text) -> Column:
@@ -187,34 +188,17 @@ def service_phrases(pages: DataFrame, lexicon: Lexicon = DEFAULT, all_pages: boo
     return explode_facet(source, "services", service_phrase_values(F.col("text_content"), lexicon))
 
 
-def heading_services(headings: DataFrame, lexicon: Lexicon = DEFAULT, n_pages: int = 10) -> DataFrame:
-    """Services named by the h2 headings of each site's first pages.
-
-    ``headings`` are child rows with ``crawl_seq``; pages are ranked by it before headings are read.
-    """
-    wanted = headings.filter(F.col("level") == "h2")
-    return _of_first_pages(wanted, n_pages).filter(T.contains_any("text", lexicon.heading_words)).select(
-        "site_id", "url", F.lit("services").alias("facet"), F.col("text").alias("value"))
-
-
-def link_services(links: DataFrame, lexicon: Lexicon = DEFAULT, n_pages: int = 10, n_links: int = 50) -> DataFrame:
-    """Services named by the first internal links of each site's first pages.
-
-    ``links`` are child rows with ``crawl_seq`` and ``link_pos``, the position among internal links.
-    """
-    wanted = links.filter(F.col("link_pos") < n_links)
-    return (
-        _of_first_pages(wanted, n_pages).filter(T.contains_any("target", lexicon.link_words))
-        .select("site_id", "url", F.lit("services").alias("facet"), last_segment_phrase("target").alias("value"))
-        .filter(F.col("value").isNotNull())
-    )
+def heading_services(pages: DataFrame, lexicon: Lexicon = DEFAULT, n_pages: int = 10) -> DataFrame:
+    """Services named by the h2 headings (``headings`` map) of each site's first pages."""
+    head = first_pages(pages.select("site_id", "crawl_seq", "url", "headings"), n_pages)
+    return explode_facet(head, "services", heading_service_values(
+        F.try_element_at("headings", F.lit("h2")), lexicon))
 
 
-def _of_first_pages(children: DataFrame, n_pages: int) -> DataFrame:
-    if "page_rank" in children.columns:
-        return children.filter(F.col("page_rank") <= n_pages)
-    heads = first_pages(children.select("site_id", "crawl_seq").distinct(), n_pages)
-    return children.join(heads, ["site_id", "crawl_seq"], "left_semi")
+def link_services(pages: DataFrame, lexicon: Lexicon = DEFAULT, n_pages: int = 10, n_links: int = 50) -> DataFrame:
+    """Services named by the first ``internal_links`` of each site's first pages."""
+    head = first_pages(pages.select("site_id", "crawl_seq", "url", "internal_links"), n_pages)
+    return explode_facet(head, "services", link_service_values(F.col("internal_links"), lexicon, n_links))
 
 
 def exclusions(pages: DataFrame, lexicon: Lexicon = DEFAULT, reference_groups: bool = False) -> DataFrame:

@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H, urls as U
-from ..functions.text import or_default, word_count
+from ..functions.text import let, or_default, word_count
 from ..lexicons import LANGUAGE_STOPWORDS
 
 LEVELS = ("h2", "h3", "h4")
 
 
-def _of_level(elements, level: str) -> Column:
-    return F.transform(
-        F.filter(elements, lambda e: F.lower(F.substr(e, F.lit(2), F.lit(2))) == level), H.inner_text
-    )
+def _of_level(elements: Column, level: str) -> Column:
+    same = F.call_function("filter", elements, F.expr(f"he -> lower(substr(he, 2, 2)) = '{level}'"))
+    return F.call_function("transform", same, F.expr(f"he -> {H.inner_text_sql('he')}"))
 
 
 def page_headings(df: DataFrame, levels=LEVELS, site_col: str = "site_id") -> DataFrame:
@@ -29,9 +28,9 @@ def page_headings(df: DataFrame, levels=LEVELS, site_col: str = "site_id") -> Da
     )
 
 
-def headings_map(html) -> Column:
+def headings_map(html, cleaned: bool = False) -> Column:
     """Level to texts; all three levels are always present."""
-    found = H.heading_elements(html)
+    found = H.heading_elements(html, cleaned)
     return F.create_map(*[x for level in LEVELS for x in (F.lit(level), _of_level(found, level))])
 
 
@@ -40,19 +39,20 @@ def page_links(df: DataFrame, site_col: str = "site_id") -> DataFrame:
 
     ``link_class`` is internal, external or NULL (mailto:, javascript:, tel: and the like).
     """
-    hrefs = F.filter(F.transform(H.link_tags("html"), lambda t: H.attribute(t, "href")), lambda h: h.isNotNull())
+    base = F.col("_base")
     return (
-        df.select(site_col, "url", F.posexplode(hrefs).alias("pos", "href"))
-        .withColumn("target", U.url_join("url", "href"))
-        .withColumn("link_class", U.link_class("target", "url"))
+        df.select(site_col, "url", U.url_parts("url").alias("_base"),
+                  F.posexplode(H.attribute_values(H.link_tags("html"), "href")).alias("pos", "href"))
+        .withColumn("target", U.url_join("url", "href", base))
+        .withColumn("link_class", U.link_class("target", "url", base))
+        .drop("_base")
     )
 
 
 def page_images(df: DataFrame, site_col: str = "site_id") -> DataFrame:
     """Every ``<img src>`` resolved against its page."""
-    sources = F.filter(F.transform(H.image_tags("html"), lambda t: H.attribute(t, "src")), lambda s: s.isNotNull())
     return (
-        df.select(site_col, "url", F.posexplode(sources).alias("pos", "src"))
+        df.select(site_col, "url", F.posexplode(H.attribute_values(H.image_tags("html"), "src")).alias("pos", "src"))
         .withColumn("src", U.url_join("url", "src"))
     )
 
@@ -107,20 +107,26 @@ def parse_pages(df: DataFrame, article_text: bool = True, target_language: str |
         df = main_text(df, target_language)
     else:
         df = df.withColumn("text_content", H.visible_text("html"))
-    hrefs = F.filter(F.transform(H.link_tags("html"), lambda t: H.attribute(t, "href")), lambda h: h.isNotNull())
-    sources = F.filter(F.transform(H.image_tags("html"), lambda t: H.attribute(t, "src")), lambda s: s.isNotNull())
-    df = df.withColumn("_links", F.transform(hrefs, lambda h: U.url_join("url", h)))
+    base = F.col("_base")
+    df = df.withColumn("_markup", H.markup("html")).withColumn("_base", U.url_parts("url"))
+
+    def resolve(href: Column) -> Column:
+        return let(U.url_join("url", href, base), lambda t: F.struct(
+            t.alias("target"), U.link_class(t, F.col("url"), base).alias("kind")))
+
+    df = df.withColumn("_links", F.transform(H.attribute_values(H.link_tags("_markup", True), "href"), resolve))
 
     def links_of(kind: str) -> Column:
-        return F.filter("_links", lambda t: F.coalesce(U.link_class(t, F.col("url")) == kind, F.lit(False)))
+        chosen = F.filter("_links", lambda x: F.coalesce(x["kind"] == kind, F.lit(False)))
+        return F.transform(chosen, lambda x: x["target"])
 
+    images = F.transform(H.attribute_values(H.image_tags("_markup", True), "src"), lambda s: U.url_join("url", s, base))
     return df.select(
         site_col, seq.cast("bigint").alias("crawl_seq"), "url", status.cast("int").alias("status_code"),
-        H.page_title("html").alias("title"), H.meta_description("html").alias("meta_description"),
-        H.first_h1("html").alias("h1"), headings_map("html").alias("headings"),
+        H.page_title("_markup", True).alias("title"), H.meta_description("_markup", True).alias("meta_description"),
+        H.first_h1("_markup", True).alias("h1"), headings_map("_markup", True).alias("headings"),
         or_default("text_content", "").alias("text_content"),
         links_of("internal").alias("internal_links"), links_of("external").alias("external_links"),
-        F.transform(sources, lambda s: U.url_join("url", s)).alias("images"),
-        word_count("text_content").cast("int").alias("word_count"),
+        images.alias("images"), word_count("text_content").cast("int").alias("word_count"),
         (crawled_at if crawled_at is not None else F.lit(None).cast("timestamp")).alias("crawled_at"),
     )

@@ -29,6 +29,17 @@ def build_session(app_name: str = "sitelode", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small input over the cores before CPU-heavy expressions.
+
+    Only an input with fewer splits than the cluster has cores is repartitioned (by a unique key, so evenly);
+    a large table already has more splits and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores, *keys) if splits < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``.
 
@@ -59,5 +70,5 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     Above the limit the frame is returned unhinted: the join is then planned by size, and AQE
     may still turn it into a broadcast, or split skewed partitions, from measured sizes.
     """
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if estimate <= limit else df
