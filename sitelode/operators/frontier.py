@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable
+from ..session import durable_layout, scratch_path
 from .ranking import top_n
 from .robots_filter import robots_allowed
 
@@ -39,42 +37,44 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, rules: DataFrame | None =
     """Pages reached per site: ``site_id, url, depth`` (depth 0 = seed).
 
     ``edges`` has ``site_id, src, dst, pos``; the first ``links_per_page`` links of a page are followed.
-    Per level: links of the new pages, minus visited, minus disallowed, capped so that a site never
-    exceeds ``max_pages`` (order: depth, then URL). A disallowed URL counts as visited but not as a
-    page. With ``stored``, URLs that have no stored page yield nothing either. Each level is written to
-    the checkpoint folder, which also ends its lineage; the driver only learns whether it was empty.
+    Per level: links of the new pages, minus pages already taken, minus disallowed, capped so that a site
+    never exceeds ``max_pages`` (order: depth, then URL). A disallowed URL is neither a page nor followed.
+    With ``stored``, URLs that have no stored page yield nothing either.
+
+    Each level is one table under the shared folder (``depth=k``), so lineage does not grow and all
+    earlier levels read as a single relation; the driver only learns whether a level was empty. Edges are
+    partitioned once by page; a level either moves to them or, when small, is broadcast.
     """
-    followed = durable(
+    spark = edges.sparkSession
+    base = scratch_path(spark, "frontier")
+    followed = durable_layout(
         edges.filter(F.col("pos") < links_per_page).select("site_id", F.col("src").alias("url"), "dst")
         .distinct().repartition("site_id", "url"))
-    levels: list[DataFrame] = []
-    seen: list[DataFrame] = []
-    fresh = seeds.select(*KEY).distinct()
+
+    def taken() -> DataFrame:
+        return spark.read.schema("site_id string, url string, depth int").parquet(base)
+
+    found = seeds.select(*KEY).distinct()
     depth = 0
     while max_depth is None or depth <= max_depth:
-        if seen:
-            fresh = minus_visited(fresh, reduce(DataFrame.unionByName, seen))
-        fresh = durable(fresh)
-        if fresh.isEmpty():
-            break
-        seen.append(fresh)
-        open_pages = fresh if rules is None else robots_allowed(fresh, rules)
+        if depth:
+            found = minus_visited(found, taken())
+        if rules is not None:
+            found = robots_allowed(found, rules)
         if stored is not None:
-            open_pages = open_pages.join(stored.select(*KEY).distinct(), KEY, "left_semi")
-        taken = top_n(open_pages, ["site_id"], ["url"], max_pages, "_n")
-        if levels:
-            used = reduce(DataFrame.unionByName, levels).groupBy("site_id").agg(F.count(F.lit(1)).alias("_used"))
-            taken = taken.join(used, "site_id", "left").filter(
+            found = found.join(stored.select(*KEY).distinct(), KEY, "left_semi")
+        level = top_n(found, ["site_id"], ["url"], max_pages, "_n")
+        if depth:
+            used = taken().groupBy("site_id").agg(F.count(F.lit(1)).alias("_used"))
+            level = level.join(used, "site_id", "left").filter(
                 F.col("_n") + F.coalesce("_used", F.lit(0)) <= max_pages)
-        level = durable(taken.select(*KEY, F.lit(depth).alias("depth")))
-        if level.isEmpty():
+        level.select(*KEY).write.parquet(f"{base}/depth={depth}")
+        fresh = spark.read.schema(seeds.select(*KEY).schema).parquet(f"{base}/depth={depth}")
+        if fresh.isEmpty():
             break
-        levels.append(level)
-        fresh = level.join(followed, KEY).select("site_id", F.col("dst").alias("url")).distinct()
+        found = fresh.join(followed, KEY).select("site_id", F.col("dst").alias("url")).distinct()
         depth += 1
-    if not levels:
-        return seeds.select(*KEY, F.lit(0).alias("depth")).limit(0)
-    return reduce(DataFrame.unionByName, levels)
+    return taken()
 
 
 def coverage(frontier: DataFrame, pages: DataFrame) -> DataFrame:

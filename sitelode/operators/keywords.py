@@ -320,7 +320,7 @@ def content_mix(calendar: DataFrame, quota: Mapping[str, int]) -> DataFrame:
 # US spelling to UK spelling for the spelling check.
 UK_SPELLINGS = {
     "color": "colour", "favor": "favour", "behavior": "behaviour", "center": "centre", "theater": "theatre",
-    "organize": "organise", "optimize": "optimise", "analyze": "analyse", "license": "licence", "defense": "defence",
+    "organize": "organise", "optimize": "optimise", "analyze": "analyse", "defense": "defence",
     "catalog": "catalogue", "dialog": "dialogue", "traveling": "travelling", "modeling": "modelling",
 }
 

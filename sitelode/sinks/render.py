@@ -43,7 +43,7 @@ def keywords_csv(keywords: DataFrame) -> DataFrame:
 def clusters_json(clusters: DataFrame, keywords: DataFrame) -> DataFrame:
     """``id, content``: id, label, pillar, total volume and member count of each cluster."""
     sizes = cluster_sizes(keywords).withColumnRenamed("cluster_id", "id")
-    counted = clusters.join(sizes, "id", "left").withColumn("members_count", F.coalesce("members_count", F.lit(0)))
+    counted = clusters.drop("members_count").join(sizes, "id", "left").withColumn("members_count", F.coalesce("members_count", F.lit(0)))
     return counted.select("id", T.to_json_record("id", "label", "pillar", "total_volume", "members_count").alias("content"))
 
 

@@ -28,6 +28,6 @@ def text_pages(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_report(spark: SparkSession, path: str, schema: str = REPORT) -> DataFrame:
-    """Load a written JSON report back with a declared schema (multi-line files allowed)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_report(spark: SparkSession, path: str, schema: str = REPORT, multi_line: bool = True) -> DataFrame:
+    """Load JSON reports back with a declared schema: pretty-printed files, or JSON lines."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)

@@ -57,7 +57,7 @@ def stage_durations(log: DataFrame) -> DataFrame:
     """
     following = F.lead("updated_at").over(Window.partitionBy("job_id").orderBy("updated_at", "seq"))
     return log.withColumn("next_at", following).withColumn(
-        "seconds", F.col("next_at").cast("double") - F.col("updated_at").cast("double"),
+        "seconds", F.timestamp_diff("MICROSECOND", F.col("updated_at"), F.col("next_at")) / 1e6,
     ).select("job_id", "seq", "status", "updated_at", "next_at", "seconds")
 
 
@@ -66,4 +66,4 @@ def job_durations(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(
         F.min("updated_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
         F.max(F.when(F.col("status") == "completed", F.col("updated_at"))).alias("completed_at"),
-    ).withColumn("seconds", F.col("updated_at").cast("double") - F.col("created_at").cast("double"))
+    ).withColumn("seconds", F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("updated_at")) / 1e6)
