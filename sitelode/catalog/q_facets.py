@@ -189,8 +189,7 @@ def entity_dict(spark, sf_dir):
     """Words and word pairs of the benchmark texts as an entity dictionary, labelled by length."""
     from ..functions import text as T
 
-    tokens = F.filter(F.transform(T.words(F.lower("text")), X.strip_punctuation), lambda w: w != "")
-    terms = I.table(spark, sf_dir, "benchmark").select(tokens.alias("t")).select(
+    terms = I.table(spark, sf_dir, "benchmark").select(T.plain_tokens("text").alias("t")).select(
         F.explode(T.ngrams(F.col("t"), 1, 2)).alias("term")).filter(F.length("term") > 6).distinct()
     labels = F.array(*[F.lit(x) for x in ("ORG", "PRODUCT", "GPE", "LOC")])
     return terms.select("term", F.element_at(labels, F.length("term") % 4 + 1).alias("label"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..lexicons import NOUN_STOPWORDS
 from ..operators import keywords as K
+from ..session import durable
 from ..operators.ranking import number_rows, tiles
 from . import inputs as I
 from .q_facets import _TOKENS
@@ -35,14 +36,13 @@ def keyword_thresholds(spark, sf_dir):
 
 
 def _site_terms(spark, sf_dir):
-    """Keywords of documents: the first word pair of every line."""
-    words = F.filter(F.transform(K.T.words(F.lower("line")), K.strip_punctuation), lambda w: w != "")
+    """Keywords of documents: the first word pair of every line, stored as a table."""
     lines = I.docs(spark, sf_dir).select("site_id", F.explode(F.split("text_content", "\n")).alias("line"))
-    pair = lines.select("site_id", words.alias("w")).filter(F.size("w") >= 2).select(
+    pair = lines.select("site_id", K.T.plain_tokens("line").alias("w")).filter(F.size("w") >= 2).select(
         "site_id", F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("term"))
     # A term counts for its own site and for the site with the reversed id, where it may be missing.
     other = pair.select(F.concat(F.lit("src"), F.reverse(F.substr("site_id", F.lit(4)))).alias("site_id"), "term")
-    return pair.unionByName(other).distinct()
+    return durable(pair.unionByName(other).distinct())
 
 
 _SITE_TERMS = f"""pairs AS (SELECT site_id, w[1] || ' ' || w[2] AS term FROM (SELECT site_id, {_TOKENS.format('line')} AS w FROM (

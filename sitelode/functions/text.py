@@ -196,15 +196,37 @@ def context_window(tokens: Column, position: Column, before: int = 2, after: int
     return F.array_join(F.slice(tokens, start, end - start + 1), " ")
 
 
-def ngrams(tokens: Column, low: int = 1, high: int = 3) -> Column:
-    """All word n-grams of ``low``..``high`` words, in reading order per length."""
-    def of_length(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-
-    return F.flatten(F.array(*[of_length(n) for n in range(low, high + 1)]))
+def ngrams(tokens: Column, low: int = 1, high: int = 3, edge_stopwords: Sequence[str] = ()) -> Column:
+    """All word n-grams of ``low``..``high`` words, in reading order per length.
+
+    With ``edge_stopwords``, n-grams that start or end with one of them are left out; words are tested by
+    set membership before any n-gram is put together.
+    """
+    listed = ", ".join(sql_literal(w) for w in edge_stopwords)
+
+    def open_edge(word: str) -> str:
+        return f"{word} not in ({listed})" if edge_stopwords else "true"
+
+    def of_length(n: int) -> str:
+        rest = [f"get(nt, ni + {k})" for k in range(1, n)]
+        whole = " || ' ' || ".join(["nw", *rest])
+        last = rest[-1] if rest else "nw"
+        keep = f"{open_edge('nw')} and {open_edge(last)}" if rest else open_edge("nw")
+        return f"filter(transform(nt, (nw, ni) -> if({keep}, {whole}, null)), nx -> nx is not null)"
+
+    arrays = ", ".join(of_length(n) for n in range(low, high + 1))
+    return apply_sql(tokens, "nt", f"concat({arrays})")
+
+
+def strip_punctuation(token: Column) -> Column:
+    """Token without leading and trailing characters other than letters and digits."""
+    return F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+def plain_tokens(text) -> Column:
+    """Lower-case words without edge punctuation. One pass over the text, not one per word."""
+    edges = r"(?<![^ ])[^\p{L}\p{N} ]++|[^\p{L}\p{N} ]++(?![^ ])"
+    return F.array_remove(F.split(F.regexp_replace(blank_space(F.lower(_col(text))), edges, ""), " "), "")
 
 
 def strip_stopwords(phrase, stopwords: Sequence[str]) -> Column:

@@ -69,22 +69,23 @@ def url_join(base, ref, base_parts: Column | None = None) -> Column:
     """Resolve ``ref`` against an absolute http(s) ``base`` as Python's ``urljoin`` does.
 
     Empty ``?`` and ``#`` are dropped, runs of ``/`` collapse only in relative paths, and
-    references with another scheme (``mailto:``) come back unchanged. The common ``/path`` form takes one
+    references with another scheme (``mailto:``) come back unchanged. ``;params`` count as path text. The common ``/path`` form takes one
     test and one concatenation; ``base_parts`` passes a precomputed ``url_parts(base)``.
     """
     base, ref = _col(base), _col(ref)
     parts = url_parts(base) if base_parts is None else base_parts
     root = url_root(base) if base_parts is None else base_parts["root"]
     return (
-        F.when(ref.rlike(r"^(?=/)(?!//)(?!.*(?:[\s?#]|/\.))"), F.concat(root, ref))
+        F.when(ref == "", base)
+        .when(ref.rlike(r"^(?=/)(?!//)(?!.*(?:[\s?#]|/\.))"), F.concat(root, ref))
         .when(ref.rlike(r"^https?://[^\s/?#]+/[^\s?#]*$"), ref)
-        .otherwise(_resolve(base, parts, ref))
+        .otherwise(_resolve(parts, ref))
     )
 
 
-def _resolve(base: Column, base_parts: Column, ref: Column) -> Column:
+def _resolve(base_parts: Column, ref: Column) -> Column:
     cleaned = F.regexp_replace(F.regexp_replace(ref, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    bound = F.struct(base.alias("base"), base_parts.alias("b"), cleaned.alias("ref"))
+    bound = F.struct(base_parts.alias("b"), cleaned.alias("ref"), ref.alias("raw"))
     return apply_sql(bound, "j", _RESOLVE)
 
 
@@ -95,7 +96,7 @@ def _unsplit_sql(scheme: str, authority: str, path: str, query: str, ref: str) -
 
 
 def _resolve_sql() -> str:
-    """SQL over ``j`` (base, its parts ``b``, the cleaned ``ref``), following RFC 3986 section 5.2.
+    """SQL over ``j`` (parts of the base ``b``, the cleaned ``ref`` and the ``raw`` one), following RFC 3986 section 5.2.
 
     Dot segments are folded left to right: ``.`` is dropped, ``..`` removes its predecessor.
     """
@@ -115,7 +116,7 @@ def _resolve_sql() -> str:
     full_path = sql_let(sql_let(merged, "m", resolved), "p", _unsplit_sql("j.b.scheme", "j.b.authority", "p", "r.query", "r.ref"))
     query = "if(r.query <> '', r.query, j.b.query)"
     body = (
-        "case when j.ref = '' then j.base when r.scheme <> '' and r.scheme <> j.b.scheme then j.ref "
+        "case when r.scheme <> '' and r.scheme <> j.b.scheme then j.raw "
         f"when r.authority <> '' then {_unsplit_sql('j.b.scheme', 'r.authority', 'r.path', 'r.query', 'r.ref')} "
         f"when r.path = '' then {_unsplit_sql('j.b.scheme', 'j.b.authority', 'j.b.path', query, 'r.ref')} "
         f"else {full_path} end")

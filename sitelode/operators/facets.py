@@ -87,12 +87,19 @@ def copyright_values(text) -> Column:
     return F.when(holder != "", F.array(holder)).otherwise(_none())
 
 
+def _before_sign(text, sign: str) -> Column:
+    """Non-space runs before ``sign``. Most pages hold none, so the pattern only runs where it occurs."""
+    return F.when(F.contains(text, F.lit(sign)), _matches(text, rf"([^\s]+){sign}", 1)).otherwise(_none())
+
+
 def trademark_values(text) -> Column:
-    return _matches(text, r"([^\s]+)™", 1)
+    """Terms marked with the trademark sign; of ``A™B™`` the longest run, ``A™B``."""
+    return _before_sign(text, "™")
 
 
 def registered_values(text) -> Column:
-    return _matches(text, r"([^\s]+)®", 1)
+    """Terms marked as registered."""
+    return _before_sign(text, "®")
 
 
 def audience_phrase_values(text, lexicon: Lexicon = DEFAULT) -> Column:
@@ -134,7 +141,7 @@ def trigger_location_candidates(text, lexicon: Lexicon = DEFAULT, max_words: int
     lowered = F.lower(text)
 
     def heads(match: Column) -> Column:
-        tokens = F.transform(T.words(match), strip_punctuation)
+        tokens = F.transform(T.words(match), T.strip_punctuation)
         return F.transform(F.sequence(F.lit(1), F.least(F.size(tokens), F.lit(max_words))),
                            lambda n: F.array_join(F.slice(tokens, F.lit(1), n), " "))
 
@@ -145,10 +152,6 @@ def trigger_location_candidates(text, lexicon: Lexicon = DEFAULT, max_words: int
     )
 
 
-def strip_punctuation(token: Column) -> Column:
-    return F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-
-
 def heading_service_values(h2, lexicon: Lexicon = DEFAULT) -> Column:
     """h2 headings that name a service."""
     return F.coalesce(F.filter(h2, lambda h: T.contains_any(h, lexicon.heading_words)), _none())
@@ -294,8 +297,7 @@ def match_entities(pages: DataFrame, entity_dict: DataFrame, max_ngram: int = 3,
     ``head_chars=5000`` limits the search to the head of each page.
     """
     text = F.col("text_content") if head_chars is None else T.head_text("text_content", head_chars)
-    tokens = F.filter(F.transform(T.words(F.lower(text)), strip_punctuation), lambda w: w != "")
-    grams = pages.select("site_id", "url", tokens.alias("_tokens")).select(
+    grams = pages.select("site_id", "url", T.plain_tokens(text).alias("_tokens")).select(
         "site_id", "url", F.explode(F.array_distinct(T.ngrams(F.col("_tokens"), 1, max_ngram))).alias("_term"))
     return grams.join(_dictionary(entity_dict), "_term").select("site_id", "url", "label", "term")
 

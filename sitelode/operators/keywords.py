@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as T
 from ..lexicons import NOUN_STOPWORDS
 from ..session import broadcast_if_small, durable
-from .facets import strip_punctuation
 from .ranking import top_n
 
 # Content type per dominant intent.
@@ -22,16 +21,10 @@ INTENT_CONTENT = {
 }
 
 
-def _tokens(text) -> Column:
-    return F.filter(F.transform(T.words(F.lower(text)), strip_punctuation), lambda w: w != "")
-
-
 def page_terms(pages: DataFrame, n: tuple[int, int] = (1, 3), stopwords: Sequence[str] = NOUN_STOPWORDS) -> DataFrame:
     """Distinct n-grams of each page that neither start nor end with a stop word."""
-    stop = f"^(?:{'|'.join(stopwords)})(?: |$)|(?:^| )(?:{'|'.join(stopwords)})$"
-    grams = pages.select("site_id", "url", _tokens(F.col("text_content")).alias("_t")).select(
-        "site_id", "url", F.explode(F.array_distinct(T.ngrams(F.col("_t"), *n))).alias("term"))
-    return grams.filter(~F.col("term").rlike(stop))
+    return pages.select("site_id", "url", T.plain_tokens("text_content").alias("_t")).select(
+        "site_id", "url", F.explode(F.array_distinct(T.ngrams(F.col("_t"), *n, edge_stopwords=stopwords))).alias("term"))
 
 
 def candidate_terms(pages: DataFrame, n: tuple[int, int] = (1, 3),
@@ -57,10 +50,27 @@ def filter_keywords(df: DataFrame, min_volume: int = 10, max_competition: float
                      & (F.col("difficulty_proxy") <= max_difficulty))
 
 
+def _term_hits(keys: DataFrame, pages: DataFrame, max_ngram: int) -> DataFrame:
+    """Distinct ``site_id, term`` of ``keys`` that occur on a page of their site.
+
+    N-grams meet the keywords before they are made distinct, so only hits are shuffled when the keyword
+    table is small enough to broadcast.
+    """
+    grams = pages.select("site_id", T.plain_tokens("text_content").alias("_t")).select(
+        "site_id", F.explode(F.array_distinct(T.ngrams(F.col("_t"), 1, max_ngram))).alias("term"))
+    return grams.join(broadcast_if_small(keys), ["site_id", "term"], "left_semi").distinct()
+
+
+def site_evidence(keywords: DataFrame, pages: DataFrame, max_ngram: int = 3) -> DataFrame:
+    """Keywords whose (lower-case, punctuation-free) words occur together on a page of their site."""
+    hits = _term_hits(keywords.select("site_id", "term"), pages, max_ngram)
+    return keywords.join(hits, ["site_id", "term"], "left_semi")
+
+
 def verify_keywords(keywords: DataFrame, pages: DataFrame, max_ngram: int = 3) -> DataFrame:
     """Fill ``verified_against_site`` and ``cannot_verify_note``: does the term occur on a page of its site?"""
     marked = keywords.withColumn("_term", T.collapse_space(F.lower("term")))
-    found = site_evidence(marked.select("site_id", F.col("_term").alias("term")), pages, max_ngram).select(
+    found = _term_hits(marked.select("site_id", F.col("_term").alias("term")), pages, max_ngram).select(
         "site_id", F.col("term").alias("_term"), F.lit(True).alias("_hit"))
     return (
         marked.join(found, ["site_id", "_term"], "left")
@@ -70,13 +80,6 @@ def verify_keywords(keywords: DataFrame, pages: DataFrame, max_ngram: int = 3) -
     )
 
 
-def site_evidence(keywords: DataFrame, pages: DataFrame, max_ngram: int = 3) -> DataFrame:
-    """Keywords whose (lower-case, punctuation-free) words occur together on a page of their site."""
-    grams = pages.select("site_id", _tokens(F.col("text_content")).alias("_t")).select(
-        "site_id", F.explode(F.array_distinct(T.ngrams(F.col("_t"), 1, max_ngram))).alias("term")).distinct()
-    return keywords.join(grams, ["site_id", "term"], "left_semi")
-
-
 # --- clusters ------------------------------------------------------------------------------------
 
 def term_signatures(term) -> Column:

@@ -115,10 +115,10 @@ def rules_for(table: str) -> list[Rule]:
 
 def validate(df: DataFrame, rules: Sequence[Rule], key: str, table: str = "") -> DataFrame:
     """Violations ``table, key, field, rule, value``: all rules in one scan, no shuffle."""
-    checks = F.array(*[
-        F.struct(F.lit(r.field).alias("field"), F.lit(r.name).alias("rule"),
-                 F.coalesce(r.ok, F.lit(True)).alias("ok"), r.value.alias("value")) for r in rules])
-    failed = F.filter(checks, lambda c: ~c["ok"])
+    # A failing rule gives a struct, a passing one NULL, so shown values are only built for failures.
+    failed = F.array_compact(F.array(*[
+        F.when(~r.ok, F.struct(F.lit(r.field).alias("field"), F.lit(r.name).alias("rule"), r.value.alias("value")))
+        for r in rules]))
     return df.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"),
                      F.explode(failed).alias("_f")).select(
         "table", "key", F.col("_f.field").alias("field"), F.col("_f.rule").alias("rule"),
@@ -131,7 +131,7 @@ def rule_counts(df: DataFrame, rules: Sequence[Rule], table: str = "") -> DataFr
     All rules are summed in one row per task before one tiny shuffle.
     """
     sums = df.agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.count(F.when(~F.coalesce(r.ok, F.lit(True)), F.lit(1))).alias(f"_f{i}") for i, r in enumerate(rules)])
+        F.count(F.when(~r.ok, F.lit(1))).alias(f"_f{i}") for i, r in enumerate(rules)])
     lines = F.array(*[
         F.struct(F.lit(table).alias("table"), F.lit(r.field).alias("field"), F.lit(r.name).alias("rule"),
                  (F.col("_rows") - F.col(f"_f{i}")).alias("passed"), F.col(f"_f{i}").alias("failed"))

@@ -6,10 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import size_estimate
+
 # Spark prunes ``row_number() <= n`` before the shuffle up to this n (windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 HOT_ROWS = 1_000_000
 SPLITTERS = 64
+# Inputs up to this estimated size are ranked without looking for hot groups.
+ONE_TASK_BYTES = 256 * 1024 * 1024
 
 
 def _key(order: Sequence) -> list[Column]:
@@ -17,14 +21,19 @@ def _key(order: Sequence) -> list[Column]:
 
 
 def rank_rows(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "idx",
-              hot_rows: int = HOT_ROWS, splitters: int = SPLITTERS) -> DataFrame:
+              hot_rows: int | None = None, splitters: int = SPLITTERS) -> DataFrame:
     """Exact 1-based position of each row in its group, ascending by ``order`` (must be unique).
 
     Groups above ``hot_rows`` are cut into ranges at splitter keys (the rows with the smallest key
     hashes, a bounded sample), so no task sorts a whole hot group: the position is the position in
-    the range plus the sizes of the ranges before it.
+    the range plus the sizes of the ranges before it. An input estimated at ``ONE_TASK_BYTES`` or less cannot
+    hold such a group and takes a plain window, unless ``hot_rows`` is given.
     """
     by = list(by)
+    if hot_rows is None and size_estimate(df) <= ONE_TASK_BYTES:
+        plain = F.row_number().over(Window.partitionBy(*by).orderBy(*_key(order)))
+        return df.withColumn(name, plain.cast("int"))
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_key(order))])
     keyed = df.withColumn("_k", key)
     hot = df.groupBy(*by).count().filter(F.col("count") > hot_rows).select(*by)

@@ -9,7 +9,7 @@ from ..session import broadcast_if_small
 
 
 def _first_match(rules: Column, path: Column) -> Column:
-    hit = F.filter(rules, lambda r: (r["prefix"] == "*") | F.startswith(path, r["prefix"]))
+    hit = F.filter(rules, lambda r: F.startswith(path, r["prefix"]))
     return F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))
 
 

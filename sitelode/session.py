@@ -80,11 +80,15 @@ def durable_layout(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def size_estimate(df: DataFrame) -> int:
+    """Catalyst's estimate of the frame's size in bytes, from table statistics; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Broadcast hint only when Catalyst's own estimate proves the side small.
 
     Above the limit the frame is returned unhinted: the join is then planned by size, and AQE
     may still turn it into a broadcast, or split skewed partitions, from measured sizes.
     """
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if estimate <= limit else df
+    return F.broadcast(df) if size_estimate(df) <= limit else df
