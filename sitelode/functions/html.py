@@ -121,7 +121,7 @@ def visible_text(html) -> Column:
 # Page furniture dropped from main text, and the tags that separate blocks.
 _FURNITURE = (
     r"(?is)<!--.*?(?:-->|\z)"
-    r"|<(script|style|noscript|head|nav|footer|header|aside|form)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
+    r"|<(script|style|noscript|head|title|nav|footer|header|aside|form)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
     r"|<(\w+)\s(?:[^>]*?\s)?(?:class|id)\s*=\s*[\"']ad[\"'][^>]*>.*?</\2\s*>"
 )
 _BLOCK = (
