@@ -307,7 +307,7 @@ def drafts(spark, sf_dir) -> DataFrame:
 
 
 def calendar(spark, sf_dir) -> DataFrame:
-    """One calendar item per order line group: clerk-free synthetic plan from orders, numbered per customer."""
+    """One calendar item per order, numbered per group of customers."""
     from ..operators.ranking import number_rows
 
     o = table(spark, sf_dir, "orders").select(

@@ -198,7 +198,7 @@ def priority_thirds(spark, sf_dir):
 
 @query(f"WITH {I.DOCS} SELECT site_id, url, row_number() OVER (PARTITION BY site_id ORDER BY crawl_seq)::INTEGER AS idx FROM d")
 def numbered_rows(spark, sf_dir):
-    return number_rows(I.docs(spark, sf_dir).select("site_id", "crawl_seq", "url"), ["crawl_seq"], hot_rows=100).select("site_id", "url", "idx")
+    return number_rows(I.docs(spark, sf_dir).select("site_id", "crawl_seq", "url"), ["crawl_seq"], hot_rows=20).select("site_id", "url", "idx")
 
 
 def _linked_drafts(spark, sf_dir):

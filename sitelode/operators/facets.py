@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 from ..functions.urls import last_segment_phrase, url_part
 from ..lexicons import DEFAULT, Lexicon, group_count
-from ..session import broadcast_if_small
-from .ranking import first_pages
+from ..session import broadcast_if_small, durable, measured_side, size_estimate
+from .ranking import ONE_TASK_BYTES, first_pages
 
 _NO_VALUES = "array<string>"
 
@@ -335,8 +335,8 @@ def facet_counts(facets: DataFrame,
                  names: Sequence[str] = ("services", "products", "locations", "target_audiences", "brand_terms"),
                  ) -> DataFrame:
     """Distinct values per facet as columns, 0 where a site has none."""
-    pivoted = distinct_facets(facets).groupBy("site_id").pivot("facet", list(names)).count()
-    return pivoted.na.fill(0, list(names))
+    return distinct_facets(facets).groupBy("site_id").agg(*[
+        F.count(F.when(F.col("facet") == name, F.lit(1))).alias(name) for name in names])
 
 
 def business_entity(facets: DataFrame, sites: DataFrame, max_values: int = 10_000) -> DataFrame:
@@ -349,11 +349,13 @@ def business_entity(facets: DataFrame, sites: DataFrame, max_values: int = 10_00
     from ..schema import FACETS
 
     values = distinct_facets(facets)
+    if size_estimate(values) > ONE_TASK_BYTES:
+        values = durable(values)  # read twice below: counted, then gathered
     large = (
         values.groupBy("site_id").count().filter(F.col("count") > max_values)
         .select("site_id", F.ceil(F.col("count") / max_values).cast("int").alias("_parts"))
     )
-    split = values.join(large, "site_id", "left").withColumn(
+    split = values.join(measured_side(large), "site_id", "left").withColumn(
         "part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64("facet", "value"), F.col("_parts")).cast("int")))
     arrays = split.groupBy("site_id", "part").agg(*[

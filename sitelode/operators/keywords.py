@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..lexicons import NOUN_STOPWORDS
-from ..session import broadcast_if_small, durable
+from ..session import broadcast_if_small, durable, measured_side
 from .ranking import top_n
 
 # Content type per dominant intent.
@@ -197,7 +197,7 @@ def label_terms(keywords: DataFrame) -> DataFrame:
     tf = tokens.groupBy("site_id", "cluster_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     overall = tf.groupBy("site_id", "word").agg(F.sum("tf").alias("f"))
     mean = tf.groupBy("site_id").agg((F.sum("tf") / F.count_distinct("cluster_id")).alias("a"))
-    return tf.join(overall, ["site_id", "word"]).join(broadcast_if_small(mean), "site_id").select(
+    return tf.join(overall, ["site_id", "word"]).join(measured_side(mean), "site_id").select(
         "site_id", "cluster_id", "word", (F.col("tf") * F.log1p(F.col("a") / F.col("f"))).alias("weight"))
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Largest plan-time size estimate for which a join side is broadcast.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -30,6 +30,12 @@ def build_session(app_name: str = "sitelode", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def measured_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """A join side that is expected small but that no estimate proves small, such as an aggregate of a
+    large table: it is written first, and its measured size decides about the broadcast."""
+    return broadcast_if_small(df if size_estimate(df) <= limit else durable(df), limit)
+
+
 def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over the cores before CPU-heavy expressions.
 

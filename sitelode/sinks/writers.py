@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from . import render as R
 
@@ -27,14 +27,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwr
         writer.format(fmt).save(path)
 
 
-def write_layout(df: DataFrame, path: str, names: DataFrame, run_ts: Column, fmt: str = "parquet",
-                 files_per_client: int = 1) -> None:
+def write_layout(df: DataFrame, path: str, names: DataFrame, run_ts: Column, fmt: str = "parquet") -> None:
     """Export layout ``client_slug=…/run_ts=…``.
 
-    Rows are spread over ``files_per_client`` tasks per client before writing, so that small clients make
-    one file each while a large one can be split by raising it.
+    A rebalance by client puts a small client's rows in one file; AQE splits the partition of a large
+    client by size, so no single task writes all of it.
     """
-    placed = R.client_layout(df, names, run_ts)
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "site_id"][:2]), F.lit(files_per_client))
-    spread = placed.withColumn("_b", bucket).repartition("client_slug", "_b").drop("_b")
-    write_table(spread, path, fmt, partition_by=("client_slug", "run_ts"))
+    placed = R.client_layout(df, names, run_ts).hint("rebalance", "client_slug")
+    write_table(placed, path, fmt, partition_by=("client_slug", "run_ts"))

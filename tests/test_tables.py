@@ -178,6 +178,7 @@ def test_job_state(frame, values):
     got = {r["job_id"]: (r["status"], r["error"], r["completed_at"] is None) for r in J.latest_job_state(log).collect()}
     assert got == {"j": ("completed", None, False), "k": ("crawling", None, True)}
     assert {(r["job_id"], r["seq"]): r["seconds"] for r in J.stage_durations(log).collect()}[("j", 1)] == 180.0
+    assert J.stage_durations(log, hot_rows=1).exceptAll(J.stage_durations(log)).isEmpty()
     jobs = frame("job_id string, status string", ("j", "x"))
     assert values(A.lookup_jobs(frame("job_id string", ("j",), ("q",)), jobs)) == [("j", "x", True), ("q", None, False)]
     counted = A.job_results(jobs, pages=frame("job_id string", ("j",), ("j",)), drafts=frame("job_id string", ("z",)))
