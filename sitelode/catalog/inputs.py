@@ -251,7 +251,7 @@ def jobs(spark, sf_dir) -> DataFrame:
         F.col("c_custkey").cast("string").alias("job_id"),
         F.concat(F.lit("https://"), F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))), F.lit(".example.com")).alias("url"),
         F.lit("en-GB").alias("locale"), F.lower("c_mktsegment").alias("status"),
-        F.round(F.col("c_acctbal") / 100, 2).alias("progress"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+        F.round(F.col("c_acctbal") / 100, 2).alias("progress"), F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at"))
 
 
 JOBS = """c AS (SELECT c_custkey::VARCHAR AS job_id, 'https://' || lower(replace(c_name, '#', '-')) || '.example.com' AS url,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import html as H, text as T, urls as U
+from ..lexicons import LANGUAGE_STOPWORDS
 from ..operators import parse as P
 from ..operators.ranking import first_links, first_pages
 from ..operators.reports import crawl_report
@@ -105,11 +106,20 @@ def main_texts(spark, sf_dir):
     return P.main_text(I.pages(spark, sf_dir)).select("crawl_seq", "text_content")
 
 
-@query()
+def _hits(lang: str) -> str:
+    listed = ", ".join(f"'{w}'" for w in LANGUAGE_STOPWORDS[lang])
+    return f"len(list_filter(regexp_split_to_array(lower(main), '\\s+'), lambda w: w IN ({listed})))"
+
+
+@query(f"""{_MAIN}, main AS (SELECT crawl_seq, string_agg(text, chr(10) ORDER BY k) AS main FROM blocks GROUP BY 1),
+scored AS (SELECT crawl_seq, main, {", ".join(f"{_hits(x)} AS {x}" for x in sorted(LANGUAGE_STOPWORDS))} FROM main),
+gated AS (SELECT crawl_seq, CASE WHEN greatest(de, en, es, fr) = 0 OR (en > de AND en >= es AND en >= fr) THEN main END AS main FROM scored),
+chosen AS (SELECT crawl_seq, coalesce(main, {I.sql_text('html')}) AS text FROM p LEFT JOIN gated USING (crawl_seq))
+SELECT crawl_seq, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n_words FROM chosen""")
 def english_main_texts(spark, sf_dir):
     """Main text behind the language gate."""
     return P.main_text(I.pages(spark, sf_dir), target_language="en").select(
-        "crawl_seq", T.word_count("text_content").alias("n_words"))
+        "crawl_seq", T.word_count("text_content").cast("long").alias("n_words"))
 
 
 @query(f"""{_MAIN}, often AS (SELECT site_id, text FROM blocks GROUP BY 1, 2 HAVING count(DISTINCT url) >= 2)
