@@ -34,8 +34,9 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 
 def explode_facet(df: DataFrame, facet: str, values: Column, site_col: str = "site_id") -> DataFrame:
     """One row per value of an array expression."""
-    return df.select(F.col(site_col).alias("site_id"), "url", F.lit(facet).alias("facet"),
-                     F.explode(values).alias("value"))
+    # The array is projected first: shared subexpressions are only eliminated in a projection.
+    projected = df.select(F.col(site_col).alias("site_id"), "url", values.alias("_values"))
+    return projected.select("site_id", "url", F.lit(facet).alias("facet"), F.explode("_values").alias("value"))
 
 
 # --- value expressions over one page -------------------------------------------------------------
@@ -68,17 +69,14 @@ def exclusion_values(text, lexicon: Lexicon = DEFAULT, reference_groups: bool =
 
     ``reference_groups=True`` keeps a pattern's own group instead of what follows it.
     """
-    lowered = F.lower(text)
-
-    def statements(pattern: str) -> Column:
+    def statements(lowered: Column, pattern: str) -> Column:
         if reference_groups and group_count(pattern):
             return _matches(lowered, f"{pattern}[^.]*", 1)
         return F.transform(_matches(lowered, f"{pattern}[^.]*", 0),
                            lambda m: F.regexp_replace(m, f"^(?:{pattern})", ""))
 
-    return _all(
-        F.flatten(F.transform(statements(p), lambda m: noun_phrases(m, lexicon.noun_stopwords)))
-        for p in lexicon.exclusion_patterns)
+    found = T.let(F.lower(text), lambda low: _all(statements(low, p) for p in lexicon.exclusion_patterns))
+    return F.flatten(F.transform(found, lambda m: noun_phrases(m, lexicon.noun_stopwords)))
 
 
 def copyright_values(text) -> Column:
@@ -109,15 +107,14 @@ def audience_phrase_values(text, lexicon: Lexicon = DEFAULT) -> Column:
 
 def audience_label_values(text, lexicon: Lexicon = DEFAULT) -> Column:
     """Labels whose keywords occur in the lower-cased text; substrings unless ``word_boundary_labels``."""
-    lowered = F.lower(text)
-
-    def hit(terms: Sequence[str]) -> Column:
+    def hit(terms: Sequence[str]) -> str:
         if lexicon.word_boundary_labels:
-            return lowered.rlike(r"(?U)\b(?:" + "|".join(t.lower() for t in terms) + r")\b")
-        return T.contains_any(lowered, terms)
+            whole = r"(?U)\b(?:" + "|".join(t.lower() for t in terms) + r")\b"
+            return f"low rlike {T.sql_literal(whole)}"
+        return " or ".join(f"contains(low, {T.sql_literal(t.lower())})" for t in terms)
 
-    labels = F.array(*[F.when(hit(terms), F.lit(label)) for label, terms in lexicon.audience_labels])
-    return F.array_compact(labels)
+    labels = ", ".join(f"if({hit(terms)}, {T.sql_literal(label)}, null)" for label, terms in lexicon.audience_labels)
+    return T.apply_sql(F.lower(text), "low", f"array_compact(array({labels}))")
 
 
 def value_prop_values(text, lexicon: Lexicon = DEFAULT, low: int = 11, high: int = 199) -> Column:
@@ -128,28 +125,21 @@ def value_prop_values(text, lexicon: Lexicon = DEFAULT, low: int = 11, high: int
 
 def trigger_service_values(text, lexicon: Lexicon = DEFAULT) -> Column:
     """Noun phrases after a service trigger, up to the end of the clause."""
-    lowered = F.lower(text)
-    return _all(
-        F.flatten(F.transform(_matches(lowered, rf"(?U)\b{p}\s+([^.;]+)", 1),
-                              lambda m: noun_phrases(m, lexicon.noun_stopwords)))
-        for p in lexicon.service_triggers
-    )
+    found = T.let(F.lower(text), lambda low: _all(
+        _matches(low, rf"(?U)\b{p}\s+([^.;]+)", 1) for p in lexicon.service_triggers))
+    return F.flatten(F.transform(found, lambda m: noun_phrases(m, lexicon.noun_stopwords)))
 
 
 def trigger_location_candidates(text, lexicon: Lexicon = DEFAULT, max_words: int = 3) -> Column:
     """One- to three-word phrases right after a location trigger, lower case, edge punctuation removed."""
-    lowered = F.lower(text)
-
     def heads(match: Column) -> Column:
         tokens = F.transform(T.words(match), T.strip_punctuation)
         return F.transform(F.sequence(F.lit(1), F.least(F.size(tokens), F.lit(max_words))),
                            lambda n: F.array_join(F.slice(tokens, F.lit(1), n), " "))
 
-    return _all(
-        F.flatten(F.transform(
-            F.filter(_matches(lowered, rf"(?U)\b(?:{p})\s+([^.;,]+)", 1), lambda m: F.trim(m) != ""), heads))
-        for p in lexicon.location_triggers
-    )
+    found = T.let(F.lower(text), lambda low: _all(
+        _matches(low, rf"(?U)\b(?:{p})\s+([^.;,]+)", 1) for p in lexicon.location_triggers))
+    return F.flatten(F.transform(F.filter(found, lambda m: F.trim(m) != ""), heads))
 
 
 def heading_service_values(h2, lexicon: Lexicon = DEFAULT) -> Column:
