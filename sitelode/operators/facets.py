@@ -34,9 +34,10 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 
 def explode_facet(df: DataFrame, facet: str, values: Column, site_col: str = "site_id") -> DataFrame:
     """One row per value of an array expression."""
-    # The array is projected first: shared subexpressions are only eliminated in a projection.
-    projected = df.select(F.col(site_col).alias("site_id"), "url", values.alias("_values"))
-    return projected.select("site_id", "url", F.lit(facet).alias("facet"), F.explode("_values").alias("value"))
+    # The expression goes straight into explode: on a plain column Spark would infer a size filter from
+    # it and evaluate the whole extraction again in that filter.
+    return df.select(F.col(site_col).alias("site_id"), "url", F.lit(facet).alias("facet"),
+                     F.explode(values).alias("value"))
 
 
 # --- value expressions over one page -------------------------------------------------------------
