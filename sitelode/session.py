@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # Largest plan-time size estimate for which a join side is broadcast.
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
+# Largest input that is worth a shuffle to use idle cores.
+SPREAD_LIMIT_BYTES = 1024 * 1024 * 1024
+
 ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -39,9 +42,11 @@ def measured_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFram
 def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input over the cores before CPU-heavy expressions.
 
-    Only an input with fewer splits than the cluster has cores is repartitioned (by a unique key, so evenly);
-    a large table already has more splits and passes through without a shuffle.
+    Only an input of at most ``SPREAD_LIMIT_BYTES`` with fewer splits than the cluster has cores is
+    repartitioned (by a unique key, so evenly); anything larger passes through without a shuffle.
     """
+    if size_estimate(df) > SPREAD_LIMIT_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(cores, *keys) if splits < cores else df

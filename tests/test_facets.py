@@ -124,3 +124,9 @@ def test_tagger_seam(page):
             yield pdf[["site_id", "url"]].assign(label="ORG", term=pdf["text_content"].str[:4])
 
     assert X.tag_with_model(page("Acme x"), tagger).first()["term"] == "Acme"
+
+
+def test_extraction_is_not_repeated_in_a_filter(page):
+    """An inferred size filter would evaluate the whole extraction a second time."""
+    for df in (X.service_phrases(page("a")), X.audience_phrases(page("a")), analyze_facets(page("a"))):
+        assert "Filter (size(" not in df._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,7 @@ from sitelode.operators import keywords as K, parse as P, reports as A
 from sitelode.operators.quality import rule_counts, rules_for, validate
 from sitelode.plans.export import export_jobs, export_tables
 from sitelode.schema import BRIEFS, DRAFTS, KEYWORDS
-from sitelode.session import broadcast_if_small, durable, shared_folder
+from sitelode.session import broadcast_if_small, durable, shared_folder, use_all_cores
 from sitelode.sinks import render as R, writers as W
 from sitelode.sources import read_pages, read_report
 from sitelode.streaming import intake, jobs as J
@@ -241,6 +241,13 @@ def test_durable_writes_under_the_shared_folder(spark):
     assert plan.count() == 3 and shared_folder(spark).split(":")[-1] in plan.inputFiles()[0]
 
 
+def test_only_small_inputs_are_spread(spark):
+    one = spark.range(10).coalesce(1)
+    assert use_all_cores(one, "id")._jdf.queryExecution().toRdd().getNumPartitions() == 8
+    large = spark.range(0, 1_000_000_000, 1, 2)
+    assert use_all_cores(large, "id") is large
+
+
 def test_boilerplate(frame, values):
     blocks = frame("site_id string, url string, text string", *[("s", f"u{i}", "menu") for i in range(3)], ("s", "u1", "own"), ("t", "v", "menu"))
     assert values(P.drop_site_boilerplate(blocks)) == [("s", "u1", "own"), ("t", "v", "menu")]
