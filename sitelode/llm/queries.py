@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, search
+from . import chat, decontaminate, licenses, mixing, search, simhash
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -30,6 +30,11 @@ def op3_licenses(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+@query
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_chat(spark, sf_dir):
     # A conversation whose texts hold control strings, beside the given ones.
