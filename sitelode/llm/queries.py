@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, search, simhash
+from . import chat, decontaminate, licenses, mixing, repeats, search, simhash
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -16,6 +16,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return repeats.repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query
 def op2_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
