@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, repeats, search, simhash
+from . import chat, decontaminate, licenses, mixing, pages, repeats, search, simhash
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -60,6 +60,11 @@ def op8_topk(spark, sf_dir):
     return search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op9_main_text(spark, sf_dir):
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
