@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, pages, repeats, search, simhash
+from . import chat, decontaminate, licenses, mixing, pages, quality, repeats, search, simhash, toxicity
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -35,6 +35,16 @@ def op3_licenses(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
 
 
+@query
+def op4_quality(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
