@@ -18,7 +18,7 @@ def query(fn):
 
 @query
 def op1_suffix_dedup(spark, sf_dir):
-    return repeats.repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.repeated_bytes(table(spark, sf_dir, "documents")).drop("kept", "rest")
 
 
 @query

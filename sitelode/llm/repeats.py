@@ -19,7 +19,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import ranges, utf8_rows
@@ -36,7 +35,6 @@ LAST_ID = np.iinfo(np.int64).max
 
 KEYS = "bucket long, block long, kind int, data binary"
 KEYS_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,6 +74,7 @@ class Block:
         texts = texts.take(pa.array(order))
         self.ids = ids[order]
         self.doc_id = table.column("doc_id").combine_chunks().take(pa.array(order))
+        self.rest = table.column("rest").combine_chunks().take(pa.array(order))
         self.raw, self.offsets = utf8_rows(texts.cast(pa.large_string()))
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -392,39 +391,44 @@ def _apply(buckets: int, keep: bool):
         texts = [kept[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
         return pa.table({
             "doc_id": block.doc_id, "n_bytes": np.diff(block.offsets), "n_removed": n_gone.astype(np.int64),
-            "n_spans": n_spans.astype(np.int64), "kept": pa.array(texts if keep else [None] * n, pa.binary()),
+            "n_spans": n_spans.astype(np.int64), "rest": block.rest, "kept": pa.array([t.decode("utf-8", "ignore") if keep else None for t in texts], pa.string()),
             "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())})
     return apply
 
 
-def repeated_bytes(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` per row of ``docs`` (``doc_id, text``).
+def repeated_bytes(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, rest, kept, kept_sha256`` per row of ``docs`` (``doc_id, text``).
 
     Texts are UTF-8 bytes, null ones empty. Each byte is removed that is covered by a 50-byte string which also starts in a document
-    with a smaller id, judged on the input. ``kept`` holds the remaining bytes if ``keep_text``, else null. Rows that repeat an id
-    do not count against each other; rows without an id come after all others. Texts under 50 bytes keep all. Empty tables give no rows.
+    with a smaller id, judged on the input. ``kept`` is the remaining text if ``keep_text``, without
+    characters that lost some of their bytes, else null; ``rest`` the columns ``carry``.
+    Rows that repeat an id do not count against each other; rows without an id come after all others. Texts under 50 bytes keep
+    all. Empty tables give no rows.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
     deal = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks))
+    rest = F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_"))
     dealt = docs.select(deal.alias("block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_ID))).alias("id"),
-                        F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("block")
+                        F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))
+    result = (dealt.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+              .add("rest", dealt.schema["rest"].dataType).add("kept", "string").add("kept_sha256", "string"))
+    dealt = dealt.groupBy("block")
     answers = dealt.applyInArrow(_ask(blocks), KEYS).groupBy("bucket").applyInArrow(_answer, KEYS)
     pieces = dealt.cogroup(answers.groupBy("block")).applyInArrow(_send(blocks), KEYS)
     judged = pieces.groupBy("bucket").applyInArrow(_judge, KEYS)
-    return dealt.cogroup(answers.unionByName(judged).groupBy("block")).applyInArrow(_apply(blocks, keep_text), RESULT)
+    return dealt.cogroup(answers.unionByName(judged).groupBy("block")).applyInArrow(_apply(blocks, keep_text), result)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` cut to what :func:`repeated_bytes` keeps and ``n_chars``, if there, counted anew; a character that
-    lost some of its bytes goes as a whole. Documents that keep no byte of a text that had some are dropped; all others stay.
-    Rows that repeat an id and text, or lack an id, stay as they are, each."""
-    whole = docs.withColumn("_print", F.xxhash64("text"))
-    kept = repeated_bytes(docs, True).filter((F.col("n_removed") > 0) & F.col("doc_id").isNotNull())
-    changed = kept.select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), "kept").dropDuplicates(["_id", "_n"])
-    joined = whole.join(changed, (F.col("doc_id") == F.col("_id")) & (F.octet_length("text") == F.col("_n")), "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.replace(F.decode("kept", "UTF-8"), F.lit("�"), F.lit("")))
-    out = joined.filter(F.col("kept").isNull() | (F.octet_length("kept") > 0)).withColumn("_text", text)
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-               else F.col(c) for c in docs.columns]
+    lost some of its bytes goes as a whole. Documents of whose text nothing is left are dropped; all others stay, with texts
+    that lost nothing, null ones too, as they were."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    cut = repeated_bytes(docs, True, others).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    text = F.when(F.col("n_removed") == 0, F.col("rest.text")).otherwise(F.col("kept"))
+    out = cut.withColumn("_text", text)
+    columns = [F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == "doc_id" else F.col("_text").alias(c) if c == "text"
+               else F.when(F.col("n_removed") == 0, F.col("rest")[c]).otherwise(F.length("_text")).cast(docs.schema[c].dataType).alias(c)
+               if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns]
     return out.select(*columns)

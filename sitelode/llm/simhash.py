@@ -189,12 +189,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that of the smallest id. Of rows that repeat this id one stays."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
-    held = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # Repeated ids are rare; only they are dealt out by id.
-    again = held.groupBy("doc_id").count().filter(F.col("count") > 1).select(F.col("doc_id").alias("_again"))
-    rest = held.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-    once = held.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(once)
+    """``docs`` with one document of each group of near-duplicates: that of the smallest id. Of rows that repeat this id one stays. A
+    group without any id keeps one of its rows."""
+    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    kept = durable(first.select(F.col("doc_id").alias("_kept"), (F.col("count") > 1).alias("_again")))
+
+    def rows(again: bool) -> DataFrame:
+        ids = kept.filter(F.col("_again") == again)
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+
+    # Repeated ids are rare; only their rows are dealt out by id.
+    if kept.filter("_again").isEmpty():
+        return rows(False)
+    return rows(False).unionByName(rows(True).dropDuplicates(["doc_id"]))

@@ -23,7 +23,8 @@ LEXICON = ("bastard clown coward crap creep cretin damn disgusting dumb dumbass
            "moron pathetic pig psycho retard scum shut slut stupid trash ugly vermin whore worthless").split()
 WORD = re.compile(r"[^\W\d_]+")
 SPLIT = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-RATES = (0.002, 0.01, 0.03)
+# Hits per word of a text that patterns ask for.
+RATES = (0.003, 0.006, 0.01, 0.02, 0.04)
 
 
 def stem_of(word: str) -> str:
@@ -33,7 +34,7 @@ def stem_of(word: str) -> str:
 def mined_stems(sample: DataFrame, limit: int = STEMS) -> list[tuple[str, int]]:
     """``(stem, times)``: stems that occur at least so often mostly in texts labelled toxic, strongest first.
 
-    Counted in Spark over the sample; a stem must be frequent enough not to be chance: its toxic count must exceed by three
+    Counted in Spark over the sample; a stem must be frequent enough not to be chance: its toxic count must exceed by four
     deviations what the share of toxic texts gives.
     """
     words = F.filter(F.split(ascii_lower("text"), SPLIT), lambda w: F.length(w) > 2)
@@ -44,7 +45,8 @@ def mined_stems(sample: DataFrame, limit: int = STEMS) -> list[tuple[str, int]]:
     table = per.groupBy("stem", "times").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
     expected = F.col("n") * F.lit(float(share))
     strength = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    strong = table.filter((F.col("toxic") >= 3) & (F.col("toxic") > 0.5 * F.col("n")) & (strength > 3)).orderBy(strength.desc(), "stem", "times").limit(limit)
+    strong = table.filter((F.col("toxic") >= 4) & (F.col("toxic") > 0.65 * F.col("n")) & (strength > 4)).orderBy(
+        strength.desc(), "stem", "times").limit(limit)
     return [(r["stem"], r["times"]) for r in strong.collect()]
 
 
@@ -55,11 +57,10 @@ class Voters:
         fixed = sorted({stem_of(w) for w in LEXICON})
         self.rules = [(s, 1) for s in fixed] + [r for r in mined if r not in {(s, 1) for s in fixed}]
         self.stems = {s: i for i, s in enumerate(sorted({s for s, _ in self.rules}))}
-        # Stems that vote at their first occurrence; others need to be repeated.
-        self.at_once = {self.stems[s] for s, t in self.rules if t == 1}
         self.stem_of_rule = np.array([self.stems[s] for s, _ in self.rules], int)
         self.times = np.array([t for _, t in self.rules], int)
-        self.size = len(self.rules) + 4 + len(RATES)
+        self.size = len(self.rules) + 1 + len(RATES)
+        self.middle = len(self.rules) + 1 + len(RATES) // 2  # the pattern from which the label model starts
 
     def votes(self, text: str) -> np.ndarray:
         counts = np.zeros(len(self.stems), int)
@@ -72,22 +73,22 @@ class Voters:
         out = np.zeros(self.size, np.float32)
         fired = counts[self.stem_of_rule] >= self.times
         out[:len(fired)] = fired
-        # Hits that count: of stems that vote at once, or repeated ones.
+        # A single chance hit tells little in a long text, so patterns weigh hits by its words.
         hits = int(counts[np.unique(self.stem_of_rule[fired])].sum()) if fired.any() else 0
-        kinds = int(fired.sum())
-        out[len(fired):] = [hits >= 1, hits >= 2, hits >= 4, kinds >= 3] + [hits > r * max(n, 20) for r in RATES]
+        n = max(n, 30)
+        out[len(fired):] = [hits >= 2 and hits > RATES[0] * n] + [hits > r * n for r in RATES]
         return out
 
 
 class LabelModel:
     """Two-class model of binary votes, fitted by expectation maximisation without labels."""
 
-    def __init__(self, votes: np.ndarray, rounds: int = 60):
+    def __init__(self, votes: np.ndarray, first: np.ndarray, rounds: int = 60):
         n, m = votes.shape
         self.prior = 0.1
         self.on, self.off, self.own = np.full(m, 0.5), np.full(m, 0.05), np.ones(m)
-        # Every voter speaks for toxic: at first a text is so if any does.
-        p = np.where(votes.any(1), 0.9, 0.02)
+        # Every voter speaks for toxic; ``first`` marks the texts that begin as such.
+        p = np.where(first, 0.95, 0.02)
         for step in range(rounds if n else 0):
             a, b = p.sum(), (1 - p).sum()
             self.prior = float(np.clip((a + 1) / (n + 2), 0.01, 0.5))
@@ -138,7 +139,7 @@ class Model:
 
     def __init__(self, voters: Voters, votes: np.ndarray):
         self.voters = voters
-        self.labels = LabelModel(votes)
+        self.labels = LabelModel(votes, votes[:, voters.middle] > 0 if len(votes) else np.zeros(0, bool))
         self.weights = linear(votes, self.labels.posterior(votes))
 
     def score(self, text: str) -> float:
@@ -179,21 +180,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, labe
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted toxic, in its own columns. Rows without an id stay unless their text is toxic; the join goes by id
-    and text, so rows that repeat an id are judged each."""
-    toxic = score_texts(docs, labels)
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_id"]) & (F.xxhash64(docs["text"]) == toxic["_text"]), "left_anti")
+def keep_civil(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
+    """``docs`` without the rows predicted toxic, all columns as they are. Rows are judged one by one where they are read, so null or
+    repeated ids and columns of any name do no harm and nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, "toxic", limit)))
+    place = docs.columns.index("text")
 
-
-def score_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Id and hash of the text of the documents predicted toxic."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, "toxic")))
-
-    def score(batches):
+    def civil(batches):
         for batch in batches:
-            keep = [i for i, t in enumerate(batch.column(2)) if model.value.score(t.as_py() or "") >= 0.7]
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            yield batch.filter(pa.array([model.value.score(t.as_py() or "") < 0.7 for t in batch.column(place)], pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), "text")
-    return rows.mapInArrow(score, "_id long, _text long").distinct()
+    return docs.mapInArrow(civil, docs.schema)
