@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.urls import url_part
-from ..session import use_all_cores
+from ..session import spread
 from ..sources import read_pages, site_pages, text_pages
 from ..streaming.jobs import stage_progress
 
@@ -13,13 +13,13 @@ from ..streaming.jobs import stage_progress
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     key = {"documents": "doc_id", "pages": "page_id"}.get(name)
-    return use_all_cores(df, key) if key else df
+    return spread(df, key) if key else df
 
 
 # --- stored pages --------------------------------------------------------------------------------
 
 def pages(spark, sf_dir) -> DataFrame:
-    return site_pages(use_all_cores(read_pages(spark, f"{sf_dir}/pages.parquet"), "page_id"))
+    return site_pages(spread(read_pages(spark, f"{sf_dir}/pages.parquet"), "page_id"))
 
 
 PAGES = """p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS site_id, page_id AS crawl_seq, url, html
@@ -261,13 +261,15 @@ JOBS = """c AS (SELECT c_custkey::VARCHAR AS job_id, 'https://' || lower(replace
 # --- briefs, drafts, calendar --------------------------------------------------------------------
 
 def briefs(spark, sf_dir) -> DataFrame:
-    """One brief per document, its lines as list items; sections vary by language."""
+    """One brief per document, its lines as list items, numbered per source by topic; sections vary by language."""
+    from ..operators.ranking import number_rows
+
     d = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
     none = F.array().cast("array<string>")
     tone = F.when(F.col("lang") == "en", "professional").when(F.col("lang") == "de", "academic").otherwise("plain")
     base = F.concat(F.lit("https://"), "source", F.lit(".example.com/"))
-    return d.select(
+    return number_rows(d.select(
         F.col("source").alias("site_id"), F.col("doc_id").alias("doc_id"),
         F.concat_ws(" ", F.lit("Plan &"), "lang", F.col("doc_id").cast("string")).alias("topic"), F.col("lang").alias("primary_keyword"),
         F.transform(lines, lambda x: F.split_part(x, F.lit(" "), F.lit(1))).alias("secondary_keywords"),
@@ -286,7 +288,7 @@ def briefs(spark, sf_dir) -> DataFrame:
         F.transform(lines, lambda x, i: F.struct(
             F.concat(F.lit("h"), (i % 4 + 1).cast("string")).alias("level"), x.alias("text"))).alias("headings_outline"),
         F.transform(lines, lambda x, i: F.struct(
-            F.concat(F.lit("Q"), i.cast("string")).alias("question"), x.alias("answer"))).alias("faqs"))
+            F.concat(F.lit("Q"), i.cast("string")).alias("question"), x.alias("answer"))).alias("faqs")), ["topic"])
 
 
 BRIEFS = """b AS (SELECT source AS site_id, doc_id, 'Plan & ' || lang || ' ' || doc_id AS topic, lang, source,
@@ -326,4 +328,4 @@ CALENDAR = """cal AS (SELECT 'src' || (o_custkey % 20) AS site_id, week(o_orderd
   CASE o_orderstatus WHEN 'F' THEN 'blog' WHEN 'O' THEN 'service' ELSE 'landing' END AS content_type,
   lower(o_orderstatus) AS primary_keyword, regexp_split_to_array(lower(o_orderpriority), '[- ]') AS secondary_keywords,
   o_orderpriority AS cluster_id, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'medium' ELSE 'low' END AS priority,
-  row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey)::INTEGER AS idx FROM orders)"""
+  row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey)::BIGINT AS idx FROM orders)"""

@@ -72,13 +72,14 @@ def document_slugs(spark, sf_dir):
     return I.table(spark, sf_dir, "documents").select("doc_id", T.slug("text").alias("slug"))
 
 
-@query("SELECT doc_id, text, '&lt;' || text AS twice FROM documents")
+@query("SELECT doc_id, text, '&lt;' || text AS twice, 'Üø→²≂̸&bogus;\\' || text AS rare FROM documents")
 def unescaped_texts(spark, sf_dir):
     d = I.table(spark, sf_dir, "documents")
     coded = I._escape(F.col("text"))
     numeric = F.replace(F.replace(coded, F.lit("E"), F.lit("&#69;")), F.lit("T"), F.lit("&#x54;"))
     return d.select("doc_id", T.unescape(numeric).alias("text"),
-                    T.unescape(F.concat(F.lit("&amp;lt;"), coded)).alias("twice"))
+                    T.unescape(F.concat(F.lit("&amp;lt;"), coded)).alias("twice"),
+                    T.unescape(F.concat(F.lit("&Uuml;&oslash;&rarr;&sup2;&NotEqualTilde;&bogus;&bsol;"), coded)).alias("rare"))
 
 
 @query(f"""WITH {I.PAGES}, l AS (SELECT crawl_seq, unnest(regexp_extract_all(html, '<a href="/([^"]*)"', 1)) AS seg FROM p)

@@ -117,11 +117,11 @@ def exclusions(spark, sf_dir):
 def _marked(spark, sf_dir):
     """Documents with a copyright line and trade marks after common endings."""
     text = F.replace(F.replace(F.col("text_content"), F.lit("tion "), F.lit("tion™ ")), F.lit("ing "), F.lit("ing® "))
-    return I.docs(spark, sf_dir).withColumn("text_content", F.concat(F.lit("x ©  2024\n"), text))
+    return I.docs(spark, sf_dir).withColumn("text_content", F.concat(F.lit("x ©\u00a0 2024\u2003\n"), text))
 
 
-_MARKED = f"""{I.DOCS}, m AS (SELECT site_id, url, 'x ©  2024' || chr(10) || replace(replace(text_content, 'tion ', 'tion™ '), 'ing ', 'ing® ') AS text_content FROM d)"""
-_HOLDER = "SELECT site_id, url, trim(regexp_extract(text_content, '©\\s*\\d{4}\\s*([^.]+)', 1)) AS value FROM m"
+_MARKED = f"""{I.DOCS}, m AS (SELECT site_id, url, 'x ©' || chr(160) || ' 2024' || chr(8195) || chr(10) || replace(replace(text_content, 'tion ', 'tion™ '), 'ing ', 'ing® ') AS text_content FROM d)"""
+_HOLDER = "SELECT site_id, url, trim(regexp_extract(text_content, '©[\\s\\pZ]*\\d{4}[\\s\\pZ]*([^.]+)', 1)) AS value FROM m"
 _TM = "SELECT site_id, url, unnest(regexp_extract_all(text_content, '([^\\s]+)™', 1)) AS value FROM m"
 _REG = "SELECT site_id, url, unnest(regexp_extract_all(text_content, '([^\\s]+)®', 1)) AS value FROM m"
 
@@ -186,11 +186,11 @@ def services_union(spark, sf_dir):
 
 
 def entity_dict(spark, sf_dir):
-    """Words and word pairs of the benchmark texts as an entity dictionary, labelled by length."""
+    """Words, word pairs and runs of five words of the benchmark texts as an entity dictionary, labelled by length."""
     from ..functions import text as T
 
     terms = I.table(spark, sf_dir, "benchmark").select(T.plain_tokens("text").alias("t")).select(
-        F.explode(T.ngrams(F.col("t"), 1, 2)).alias("term")).filter(F.length("term") > 6).distinct()
+        F.explode(T.ngrams(F.col("t"), lengths=(1, 2, 5))).alias("term")).filter(F.length("term") > 6).distinct()
     labels = F.array(*[F.lit(x) for x in ("ORG", "PRODUCT", "GPE", "LOC")])
     return terms.select("term", F.element_at(labels, F.length("term") % 4 + 1).alias("label"))
 
@@ -198,9 +198,9 @@ def entity_dict(spark, sf_dir):
 _TOKENS = "list_filter([regexp_replace(w, '^[^\\pL\\pN]+|[^\\pL\\pN]+$', '', 'g') for w in regexp_split_to_array(lower({0}), '\\s+')], lambda w: w <> '')"
 _DICT = f"""bw AS (SELECT {_TOKENS.format('text')} AS t FROM benchmark), bi AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM bw),
 dict AS (SELECT DISTINCT term, (['ORG', 'PRODUCT', 'GPE', 'LOC'])[length(term) % 4 + 1] AS label FROM (
-  SELECT t[i] AS term FROM bi UNION ALL SELECT t[i] || ' ' || t[i + 1] FROM bi WHERE i < len(t)) WHERE length(term) > 6)"""
+  SELECT t[i] AS term FROM bi UNION ALL SELECT t[i] || ' ' || t[i + 1] FROM bi WHERE i < len(t) UNION ALL SELECT array_to_string(t[i:i + 4], ' ') FROM bi WHERE i + 4 <= len(t)) WHERE length(term) > 6)"""
 _GRAMS = f"""dw AS (SELECT site_id, url, {_TOKENS.format('text_content')} AS t FROM {{0}}), di AS (SELECT site_id, url, t, unnest(range(1, len(t) + 1)) AS i FROM dw),
-grams AS (SELECT DISTINCT site_id, url, unnest([array_to_string(t[i:i + n - 1], ' ') for n in [1, 2, 3] if i + n - 1 <= len(t)]) AS term FROM di)"""
+grams AS (SELECT DISTINCT site_id, url, unnest([array_to_string(t[i:i + n - 1], ' ') for n in [1, 2, 5] if i + n - 1 <= len(t)]) AS term FROM di)"""
 
 
 @query(f"WITH {I.DOCS}, {_DICT}, {_GRAMS.format('d')} SELECT site_id, url, label, term FROM grams JOIN dict USING (term)")
@@ -218,7 +218,7 @@ _PLACES = f"""pm AS (SELECT site_id, url, {_TOKENS.format('m')} AS t0, [regexp_r
     " UNION ALL ".join(
         f"SELECT site_id, url, unnest(regexp_extract_all(lower(text_content), '(?:^|[^\\pL\\pN_]){p}\\s+([^.;,]+)', 1)) AS m FROM d"
         for p in WORDS.location_triggers) + """)),
-heads AS (SELECT DISTINCT site_id, url, unnest([array_to_string(t[1:n], ' ') for n in [1, 2, 3] if n <= len(t)]) AS term FROM pm)"""
+heads AS (SELECT DISTINCT site_id, url, unnest([array_to_string(t[1:n], ' ') for n in [1, 2, 5] if n <= len(t)]) AS term FROM pm)"""
 
 
 @query(f"""WITH {I.DOCS}, {_DICT}, {_PLACES} SELECT site_id, url, 'locations' AS facet, term AS value FROM heads JOIN dict USING (term)

@@ -9,7 +9,7 @@ from ..functions import html as H, text as T
 from ..operators import keywords as K
 from ..operators.quality import rule_counts, rules_for, validate, with_defaults
 from . import inputs as I
-from .q_keywords import _PAIRS, _PLAN, _ROLL, _client, _plan
+from .q_keywords import _PAIRS, _PLAN, _ROLL, _VOLUME, _client, _plan, _volumes
 from .registry import query
 
 
@@ -60,7 +60,7 @@ def keyword_rule_counts(spark, sf_dir):
 @query(f"""{_ROLL}, x AS (SELECT site_id || '/' || id AS id, CASE WHEN members_count > 8 THEN 3 ELSE 0 END AS n_primary, avg_volume - 4 AS av,
   CASE WHEN dominant_intent <> 'commercial' THEN dominant_intent ELSE 'mixed' END AS di, CASE WHEN dominant_intent <> 'commercial' THEN content_type_suggestion END AS ct FROM clu),
 v AS ({_violations('cluster', 'x', 'id', [
-    ('primary_terms', 'size_1_up', 'n_primary >= 1', 'n_primary'), ('avg_volume', 'min_0', 'av >= 0', 'NULL'),
+    ('content_type_suggestion', 'required', 'ct IS NOT NULL', 'ct'), ('primary_terms', 'size_1_up', 'n_primary >= 1', 'n_primary'), ('avg_volume', 'min_0', 'av >= 0', 'NULL'),
     ('dominant_intent', 'allowed', "di <> 'mixed'", 'di')])}) SELECT "table", key, field, rule, value FROM v""")
 def cluster_violations(spark, sf_dir):
     odd = F.col("dominant_intent") == "commercial"
@@ -74,25 +74,26 @@ def cluster_violations(spark, sf_dir):
     return v.withColumn("value", F.when(F.col("field") != "avg_volume", F.col("value")))
 
 
-@query(f"""{_PAIRS}, vol AS (SELECT p_name || ' ' || lower(p_type) AS keyword, count(*)::INTEGER AS volume FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
-gap AS (SELECT keyword, volume - 160 AS volume, CASE WHEN client_position IS NULL THEN 'missing' WHEN client_position > 12 THEN 'lost' ELSE 'underperforming' END AS kind
-  FROM best LEFT JOIN own USING (keyword) JOIN vol USING (keyword) WHERE client_position IS NULL OR client_position > best_rival),
+@query(f"""{_PAIRS}, {_VOLUME},
+gap AS (SELECT best.site_id || '/' || keyword AS keyword, CASE WHEN volume % 7 > 0 THEN volume - 160 END AS volume, CASE WHEN client_position IS NULL THEN 'missing' WHEN client_position > 12 THEN 'lost' ELSE 'underperforming' END AS kind
+  FROM best LEFT JOIN own USING (site_id, keyword) JOIN vol USING (keyword) WHERE client_position IS NULL OR client_position > best_rival),
 v AS ({_violations('gap', 'gap', 'keyword', [
-    ('volume', 'min_0', 'volume >= 0', 'volume'), ('opportunity_type', 'allowed', "kind <> 'lost'", 'kind')])})
+    ('volume', 'required', 'volume IS NOT NULL', 'volume'), ('volume', 'min_0', 'volume >= 0', 'volume'), ('opportunity_type', 'allowed', "kind <> 'lost'", 'kind')])})
 SELECT "table", key, field, rule, value FROM v""")
 def gap_violations(spark, sf_dir):
-    volumes = I._sold(spark, sf_dir).groupBy(F.col("term").alias("keyword")).agg(F.count(F.lit(1)).cast("int").alias("volume"))
-    gaps = K.gap_analysis(*_client(spark, sf_dir), volumes).withColumn("volume", F.col("volume") - 160).withColumn(
+    gaps = K.gap_analysis(_client(spark, sf_dir), _volumes(spark, sf_dir)).withColumn("keyword", F.concat_ws("/", "site_id", "keyword")).withColumn(
+        "volume", F.when(F.col("volume") % 7 > 0, F.col("volume") - 160)).withColumn(
         "opportunity_type", F.when(F.col("client_position") > 12, "lost").otherwise(F.col("opportunity_type")))
     return validate(gaps, rules_for("gap"), "keyword", "gap")
 
 
-@query(f"""WITH {I.CALENDAR}, x AS (SELECT topic, week, len(secondary_keywords) AS n, priority, content_type FROM cal),
-v AS ({_violations('calendar', 'x', 'topic', [
+@query(f"""WITH {I.CALENDAR}, x AS (SELECT topic, week, len(secondary_keywords) AS n, CASE WHEN priority <> 'low' THEN priority END AS priority, content_type FROM cal),
+v AS ({_violations('calendar', 'x', 'topic', [('priority', 'required', 'priority IS NOT NULL', 'priority'),
     ('week', 'range_1_52', 'week BETWEEN 1 AND 52', 'week'), ('secondary_keywords', 'size_3_6', 'n BETWEEN 3 AND 6', 'n')])})
 SELECT "table", key, field, rule, value FROM v""")
 def calendar_violations(spark, sf_dir):
-    return validate(I.calendar(spark, sf_dir), rules_for("calendar"), "topic", "calendar")
+    c = I.calendar(spark, sf_dir).withColumn("priority", F.when(F.col("priority") != "low", F.col("priority")))
+    return validate(c, rules_for("calendar"), "topic", "calendar")
 
 
 @query(f"""{_PLAN}, v AS ({_violations('calendar', 'plan', "site_id || '/' || week", [
@@ -110,11 +111,11 @@ def _links(spark, sf_dir):
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select(
         F.concat_ws("/", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("key"),
         F.concat(F.when(F.col("i") % 2 == 0, "https://").otherwise(""), F.lit("h.example/a"), F.col("i").cast("string")).alias("url"),
-        F.col("line").alias("anchor_text"), (F.col("i") / 8).alias("relevance_score"))
+        F.col("line").alias("anchor_text"), F.when(F.col("i") % 5 < 4, F.col("i") / 8).alias("relevance_score"))
 
 
-@query(f"""WITH {I.DOC_LINES}, x AS (SELECT crawl_seq || '/' || i AS key, CASE WHEN i % 2 = 0 THEN 'https://' ELSE '' END || 'h.example/a' || i AS url, i / 8 AS rel FROM l),
-v AS ({_violations('link', 'x', 'key', [('url', 'url', "url LIKE 'https://%'", 'url'), ('relevance_score', 'range_0_1', 'rel BETWEEN 0 AND 1', 'rel')])})
+@query(f"""WITH {I.DOC_LINES}, x AS (SELECT crawl_seq || '/' || i AS key, CASE WHEN i % 2 = 0 THEN 'https://' ELSE '' END || 'h.example/a' || i AS url, CASE WHEN i % 5 < 4 THEN i / 8 END AS rel FROM l),
+v AS ({_violations('link', 'x', 'key', [('url', 'url', "url LIKE 'https://%'", 'url'), ('relevance_score', 'required', 'rel IS NOT NULL', 'rel'), ('relevance_score', 'range_0_1', 'rel BETWEEN 0 AND 1', 'rel')])})
 SELECT "table", key, field, rule, value FROM v""")
 def link_violations(spark, sf_dir):
     return validate(_links(spark, sf_dir), rules_for("link"), "key", "link")
@@ -132,13 +133,14 @@ def faq_violations(spark, sf_dir):
 @query(f"""WITH {I.BRIEFS}, x AS (SELECT doc_id, len(lines) AS n, length(lines[1]) AS len1, lang,
   len([y for y, i in lines if i - 1 > 8]) AS far, len([y for y in lines if len(list_filter(regexp_split_to_array(y, '\\s+'), lambda w: w <> '')) < 30]) AS short FROM b),
 v AS ({_violations('brief', 'x', 'doc_id', [
-    ('secondary_keywords', 'size_3_6', 'n BETWEEN 3 AND 6', 'n'), ('page_title', 'length_0_60', 'len1 <= 60', 'len1'),
+    ('cta', 'required', "lang <> 'fr'", 'NULL'), ('secondary_keywords', 'size_3_6', 'n BETWEEN 3 AND 6', 'n'), ('page_title', 'length_0_60', 'len1 <= 60', 'len1'),
     ('meta_description', 'length_120_160', 'len1 BETWEEN 120 AND 160', 'len1'), ('key_takeaways', 'size_3_5', 'n BETWEEN 3 AND 5', 'n'),
     ('internal_links', 'size_3_up', 'n >= 3', 'n'), ('faqs', 'size_4_4', 'n = 4', 'n'), ('tone', 'allowed', "lang IN ('en', 'de')", "'plain'"),
     ('internal_links', 'relevance_0_1', 'far = 0', 'far'), ('faqs', 'answer_words_min_30', 'short = 0', 'short')])})
 SELECT "table", key, field, rule, value FROM v""")
 def brief_violations(spark, sf_dir):
-    return validate(I.briefs(spark, sf_dir), rules_for("brief"), "doc_id", "brief")
+    b = I.briefs(spark, sf_dir).withColumn("cta", F.when(F.col("primary_keyword") != "fr", F.col("cta")))
+    return validate(b, rules_for("brief"), "doc_id", "brief")
 
 
 @query(f"""WITH {I.PAGES}, x AS (SELECT crawl_seq, CASE WHEN url LIKE 'https%' THEN url ELSE regexp_replace(url, '^[a-z]+:', '') END AS url FROM p),

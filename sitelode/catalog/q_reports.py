@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H, text as T
 from ..operators import facets as X, keywords as K, reports as A
-from ..plans.analysis import analyze_sites
+from ..plans.analysis import analyze_facets, analyze_sites
 from ..plans.export import export_jobs, export_tables
 from ..session import scratch_path
 from ..sinks import render as R, writers as W
 from ..sources import read_report
 from . import inputs as I
 from .q_facets import WORDS, _ALL
-from .q_keywords import _ROLL
+from .q_keywords import _PLAN, _ROLL, _plan
 from .registry import query
 
 _RUN = "2024-05-06 07:08:09"
@@ -49,7 +49,7 @@ _ENTITY_JSON = "'{\"name\":\"' || upper(source[1]) || source[2:] || '\",\"homepa
     f"',\"{f}\":' || {_list(f)}" for f in ("services", "products", "locations", "industries", "target_audiences", "exclusions", "brand_terms", "unique_value_props")) + " || '}'"
 
 
-@query(f"WITH {_ALL}, {_SITES} SELECT site_id, 0 AS part, {_ENTITY_JSON} AS content FROM s")
+@query(f"WITH {_ALL}, {_SITES} SELECT site_id, {_ENTITY_JSON} AS content FROM s")
 def business_json(spark, sf_dir):
     return R.business_json(analyze_sites(I.lang_docs(spark, sf_dir), WORDS))
 
@@ -72,18 +72,18 @@ def keywords_csv_file(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    """Clusters with ids unique across sites."""
-    k = I.keywords(spark, sf_dir).withColumn("cluster_id", F.concat_ws("/", "site_id", "cluster_id"))
+    """Clusters whose ids repeat from site to site."""
+    k = I.keywords(spark, sf_dir)
     return K.cluster_rollup(k).withColumn("label", F.col("pillar")), k
 
 
-@query(f"""{_ROLL} SELECT site_id || '/' || id AS id, '{{"id":"' || site_id || '/' || id || '","label":"' || pillar || '","pillar":"' || pillar ||
+@query(f"""{_ROLL} SELECT site_id, id, '{{"id":"' || id || '","label":"' || pillar || '","pillar":"' || pillar ||
 '","total_volume":' || total_volume || ',"members_count":' || members_count || '}}' AS content FROM clu""")
 def clusters_json(spark, sf_dir):
     return R.clusters_json(*_clusters(spark, sf_dir))
 
 
-@query(f"WITH {I.KEYWORDS} SELECT site_id || '/' || cluster_id AS cluster_id, count(*) AS members_count FROM k GROUP BY 1")
+@query(f"WITH {I.KEYWORDS} SELECT site_id, cluster_id, count(*) AS members_count FROM k GROUP BY 1, 2")
 def cluster_sizes(spark, sf_dir):
     return A.cluster_sizes(_clusters(spark, sf_dir)[1])
 
@@ -95,7 +95,8 @@ tot AS (SELECT site_id, count(*) AS n FROM pg GROUP BY 1), {_json_pages(10)}"""
 def _summary(spark, sf_dir):
     pages = I.lang_docs(spark, sf_dir)
     listed = pages.select("site_id", "crawl_seq", "url", F.col("url").alias("title"), F.length("text_content").alias("word_count"))
-    return R.run_summary_json(listed, analyze_sites(pages, WORDS), F.lit(_RUN).cast("timestamp"))
+    names = X.site_names(pages)
+    return R.run_summary_json(listed, analyze_facets(pages, WORDS, names=names), names, F.lit(_RUN).cast("timestamp"))
 
 
 @query(f"""{_SUMMARY} SELECT site_id, 'demo_results_' || source || '_example_com_20240506_070809.json' AS filename, '{{"url":"https://' || source ||
@@ -119,7 +120,7 @@ def _bullets(title: str, lang: str) -> str:
     return f"CASE WHEN lang = '{lang}' THEN '### {title}' || chr(10) || chr(10) || bl || chr(10) || chr(10) ELSE '' END"
 
 
-_BRIEF = f"""WITH {I.BRIEFS}, n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY topic)::INTEGER AS idx,
+_BRIEF = f"""WITH {I.BRIEFS}, n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY topic)::BIGINT AS idx,
   array_to_string(['- ' || x for x in lines], chr(10)) AS bl FROM b),
 f AS (SELECT *, lpad(idx::VARCHAR, 3, '0') || '-plan-' || lang || '-' || doc_id || '-brief.md' AS filename, replace(
   '# ' || topic || ' - Content Brief V2.0~~---~~## Web Page Structure~~**Target URL:** https://' || source || '.example.com/~**H1:** H ' || source ||
@@ -140,7 +141,7 @@ def brief_files(spark, sf_dir):
     return R.render_briefs(I.briefs(spark, sf_dir))
 
 
-_DRAFT = """dr AS (SELECT source AS site_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS idx, 'Plan & ' || lang || ' ' || doc_id AS brief_id, lang, doc_id,
+_DRAFT = """dr AS (SELECT source AS site_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS idx, 'Plan & ' || lang || ' ' || doc_id AS brief_id, lang, doc_id,
   text, n_chars::INTEGER AS word_count FROM documents),
 df AS (SELECT site_id, idx, brief_id, lpad(idx::VARCHAR, 3, '0') || '-plan-' || lang || '-' || doc_id || '-draft.md' AS filename, word_count,
   '---' || chr(10) || 'brief_id: ' || brief_id || chr(10) || 'word_count: ' || word_count || chr(10) || 'readability_score: ' || printf('%.2f', word_count / 8) || chr(10) ||
@@ -171,11 +172,19 @@ def calendar_index(spark, sf_dir):
     return R.calendar_index(I.calendar(spark, sf_dir), R.render_briefs(I.briefs(spark, sf_dir)), R.render_drafts(I.drafts(spark, sf_dir)))
 
 
-_EXPORT_COUNTS = """SELECT source AS site_id, count(*) FILTER (WHERE lang = 'en') AS briefs_count, count(*) AS drafts_count FROM documents GROUP BY 1"""
+@query(f"""{_PLAN} SELECT site_id, week::BIGINT AS idx, pillar AS topic, lpad(week::VARCHAR, 3, '0') || '-draft.md' AS draft_file FROM plan""")
+def planned_calendar_index(spark, sf_dir):
+    """The index of the built calendar: its positions pair the drafts, whatever their order by name."""
+    plan = _plan(spark, sf_dir)
+    files = plan.select("site_id", "idx", F.concat(T.fmt("idx", "03d"), F.lit("-draft.md")).alias("filename"), F.lit(1).alias("word_count"))
+    return R.calendar_index(plan, files, files).select("site_id", "idx", "topic", "draft_file")
+
+
+_EXPORT_COUNTS = """SELECT source AS site_id, count(*) AS briefs_count, count(*) AS drafts_count FROM documents GROUP BY 1"""
 
 
 def _export_inputs(spark, sf_dir):
-    return {"briefs": I.briefs(spark, sf_dir).filter("primary_keyword = 'en'"), "drafts": I.drafts(spark, sf_dir)}
+    return {"briefs": I.briefs(spark, sf_dir), "drafts": I.drafts(spark, sf_dir)}
 
 
 @query(_EXPORT_COUNTS)
@@ -196,16 +205,24 @@ def export_layout(spark, sf_dir):
     names = X.site_names(I.docs(spark, sf_dir))
     drafts = I.drafts(spark, sf_dir).select("site_id", "idx", "content")
     W.write_layout(drafts, path, names, F.lit(_RUN).cast("timestamp"))
-    back = spark.read.schema("site_id string, idx int, content string, client_slug string, run_ts string").parquet(path)
+    back = spark.read.schema("site_id string, idx long, content string, client_slug string, run_ts string").parquet(path)
     return back.groupBy("client_slug", F.concat(F.lit("r"), "run_ts").alias("run")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("content").cast("long")).alias("n_chars"))
 
 
-@query(_EXPORT_COUNTS)
+@query(f"""{_ROLL}, docs AS (SELECT count(*) AS n, count(DISTINCT source) AS sites FROM documents), {I.PAGES}
+SELECT unnest(['briefs', 'drafts', 'content-calendar-index', 'crawl-report', 'business-analysis', 'keywords', 'clusters', 'summary']) AS output,
+  unnest([n, n, (SELECT count(*) FROM orders), (SELECT count(DISTINCT site_id) FROM p), sites, (SELECT count(*) FROM k), (SELECT count(*) FROM clu), sites]) AS n FROM docs""")
 def full_export(spark, sf_dir):
-    """Every table of an export written as JSON; returns brief and draft counts."""
-    tables = {**_export_inputs(spark, sf_dir), "pages": _pages(spark, sf_dir)}
-    return export_jobs(tables, scratch_path(spark, "export"), X.site_names(I.docs(spark, sf_dir)), F.lit(_RUN).cast("timestamp"))
+    """All seven inputs of an export written as JSON; returns the rows of each output, counted in the files."""
+    docs = I.docs(spark, sf_dir)
+    clusters, keywords = _clusters(spark, sf_dir)
+    tables = {**_export_inputs(spark, sf_dir), "pages": _pages(spark, sf_dir), "entity": analyze_sites(docs, WORDS),
+              "keywords": keywords, "clusters": clusters, "calendar": I.calendar(spark, sf_dir)}
+    base = scratch_path(spark, "export")
+    export_jobs(tables, base, X.site_names(docs), F.lit(_RUN).cast("timestamp"))
+    return R.union_all([spark.read.schema("site_id string").json(f"{base}/{name}").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(name).alias("output"), "n") for name in export_tables(tables)])
 
 
 @query("""SELECT f AS format, doc_id, text FROM documents, (SELECT unnest(['csv', 'json', 'parquet']) AS f)""")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import html as _html
+import html.entities as _entities
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 # Code points Python's str.split() and str.strip() treat as white space.
 SPACE_CHARS = "".join(map(chr, [
@@ -17,7 +15,7 @@ SPACE_CHARS = "".join(map(chr, [
 ]))
 
 
-# HTML named character references decoded without leaving the JVM.
+# The HTML named character references that pages use most, looked up first.
 NAMED_ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0",
     "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
@@ -28,6 +26,10 @@ NAMED_ENTITIES = {
     "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ",
 }
 
+# All named references of the standard as one text, ``name;`` and character in turn, for lookup in the JVM.
+_MARK = "\u0001"
+ALL_ENTITIES = _MARK + _MARK.join(f"{k}{v}" for k, v in sorted(_entities.html5.items()) if k.endswith(";")) + _MARK
+
 _ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
@@ -95,19 +97,10 @@ def slug(text, max_length: int = 50) -> Column:
     return or_default(F.lower(cut), "untitled")
 
 
-@F.pandas_udf(StringType())
-def _unescape_every_name(text: pd.Series) -> pd.Series:
-    return text.map(_html.unescape, na_action="ignore")
-
-
-def unescape(text, every_name: bool = False) -> Column:
-    """Decode HTML character references.
-
-    The default decodes numeric references and ``NAMED_ENTITIES`` in one left-to-right JVM pass,
-    so ``&amp;lt;`` gives ``&lt;``. Text without ``&`` is returned untouched. ``every_name=True``
-    covers the full HTML5 name list through an Arrow batch function.
-    """
-    return _unescape_every_name(_col(text)) if every_name else apply_sql(_col(text), "ut", unescape_sql("ut"))
+def unescape(text) -> Column:
+    """Decode HTML character references: numeric ones and every name of the standard that ends in a semicolon, in one
+    left-to-right JVM pass, so ``&amp;lt;`` gives ``&lt;``. Text without ``&`` is returned untouched."""
+    return apply_sql(_col(text), "ut", unescape_sql("ut"))
 
 
 def unescape_sql(text: str) -> str:
@@ -121,9 +114,12 @@ def unescape_sql(text: str) -> str:
         "if(up.ref rlike '^#[xX]', cast(conv(substr(up.ref, 3), 16, 10) as bigint), cast(substr(up.ref, 2) as bigint))",
         "un", "if(un between 1 and 1114111 and un not between 55296 and 57343, "
               "decode(unhex(lpad(hex(un), 8, '0')), 'UTF-32'), '\ufffd')")
+    # Where the name stands in the list of all names, the character behind it.
+    named = sql_let(f"locate(concat('{_MARK}', up.ref, ';'), {sql_literal(ALL_ENTITIES)})", "uat",
+                    f"if(uat > 0, substring_index(substr({sql_literal(ALL_ENTITIES)}, uat + length(up.ref) + 2, 3), '{_MARK}', 1), null)")
     find = (f"named_struct('piece', ux, 'cut', ui > 0, 'ref', "
             f"if(ui > 0, regexp_extract(ux, {sql_literal(_ENTITY)}, 1), ''))")
-    char = f"case when up.ref = '' then null when up.ref like '#%' then {code} else try_element_at(map({names}), up.ref) end"
+    char = f"case when up.ref = '' then null when up.ref like '#%' then {code} else coalesce(try_element_at(map({names}), up.ref), {named}) end"
     decode = f"named_struct('piece', up.piece, 'cut', up.cut, 'n', length(up.ref), 'char', {char})"
     rebuild = "coalesce(uq.char || substr(uq.piece, uq.n + 2), if(uq.cut, '&' || uq.piece, uq.piece))"
     pieces = f"transform(transform(split({text}, '&'), (ux, ui) -> {find}), up -> {decode})"
@@ -196,8 +192,9 @@ def context_window(tokens: Column, position: Column, before: int = 2, after: int
     return F.array_join(F.slice(tokens, start, end - start + 1), " ")
 
 
-def ngrams(tokens: Column, low: int = 1, high: int = 3, edge_stopwords: Sequence[str] = ()) -> Column:
-    """All word n-grams of ``low``..``high`` words, in reading order per length.
+def ngrams(tokens: Column, low: int = 1, high: int = 3, edge_stopwords: Sequence[str] = (),
+           lengths: Sequence[int] | None = None) -> Column:
+    """All word n-grams of ``low``..``high`` words, or of just ``lengths``, in reading order per length.
 
     With ``edge_stopwords``, n-grams that start or end with one of them are left out; words are tested by
     set membership before any n-gram is put together.
@@ -214,7 +211,7 @@ def ngrams(tokens: Column, low: int = 1, high: int = 3, edge_stopwords: Sequence
         keep = f"{open_edge('nw')} and {open_edge(last)}" if rest else open_edge("nw")
         return f"filter(transform(nt, (nw, ni) -> if({keep}, {whole}, null)), nx -> nx is not null)"
 
-    arrays = ", ".join(of_length(n) for n in range(low, high + 1))
+    arrays = ", ".join(of_length(n) for n in (range(low, high + 1) if lengths is None else lengths))
     return apply_sql(tokens, "nt", f"concat({arrays})")
 
 

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as T
 from ..functions.urls import last_segment_phrase, url_part
 from ..lexicons import DEFAULT, Lexicon, group_count
-from ..session import broadcast_if_small, durable, measured_side, size_estimate
-from .ranking import ONE_TASK_BYTES, first_pages
+from ..session import durable
+from .grams import known_grams, normal_term, term_lengths
+from .ranking import first_pages
 
 _NO_VALUES = "array<string>"
 
@@ -65,7 +66,7 @@ def noun_phrases(fragment: Column, stopwords: Sequence[str], max_words: int = 4)
     return F.filter(trimmed, lambda p: (p != "") & (F.size(F.split(p, " ")) <= max_words))
 
 
-def exclusion_values(text, lexicon: Lexicon = DEFAULT, reference_groups: bool = False) -> Column:
+def exclusion_values(text, lexicon: Lexicon = DEFAULT, reference_groups: bool = False, max_words: int = 4) -> Column:
     """Noun phrases of what a page says is not offered; a statement runs to the next full stop.
 
     ``reference_groups=True`` keeps a pattern's own group instead of what follows it.
@@ -77,18 +78,19 @@ def exclusion_values(text, lexicon: Lexicon = DEFAULT, reference_groups: bool =
                            lambda m: F.regexp_replace(m, f"^(?:{pattern})", ""))
 
     found = T.let(F.lower(text), lambda low: _all(statements(low, p) for p in lexicon.exclusion_patterns))
-    return F.flatten(F.transform(found, lambda m: noun_phrases(m, lexicon.noun_stopwords)))
+    return F.flatten(F.transform(found, lambda m: noun_phrases(m, lexicon.noun_stopwords, max_words)))
 
 
+# The patterns of copyright, trademark and registered terms, with Unicode white space.
 def copyright_values(text) -> Column:
     """Holder of the first copyright notice of the page."""
-    holder = T.trim_space(F.regexp_extract(text, r"©\s*\d{4}\s*([^.]+)", 1))
+    holder = T.trim_space(F.regexp_extract(text, r"(?U)©\s*\d{4}\s*([^.]+)", 1))
     return F.when(holder != "", F.array(holder)).otherwise(_none())
 
 
 def _before_sign(text, sign: str) -> Column:
     """Non-space runs before ``sign``. Most pages hold none, so the pattern only runs where it occurs."""
-    return F.when(F.contains(text, F.lit(sign)), _matches(text, rf"([^\s]+){sign}", 1)).otherwise(_none())
+    return F.when(F.contains(text, F.lit(sign)), _matches(text, rf"(?U)([^\s]+){sign}", 1)).otherwise(_none())
 
 
 def trademark_values(text) -> Column:
@@ -124,18 +126,18 @@ def value_prop_values(text, lexicon: Lexicon = DEFAULT, low: int = 11, high: int
     return F.transform(F.filter(found, lambda v: F.length(v).between(low, high)), T.trim_space)
 
 
-def trigger_service_values(text, lexicon: Lexicon = DEFAULT) -> Column:
+def trigger_service_values(text, lexicon: Lexicon = DEFAULT, max_words: int = 4) -> Column:
     """Noun phrases after a service trigger, up to the end of the clause."""
     found = T.let(F.lower(text), lambda low: _all(
         _matches(low, rf"(?U)\b{p}\s+([^.;]+)", 1) for p in lexicon.service_triggers))
-    return F.flatten(F.transform(found, lambda m: noun_phrases(m, lexicon.noun_stopwords)))
+    return F.flatten(F.transform(found, lambda m: noun_phrases(m, lexicon.noun_stopwords, max_words)))
 
 
-def trigger_location_candidates(text, lexicon: Lexicon = DEFAULT, max_words: int = 3) -> Column:
-    """One- to three-word phrases right after a location trigger, lower case, edge punctuation removed."""
+def trigger_location_candidates(text, lexicon: Lexicon = DEFAULT, lengths: Sequence[int] = (1, 2, 3)) -> Column:
+    """Phrases of ``lengths`` words right after a location trigger, lower case, edge punctuation removed."""
     def heads(match: Column) -> Column:
         tokens = F.transform(T.words(match), T.strip_punctuation)
-        return F.transform(F.sequence(F.lit(1), F.least(F.size(tokens), F.lit(max_words))),
+        return F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.size(tokens)),
                            lambda n: F.array_join(F.slice(tokens, F.lit(1), n), " "))
 
     found = T.let(F.lower(text), lambda low: _all(
@@ -195,8 +197,11 @@ def link_services(pages: DataFrame, lexicon: Lexicon = DEFAULT, n_pages: int = 1
     return explode_facet(head, "services", link_service_values(F.col("internal_links"), lexicon, n_links))
 
 
-def exclusions(pages: DataFrame, lexicon: Lexicon = DEFAULT, reference_groups: bool = False) -> DataFrame:
-    return explode_facet(pages, "exclusions", exclusion_values(F.col("text_content"), lexicon, reference_groups))
+def exclusions(pages: DataFrame, lexicon: Lexicon = DEFAULT, reference_groups: bool = False,
+               max_words: int = 4) -> DataFrame:
+    """Exclusions; ``max_words`` is the longest noun phrase that is one, by the data model four."""
+    return explode_facet(pages, "exclusions",
+                         exclusion_values(F.col("text_content"), lexicon, reference_groups, max_words))
 
 
 def copyright_holders(pages: DataFrame) -> DataFrame:
@@ -263,34 +268,39 @@ def value_props(pages: DataFrame, lexicon: Lexicon = DEFAULT, n_pages: int = 10)
     return explode_facet(head, "unique_value_props", value_prop_values(F.col("text_content"), lexicon))
 
 
-def trigger_services(pages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    return explode_facet(pages, "services", trigger_service_values(F.col("text_content"), lexicon))
+def trigger_services(pages: DataFrame, lexicon: Lexicon = DEFAULT, max_words: int = 4) -> DataFrame:
+    """Noun phrases of up to ``max_words`` words after a service trigger."""
+    return explode_facet(pages, "services", trigger_service_values(F.col("text_content"), lexicon, max_words))
 
 
 def _dictionary(entity_dict: DataFrame) -> DataFrame:
-    return broadcast_if_small(entity_dict.select(F.lower("term").alias("_term"), "term", "label").distinct())
+    terms = entity_dict.select(normal_term("term").alias("_term"), "term", "label")
+    return terms.filter(F.col("_term") != "").distinct()
 
 
 def trigger_locations(pages: DataFrame, entity_dict: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Places of the dictionary named right after a location trigger."""
-    places = _dictionary(entity_dict.filter(F.col("label").isin("GPE", "LOC")))
+    """Places of the dictionary named right after a location trigger, of as many words as its places have."""
+    places = durable(_dictionary(entity_dict.filter(F.col("label").isin("GPE", "LOC"))))
+    lengths = term_lengths(places, "_term")
+    if not lengths:
+        return explode_facet(pages, "locations", _none()).limit(0)
     heads = explode_facet(pages, "locations",
-                          F.array_distinct(trigger_location_candidates(F.col("text_content"), lexicon)))
+                          F.array_distinct(trigger_location_candidates(F.col("text_content"), lexicon, lengths)))
     return heads.join(places, heads["value"] == places["_term"]).select(
         "site_id", "url", "facet", F.col("term").alias("value"))
 
 
-def match_entities(pages: DataFrame, entity_dict: DataFrame, max_ngram: int = 3,
-                   head_chars: int | None = None) -> DataFrame:
-    """Dictionary terms of 1-3 words found in each page: ``site_id, url, label, term``.
+def match_entities(pages: DataFrame, entity_dict: DataFrame, head_chars: int | None = None) -> DataFrame:
+    """Dictionary terms found in each page, of any number of words: ``site_id, url, label, term``.
 
-    Each page is reduced to its distinct n-grams before the equi-join. Whole texts are searched;
-    ``head_chars=5000`` limits the search to the head of each page.
+    Each page is reduced to its distinct n-grams of the lengths that the dictionary has before the equi-join. Both sides
+    are lower-case words without edge punctuation. Whole texts are searched; ``head_chars=5000`` limits
+    the search to the head of each page.
     """
     text = F.col("text_content") if head_chars is None else T.head_text("text_content", head_chars)
-    grams = pages.select("site_id", "url", T.plain_tokens(text).alias("_tokens")).select(
-        "site_id", "url", F.explode(F.array_distinct(T.ngrams(F.col("_tokens"), 1, max_ngram))).alias("_term"))
-    return grams.join(_dictionary(entity_dict), "_term").select("site_id", "url", "label", "term")
+    terms = durable(_dictionary(entity_dict))
+    grams = known_grams(pages.select("site_id", "url", T.plain_tokens(text).alias("_tokens")), "_tokens", terms, "_term")
+    return grams.join(terms, "_term").select("site_id", "url", "label", "term")
 
 
 def tag_with_model(pages: DataFrame, tagger, schema: str = "site_id string, url string, label string, term string",
@@ -330,32 +340,19 @@ def facet_counts(facets: DataFrame,
         F.count(F.when(F.col("facet") == name, F.lit(1))).alias(name) for name in names])
 
 
-def business_entity(facets: DataFrame, sites: DataFrame, max_values: int = 10_000) -> DataFrame:
-    """Wide business record per site with sorted facet arrays.
+def business_entity(facets: DataFrame, sites: DataFrame) -> DataFrame:
+    """Wide business record, one row per site, with sorted facet arrays; ``sites`` has ``site_id, name, homepage``.
 
-    ``sites`` has ``site_id, name, homepage``. A site with more than ``max_values`` values is written
-    as several rows (``part`` 0, 1, ...) holding disjoint value sets, so that no row or task has
-    to hold an unbounded list and no value is dropped.
+    The long form (:func:`distinct_facets`) is the primary result: this row gathers all values of a site, as the record of
+    the data model does, so use the long form for sites with more values than fit one row.
     """
     from ..schema import FACETS
 
-    values = distinct_facets(facets)
-    if size_estimate(values) > ONE_TASK_BYTES:
-        values = durable(values)  # read twice below: counted, then gathered
-    large = (
-        values.groupBy("site_id").count().filter(F.col("count") > max_values)
-        .select("site_id", F.ceil(F.col("count") / max_values).cast("int").alias("_parts"))
-    )
-    split = values.join(measured_side(large), "site_id", "left").withColumn(
-        "part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64("facet", "value"), F.col("_parts")).cast("int")))
-    arrays = split.groupBy("site_id", "part").agg(*[
+    arrays = distinct_facets(facets).groupBy("site_id").agg(*[
         F.array_sort(F.collect_list(F.when(F.col("facet") == f, F.col("value")))).alias(f) for f in FACETS
     ])
-    joined = sites.join(arrays, "site_id", "left")
-    return joined.select(
-        "site_id", "name", "homepage", F.coalesce("part", F.lit(0)).alias("part"),
-        *[F.coalesce(F.col(f), _none()).alias(f) for f in FACETS])
+    return sites.join(arrays, "site_id", "left").select(
+        "site_id", "name", "homepage", *[F.coalesce(F.col(f), _none()).alias(f) for f in FACETS])
 
 
 def site_names(pages: DataFrame, dehyphenate: bool = False) -> DataFrame:
@@ -366,6 +363,3 @@ def site_names(pages: DataFrame, dehyphenate: bool = False) -> DataFrame:
     root = url_root("_url")
     return first.select("site_id", business_name(root, dehyphenate).alias("name"),
                         F.concat(root, F.lit("/")).alias("homepage"))
-
-
-__all__ = [name for name in dir() if not name.startswith("_")]

@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..lexicons import NOUN_STOPWORDS
-from ..session import broadcast_if_small, durable, measured_side
+from ..functions.urls import url_join, url_part, url_root
+from ..session import durable
+from .grams import known_grams, normal_term
 from .ranking import top_n
 
-# Content type per dominant intent.
+# Content type per dominant intent, so that the default content mix can be filled.
 INTENT_CONTENT = {
-    "informational": "blog", "commercial": "comparison", "transactional": "product", "navigational": "landing",
+    "informational": "blog", "commercial": "service", "transactional": "product", "navigational": "landing",
 }
 
 
@@ -50,27 +52,25 @@ def filter_keywords(df: DataFrame, min_volume: int = 10, max_competition: float
                      & (F.col("difficulty_proxy") <= max_difficulty))
 
 
-def _term_hits(keys: DataFrame, pages: DataFrame, max_ngram: int) -> DataFrame:
-    """Distinct ``site_id, term`` of ``keys`` that occur on a page of their site.
-
-    N-grams meet the keywords before they are made distinct, so only hits are shuffled when the keyword
-    table is small enough to broadcast.
-    """
-    grams = pages.select("site_id", T.plain_tokens("text_content").alias("_t")).select(
-        "site_id", F.explode(F.array_distinct(T.ngrams(F.col("_t"), 1, max_ngram))).alias("term"))
-    return grams.join(broadcast_if_small(keys), ["site_id", "term"], "left_semi").distinct()
+def _term_hits(keys: DataFrame, pages: DataFrame) -> DataFrame:
+    """Distinct ``site_id, term`` of ``keys`` (normalised terms of any length) that occur on a page of their site."""
+    keys = durable(keys.filter(F.col("term") != "").distinct())
+    tokens = pages.select("site_id", T.plain_tokens("text_content").alias("_t"))
+    return known_grams(tokens, "_t", keys, "term").join(keys, ["site_id", "term"], "left_semi").distinct()
 
 
-def site_evidence(keywords: DataFrame, pages: DataFrame, max_ngram: int = 3) -> DataFrame:
-    """Keywords whose (lower-case, punctuation-free) words occur together on a page of their site."""
-    hits = _term_hits(keywords.select("site_id", "term"), pages, max_ngram)
-    return keywords.join(hits, ["site_id", "term"], "left_semi")
+def site_evidence(keywords: DataFrame, pages: DataFrame) -> DataFrame:
+    """Keywords whose words occur together on a page of their site, any case, edge punctuation aside."""
+    marked = keywords.withColumn("_term", normal_term("term"))
+    hits = _term_hits(marked.select("site_id", F.col("_term").alias("term")), pages)
+    return marked.join(hits.withColumnRenamed("term", "_term"), ["site_id", "_term"], "left_semi").select(*keywords.columns)
 
 
-def verify_keywords(keywords: DataFrame, pages: DataFrame, max_ngram: int = 3) -> DataFrame:
-    """Fill ``verified_against_site`` and ``cannot_verify_note``: does the term occur on a page of its site?"""
-    marked = keywords.withColumn("_term", T.collapse_space(F.lower("term")))
-    found = _term_hits(marked.select("site_id", F.col("_term").alias("term")), pages, max_ngram).select(
+def verify_keywords(keywords: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fill ``verified_against_site`` and ``cannot_verify_note``: does the term occur on a page of its site? Terms may have any
+    number of words; terms and pages are compared as lower-case words without edge punctuation."""
+    marked = keywords.withColumn("_term", normal_term("term"))
+    found = _term_hits(marked.select("site_id", F.col("_term").alias("term")), pages).select(
         "site_id", F.col("term").alias("_term"), F.lit(True).alias("_hit"))
     return (
         marked.join(found, ["site_id", "_term"], "left")
@@ -82,20 +82,35 @@ def verify_keywords(keywords: DataFrame, pages: DataFrame, max_ngram: int = 3) -
 
 # --- clusters ------------------------------------------------------------------------------------
 
-def term_signatures(term) -> Column:
-    """The sorted distinct words of a term, and that list with each one word left out.
+def term_signatures(term, threshold: float = 0.5) -> Column:
+    """What terms share exactly when the Jaccard similarity of their word sets is at least ``threshold``.
 
-    Two terms share a signature when their word sets differ in at most one word on either side, that is
-    when their Jaccard similarity is at least (n - 1) / (n + 1) for n-word terms. One-word terms only
-    have their own word.
+    Sets of n and m words are that similar when they have at least ``o = ceil(t * (n + m) / (1 + t))`` words in
+    common. So each term lists, for each size m that can be similar, its subsets of o words, marked with n and m, and no pair
+    is ever formed: a term of n and one of m words share a mark if and only if they are similar. ``even`` says
+    that n and m are equal; an uneven mark counts only if terms of both sizes have it (:func:`cluster_keywords`).
+    Keywords have few words; a term of n words has at most 2 ** n subsets.
     """
     tokens = F.array_sort(F.array_distinct(T.words(F.lower(term))))
-    whole = F.array(F.array_join(tokens, " "))
-    shorter = F.transform(tokens, lambda w: F.array_join(F.array_remove(tokens, w), " "))
-    return F.array_distinct(F.when(F.size(tokens) > 1, F.concat(whole, shorter)).otherwise(whole))
+    kind = "array<array<string>>"
+    subsets = F.aggregate(tokens, F.array(F.array().cast("array<string>")).cast(kind),
+                          lambda done, w: F.concat(done, F.transform(done, lambda s: F.array_append(s, w))))
+
+    def marks(ts: Column) -> Column:
+        n = F.size(ts)
+        low, high = F.ceil(n * F.lit(threshold) - 1e-9).cast("int"), F.floor(n / F.lit(threshold) + 1e-9).cast("int")
+        sizes = F.transform(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1))), lambda m: F.struct(
+            F.least(n, m).alias("a"), F.greatest(n, m).alias("b"),
+            F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9).cast("int").alias("o")))
+        return F.flatten(F.transform(sizes, lambda x: F.transform(
+            F.filter(subsets, lambda s: F.size(s) == x["o"]),
+            lambda s: F.struct((x["a"] == x["b"]).alias("even"), F.concat(
+                x["a"].cast("string"), F.lit("/"), x["b"].cast("string"), F.lit("/"), F.array_join(s, " ")).alias("mark")))))
 
+    return F.when(F.size(tokens) > 0, marks(tokens)).otherwise(F.array(F.struct(F.lit(True).alias("even"), F.lit("0/0/").alias("mark"))))
 
-def connected_labels(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+
+def connected_labels(links: DataFrame) -> DataFrame:
     """``node, label``: smallest node of each connected component of a node-signature table.
 
     The graph is bipartite, so its size is the number of (node, signature) rows: pairs of nodes that
@@ -106,7 +121,7 @@ def connected_labels(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     links = durable(links.select("node", "sig").distinct())
     labels = durable(links.groupBy("node").agg(F.min("node").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         by_sig = links.join(labels, "node").groupBy("sig").agg(F.min("label").alias("label"))
         near = links.join(by_sig, "sig").groupBy("node").agg(F.min("label").alias("label"))
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("_next"))
@@ -120,18 +135,22 @@ def connected_labels(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = updated.select("node", "label")
         if updated.filter("_changed").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
-def cluster_keywords(df: DataFrame, min_size: int = 3) -> DataFrame:
-    """Adds ``cluster_id`` (smallest member term): single-link groups of terms sharing a signature.
+def cluster_keywords(df: DataFrame, threshold: float = 0.5, min_size: int = 3) -> DataFrame:
+    """Adds ``cluster_id`` (smallest member term): single-link groups of terms whose words have a Jaccard similarity of
+    at least ``threshold``.
 
     Works per site. Groups under ``min_size`` stay unclustered (NULL).
     """
     # The site is part of node and signature, so sites never mix.
-    linked = df.select(
-        F.struct("site_id", "term").alias("node"),
-        F.explode(F.transform(term_signatures("term"), lambda g: F.struct(F.col("site_id"), g.alias("words")))).alias("sig"))
+    marked = df.select(
+        F.struct("site_id", "term").alias("node"), F.size(F.array_distinct(T.words(F.lower("term")))).alias("n"),
+        F.explode(term_signatures("term", threshold)).alias("m"))
+    marked = durable(marked.select("node", "n", "m.even", F.struct(F.col("node.site_id").alias("site_id"), "m.mark").alias("sig")))
+    both = marked.filter(~F.col("even")).groupBy("sig").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high")
+    linked = marked.filter("even").select("node", "sig").unionByName(
+        marked.filter(~F.col("even")).join(both, "sig", "left_semi").select("node", "sig"))
     labels = connected_labels(linked)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size)
     kept = labels.join(sizes.select("label"), "label", "left_semi").select(
@@ -197,7 +216,7 @@ def label_terms(keywords: DataFrame) -> DataFrame:
     tf = tokens.groupBy("site_id", "cluster_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     overall = tf.groupBy("site_id", "word").agg(F.sum("tf").alias("f"))
     mean = tf.groupBy("site_id").agg((F.sum("tf") / F.count_distinct("cluster_id")).alias("a"))
-    return tf.join(overall, ["site_id", "word"]).join(measured_side(mean), "site_id").select(
+    return tf.join(overall, ["site_id", "word"]).join(mean, "site_id").select(
         "site_id", "cluster_id", "word", (F.col("tf") * F.log1p(F.col("a") / F.col("f"))).alias("weight"))
 
 
@@ -218,52 +237,50 @@ def suggest_content_type(intent) -> Column:
 
 # --- competitors ---------------------------------------------------------------------------------
 
-def competitor_positions(ranks: DataFrame) -> DataFrame:
-    """``keyword, competitors_ranking``: best position per competing domain, as a map.
+def compare_ranks(ranks: DataFrame) -> DataFrame:
+    """``site_id, keyword, client_position, best_rival, competitors_ranking`` in one pass over ``ranks`` (``site_id, keyword,
+    domain, position, own``; ``own`` marks the client's rows).
 
-    Ranks hold one row per keyword and competitor, so a map is as long as the competitor list.
+    The map holds the best position of each competing domain, so it is as long as a site's list of competitors; it
+    is empty where no competitor ranks.
     """
-    best = ranks.groupBy("keyword", "domain").agg(F.min("position").alias("position"))
-    return best.groupBy("keyword").agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("domain", F.col("position").cast("int"))))).alias("competitors_ranking"))
-
-
-def rank_compare(client: DataFrame, rivals: DataFrame) -> DataFrame:
-    """Full outer comparison of a client's positions with the best rival position per keyword."""
-    own = client.groupBy("keyword").agg(F.min("position").alias("client_position"))
-    best = rivals.groupBy("keyword").agg(F.min("position").alias("best_rival"))
-    return own.join(best, "keyword", "full")
+    keys = ["site_id", "keyword"]
+    best = ranks.groupBy(*keys, "domain", "own").agg(F.min("position").cast("int").alias("position"))
+    entries = F.array_sort(F.collect_list(F.when(~F.col("own"), F.struct("domain", "position"))))
+    return best.groupBy(*keys).agg(
+        F.min(F.when(F.col("own"), F.col("position"))).alias("client_position"),
+        F.min(F.when(~F.col("own"), F.col("position"))).alias("best_rival"),
+        F.map_from_entries(entries).alias("competitors_ranking"))
 
 
-def gap_analysis(client: DataFrame, rivals: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Keywords where a rival ranks and the client does not (missing) or ranks worse (underperforming).
+def gap_analysis(ranks: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Keywords of each site where a rival ranks and the client does not (missing) or ranks worse (underperforming), with the map
+    of competitors; ``volumes`` has ``site_id, keyword, volume``.
 
     ``gap_score = volume * (1 / best_rival - 1 / client_position)``, the client term 0 when missing.
     """
     client_term = F.coalesce(1 / F.col("client_position"), F.lit(0.0))
     score = F.greatest(F.col("volume") * (1 / F.col("best_rival") - client_term), F.lit(0.0))
     return (
-        rank_compare(client, rivals)
+        compare_ranks(ranks)
         .filter(F.col("best_rival").isNotNull()
                 & (F.col("client_position").isNull() | (F.col("client_position") > F.col("best_rival"))))
-        .join(volumes, "keyword")
+        .join(volumes, ["site_id", "keyword"])
         .withColumn("gap_score", score)
         .withColumn("opportunity_type",
                     F.when(F.col("client_position").isNull(), "missing").otherwise("underperforming"))
-        .select("keyword", "volume", "client_position", "best_rival", "gap_score", "opportunity_type")
+        .select("site_id", "keyword", "volume", "competitors_ranking", "client_position", "best_rival", "gap_score",
+                "opportunity_type")
     )
 
 
 # --- calendar ------------------------------------------------------------------------------------
 
-def _quota_table(df: DataFrame, quota: Mapping[str, int]) -> DataFrame:
-    return df.sparkSession.createDataFrame(list(quota.items()), "content_type string, quota int")
-
-
 def assign_weeks(items: DataFrame, quota: Mapping[str, int], weeks: int = 36) -> DataFrame:
     """Weeks 1.. per site for the best-scored items within each content type's quota.
 
-    Both cuts (quota, weeks) happen before their shuffle, so a site's size does not matter.
+    Both cuts (quota, weeks) happen before their shuffle, so a site's size does not matter. Items of types that the
+    quota does not name cannot be planned; :func:`unquoted_types` reports them.
     """
     order = [-F.col("score"), "topic"]
     widest = max(quota.values())
@@ -273,6 +290,12 @@ def assign_weeks(items: DataFrame, quota: Mapping[str, int], weeks: int = 36) ->
     return top_n(within, ["site_id"], order, weeks, "week")
 
 
+def unquoted_types(items: DataFrame, quota: Mapping[str, int]) -> DataFrame:
+    """``site_id, content_type, items``: how many items have a content type that the quota does not plan."""
+    return items.filter(~F.coalesce(F.col("content_type").isin(*quota), F.lit(False))).groupBy("site_id", "content_type").agg(
+        F.count(F.lit(1)).alias("items"))
+
+
 def assign_priority(items: DataFrame) -> DataFrame:
     """Thirds of a site's calendar by score: high, medium, low.
 
@@ -292,20 +315,26 @@ def secondary_keywords(keywords: DataFrame, most: int = 6) -> DataFrame:
         *keys, F.transform("_t", lambda t: t["term"]).alias("secondary_keywords"))
 
 
+def calendar_items(clusters: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Clusters as items that a calendar can plan: those with at least three further members."""
+    extra = secondary_keywords(keywords).filter(F.size("secondary_keywords") >= 3)
+    return clusters.withColumnRenamed("id", "cluster_id").join(extra, ["site_id", "cluster_id"]).select(
+        "site_id", "cluster_id", F.col("pillar").alias("topic"), F.col("content_type_suggestion").alias("content_type"),
+        F.col("pillar").alias("primary_keyword"), "secondary_keywords", F.col("total_volume").cast("double").alias("score"))
+
+
 def content_calendar(clusters: DataFrame, keywords: DataFrame, quota: Mapping[str, int], weeks: int = 36,
                      hours: float = 4.0) -> DataFrame:
     """One item per week and site from its clusters, best total volume first.
 
-    Clusters with fewer than three further members cannot give three secondary keywords and are left out.
+    ``idx`` is the item's position in its site's calendar; briefs and drafts carry it on. Clusters with fewer than three
+    further members cannot give three secondary keywords and are left out.
     """
-    extra = secondary_keywords(keywords).filter(F.size("secondary_keywords") >= 3)
-    items = clusters.withColumnRenamed("id", "cluster_id").join(extra, ["site_id", "cluster_id"]).select(
-        "site_id", "cluster_id", F.col("pillar").alias("topic"), F.col("content_type_suggestion").alias("content_type"),
-        F.col("pillar").alias("primary_keyword"), "secondary_keywords", F.col("total_volume").cast("double").alias("score"))
-    planned = assign_priority(assign_weeks(items, quota, weeks))
+    planned = assign_priority(assign_weeks(calendar_items(clusters, keywords), quota, weeks))
     return planned.select(
-        "site_id", "week", "topic", "content_type", "primary_keyword", "secondary_keywords", "cluster_id",
-        F.lit(None).cast("string").alias("target_url"), F.lit(hours).alias("estimated_effort_hours"), "priority")
+        "site_id", F.col("week").cast("long").alias("idx"), "week", "topic", "content_type", "primary_keyword",
+        "secondary_keywords", "cluster_id", F.lit(None).cast("string").alias("target_url"),
+        F.lit(hours).alias("estimated_effort_hours"), "priority")
 
 
 def content_mix(calendar: DataFrame, quota: Mapping[str, int]) -> DataFrame:
@@ -328,10 +357,39 @@ UK_SPELLINGS = {
 }
 
 
-def broken_links(draft_links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Draft links whose target is not a crawled URL of the site."""
-    known = pages.select("site_id", F.col("url").alias("target")).distinct()
-    return draft_links.join(known, ["site_id", "target"], "left_anti")
+def us_forms(spellings: Mapping[str, str] = UK_SPELLINGS) -> list[str]:
+    """The US base forms and their inflections: plural, past, ``-ing`` and agent forms, those of ``-ize`` also with ``-ization``."""
+    forms = set()
+    for word in spellings:
+        stem = word[:-1] if word.endswith("e") else word
+        forms |= {word, f"{word}s", f"{stem}ed", f"{stem}ing", f"{stem}er", f"{stem}ers"}
+        if word.endswith("ize"):
+            forms |= {f"{stem}ation", f"{stem}ations"}
+        if word.endswith("ing"):
+            forms |= {f"{word[:-3]}ed", f"{word[:-3]}er", f"{word[:-3]}ers"}
+    return sorted(forms)
+
+
+# Markdown targets and bare http(s) URLs of a text.
+_LINK = r"\]\(([^()\s]+)|(https?://[^\s()<>\"']+)"
+
+
+def draft_links(drafts: DataFrame, key: str = "idx") -> DataFrame:
+    """``site_id, key, target`` of the links in drafts: Markdown targets, relative ones too, and bare URLs without the
+    punctuation that closes a sentence."""
+    found = F.regexp_extract_all("content", F.lit(_LINK), F.lit(0))
+    bare = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\]\(", ""), r"[.,;:!?]+$", ""))
+    return drafts.select("site_id", key, F.explode(F.array_distinct(bare)).alias("target"))
+
+
+def broken_links(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links to the own site (``site_id, target``, relative or absolute) that lead to no stored page. Links to
+    other hosts and other schemes are not the site's to break."""
+    roots = pages.groupBy("site_id").agg(F.concat(url_root(F.min("url")), F.lit("/")).alias("_root"))
+    whole = links.join(roots, "site_id").withColumn("_to", url_join("_root", "target"))
+    own = whole.filter(F.coalesce(url_part("_to", "AUTHORITY") == url_part("_root", "AUTHORITY"), F.lit(False)))
+    known = pages.select("site_id", F.col("url").alias("_to")).distinct()
+    return own.join(known, ["site_id", "_to"], "left_anti").select(*links.columns)
 
 
 def reading_ease(text) -> Column:
@@ -347,17 +405,15 @@ def draft_qa(drafts: DataFrame, pages: DataFrame | None = None, spellings: Mappi
              key: str = "idx") -> DataFrame:
     """Word count, readability, UK spelling and link validity of each draft.
 
-    Links are the absolute http(s) URLs in the draft's content; a draft is valid when none is broken.
+    A draft is valid when none of its links to the own site is broken; see :func:`draft_links` and :func:`broken_links`.
     """
     text = F.col("content")
-    us_words = rf"(?i)(?:^|[^a-z])(?:{'|'.join(spellings)})(?:[^a-z]|$)"
+    us_words = rf"(?i)(?:^|[^a-z])(?:{'|'.join(us_forms(spellings))})(?:[^a-z]|$)"
     checked = drafts.select(
         "site_id", key, T.word_count(text).alias("word_count"), reading_ease(text).alias("readability_score"),
         (~text.rlike(us_words)).alias("uk_english_verified"))
     if pages is None:
         return checked
-    links = drafts.select("site_id", key, F.explode(
-        F.regexp_extract_all("content", F.lit(r"https?://[^\s()<>\"']+"), F.lit(0))).alias("target"))
-    broken = broken_links(links, pages).groupBy("site_id", key).agg(F.count(F.lit(1)).alias("_broken"))
+    broken = broken_links(draft_links(drafts, key), pages).groupBy("site_id", key).agg(F.count(F.lit(1)).alias("_broken"))
     return checked.join(broken, ["site_id", key], "left").withColumn(
         "internal_links_validated", F.col("_broken").isNull()).drop("_broken")

@@ -58,8 +58,8 @@ def http_url(field: str) -> Rule:
 
 
 def every_item(field: str, name: str, test) -> Rule:
-    """All items of a list pass; the shown value is the number that do not."""
-    failing = F.size(F.filter(field, lambda item: ~F.coalesce(test(item), F.lit(True))))
+    """All items of a list pass, NULL ones do not; the shown value is the number that fail."""
+    failing = F.size(F.filter(field, lambda item: ~F.coalesce(test(item), F.lit(False))))
     return Rule(field, name, F.when(F.col(field).isNotNull(), failing == 0), failing.cast("string"))
 
 
@@ -74,23 +74,29 @@ def rules_for(table: str) -> list[Rule]:
                 within("ads_competition", 0, 1), at_least("cpc", 0), at_least("score", 0),
                 within("difficulty_proxy", 0, 100), one_of("intent", S.INTENTS)]
     if table == "cluster":
-        return [required("id"), required("label"), required("pillar"), list_size("primary_terms", 1),
+        return [*map(required, ("id", "label", "pillar", "primary_terms", "avg_volume", "total_volume", "dominant_intent",
+                                "content_type_suggestion")), list_size("primary_terms", 1),
                 at_least("avg_volume", 0), at_least("total_volume", 0), one_of("dominant_intent", S.INTENTS),
                 one_of("content_type_suggestion", S.CONTENT_TYPES)]
     if table == "gap":
-        return [required("keyword"), at_least("volume", 0), at_least("gap_score", 0),
+        return [*map(required, ("keyword", "volume", "competitors_ranking", "gap_score", "opportunity_type")),
+                at_least("volume", 0), at_least("gap_score", 0),
                 one_of("opportunity_type", S.OPPORTUNITIES)]
     if table == "calendar":
-        return [required("topic"), within("week", 1, 52), list_size("secondary_keywords", 3, 6),
+        return [*map(required, ("topic", "week", "content_type", "primary_keyword", "secondary_keywords", "cluster_id",
+                                "estimated_effort_hours", "priority")), within("week", 1, 52), list_size("secondary_keywords", 3, 6),
                 at_least("estimated_effort_hours", 0), one_of("priority", S.PRIORITIES),
                 one_of("content_type", S.CONTENT_TYPES)]
     if table == "link":
-        return [required("anchor_text"), http_url("url"), required("url"), within("relevance_score", 0, 1)]
+        return [*map(required, ("anchor_text", "url", "relevance_score")), http_url("url"), within("relevance_score", 0, 1)]
     if table == "faq":
         count = word_count("answer")
-        return [required("question"), Rule("answer", "words_min_30", count >= 30, count.cast("string"))]
+        return [required("question"), required("answer"), Rule("answer", "words_min_30", count >= 30, count.cast("string"))]
     if table == "brief":
-        return [required("topic"), list_size("secondary_keywords", 3, 6), text_length("page_title", 0, 60),
+        return [*map(required, ("topic", "primary_keyword", "secondary_keywords", "content_type", "target_url", "h1", "page_title",
+                                "meta_description", "key_takeaways", "internal_links", "audience", "tone", "pov", "cta",
+                                "headings_outline", "faqs")),
+                list_size("secondary_keywords", 3, 6), text_length("page_title", 0, 60),
                 text_length("meta_description", 120, 160), list_size("key_takeaways", 3, 5),
                 list_size("internal_links", 3), list_size("faqs", 4, 4), one_of("tone", S.TONES),
                 one_of("pov", S.POINTS_OF_VIEW), one_of("content_type", S.CONTENT_TYPES),

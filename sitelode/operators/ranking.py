@@ -6,14 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import broadcast_if_small, durable, measured_side, size_estimate
+from ..session import durable
 
 # Spark prunes ``row_number() <= n`` before the shuffle up to this n (windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
-HOT_ROWS = 1_000_000
-SPLITTERS = 64
-# Inputs up to this estimated size are ranked without looking for hot groups.
-ONE_TASK_BYTES = 256 * 1024 * 1024
+# Rows that one task ranks.
+RANGE_ROWS = 1_000_000
 
 
 def _key(order: Sequence) -> list[Column]:
@@ -21,55 +19,38 @@ def _key(order: Sequence) -> list[Column]:
 
 
 def rank_rows(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "idx",
-              hot_rows: int | None = None, splitters: int = SPLITTERS) -> DataFrame:
-    """Exact 1-based position of each row in its group, ascending by ``order`` (must be unique).
-
-    An input estimated at ``ONE_TASK_BYTES`` or less takes a plain window. Otherwise groups are counted on
-    their key columns alone, and those above ``hot_rows`` are cut into ranges at splitter keys (the rows
-    with the smallest key hashes, a bounded sample), so no task sorts a whole hot group: the position is the
-    position in the range plus the sizes of the ranges before it. Hot groups, splitters and range sizes are
-    written first, so they are broadcast by measured size.
+              range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Exact 1-based position of each row in its group, ascending by ``order`` (must be unique), as a long.
+
+    The input is evaluated once and written. Its row count gives the number of ranges over (group, order) that it is dealt
+    to, so a task ranks about ``range_rows`` rows however large a group is. A position is the position
+    within the range plus the sizes of the group's ranges before it.
     """
     by = list(by)
-    plain = F.row_number().over(Window.partitionBy(*by).orderBy(*_key(order))).cast("int")
-    if hot_rows is None and size_estimate(df) <= ONE_TASK_BYTES:
-        return df.withColumn(name, plain)
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot = durable(df.groupBy(*by).count().filter(F.col("count") > limit).select(*by))
-    if hot.isEmpty():
-        return df.withColumn(name, plain)
-    hot = broadcast_if_small(hot)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_key(order))])
-    keyed = df.withColumn("_k", key)
-    key_hash = F.xxhash64(*[F.col("_k")[f"k{i}"] for i in range(len(order))])
-    sample = durable(
-        top_n(keyed.select(*by, "_k").join(hot, by, "left_semi").withColumn("_h", key_hash), by, ["_h", "_k"], splitters)
-        .groupBy(*by).agg(F.array_sort(F.collect_list("_k")).alias("_cuts"))
-    )
-    before = F.size(F.filter("_cuts", lambda cut: cut < F.col("_k")))
-    ranged = keyed.join(broadcast_if_small(sample), by, "left").withColumn(
-        "_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(before)).drop("_cuts")
+    written = durable(df.withColumn("_k", key))
+    ranges = -(-written.count() // range_rows)
+    if ranges <= 1:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_k"))
+        return written.withColumn(name, place.cast("long")).select(*df.columns, name)
+    ranged = durable(written.repartitionByRange(ranges, *by, "_k").withColumn("_range", F.spark_partition_id()))
     so_far = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = durable(
-        ranged.join(hot, by, "left_semi").groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(so_far)).select(*by, "_range", "_before")
-    )
+    sizes = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_range", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_k"))
-    return (
-        ranged.withColumn("_inside", inside).join(broadcast_if_small(sizes), [*by, "_range"], "left")
-        .withColumn(name, (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("int"))
-        .select(*df.columns, name)
-    )
+    placed = ranged.withColumn("_inside", inside)
+    same = F.lit(True)
+    for c in [*by, "_range"]:
+        same &= placed[c].eqNullSafe(sizes[c])
+    return placed.join(sizes, same).select(
+        *[placed[c] for c in df.columns], (F.col("_inside") + F.col("_before")).cast("long").alias(name))
 
 
 def next_in_group(df: DataFrame, by: Sequence[str], order: Sequence, value: str, name: str,
-                  hot_rows: int | None = None) -> DataFrame:
-    """``value`` of the following row of the group. Beyond one task's size an equi-join on exact positions
-    replaces the window, so a hot group spreads over all tasks."""
+                  range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``value`` of the following row of the group: an equi-join on exact positions, so a hot group spreads over all tasks."""
     by = list(by)
-    if hot_rows is None and size_estimate(df) <= ONE_TASK_BYTES:
-        return df.withColumn(name, F.lead(value).over(Window.partitionBy(*by).orderBy(*_key(order))))
-    ranked = rank_rows(df, by, order, "_i", hot_rows)
+    ranked = durable(rank_rows(df, by, order, "_i", range_rows))
     following = ranked.select(*by, (F.col("_i") - 1).alias("_i"), F.col(value).alias(name))
     return ranked.join(following, [*by, "_i"], "left").select(*df.columns, name)
 
@@ -88,8 +69,8 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence, n: int, name: str |
 
 def tiles(df: DataFrame, by: Sequence[str], order: Sequence, n: int, name: str, **kwargs) -> DataFrame:
     """``ntile(n)`` per group on top of :func:`rank_rows`."""
-    ranked = rank_rows(df, by, order, "_i", **kwargs)
-    sizes = measured_side(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")))
+    ranked = durable(rank_rows(df, by, order, "_i", **kwargs))
+    sizes = ranked.groupBy(*by).agg(F.max("_i").alias("_size"))
     q = F.floor(F.col("_size") / n)
     big = F.col("_size") - q * n
     i = F.col("_i")

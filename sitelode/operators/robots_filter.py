@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import path_and_query, percent_decode, url_part
-from ..session import broadcast_if_small
 
 
 def _first_match(rules: Column, path: Column) -> Column:
@@ -25,9 +24,9 @@ def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
 
     Rules travel as one array per host (bounded by the size of a robots.txt file), so a URL meets all
     rules of its host in one row: the join neither multiplies URLs nor needs a regrouping. Hosts
-    without rules allow everything. ``rules`` are rule rows or the arrays of ``robots_arrays``.
+    without rules allow everything. The join carries no hint: Spark decides from the sizes it measures. ``rules`` are rule rows or the arrays of ``robots_arrays``.
     """
-    per_host = broadcast_if_small(_as_arrays(rules).select(F.col("host").alias("_host"), "rules"))
+    per_host = _as_arrays(rules).select(F.col("host").alias("_host"), "rules")
     path = percent_decode(path_and_query(url_col))
     joined = urls.withColumn("_host", url_part(url_col, "AUTHORITY")).join(per_host, "_host", "left")
     return joined.withColumn("allow", F.coalesce(_first_match(F.col("rules"), path), F.lit(True))).select(

@@ -1,17 +1,11 @@
-"""Session defaults, checkpoint folder and size-checked broadcasting."""
+"""Session defaults and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Largest plan-time size estimate for which a join side is broadcast.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-
-# Largest input that is worth a shuffle to use idle cores.
-SPREAD_LIMIT_BYTES = 1024 * 1024 * 1024
+from pyspark.sql import DataFrame, SparkSession
 
 ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,9 +17,16 @@ ENGINE_CONF = {
 }
 
 
-def build_session(app_name: str = "sitelode", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the engine's defaults; later ``conf`` entries win."""
+# Setting: partitions that large text inputs are dealt to when they are read.
+INPUT_PARTITIONS = "spark.sitelode.inputPartitions"
+
+
+def build_session(app_name: str = "sitelode", master: str | None = None, shared: str | None = None, **conf: str) -> SparkSession:
+    """Session with the engine's defaults; later ``conf`` entries win. ``shared`` is the folder, reachable by
+    every executor, for tables between steps (``spark.checkpoint.dir``)."""
     builder = SparkSession.builder.appName(app_name)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if master:
         builder = builder.master(master)
     for key, value in {**ENGINE_CONF, **conf}.items():
@@ -33,23 +34,13 @@ def build_session(app_name: str = "sitelode", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def measured_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """A join side that is expected small but that no estimate proves small, such as an aggregate of a
-    large table: it is written first, and its measured size decides about the broadcast."""
-    return broadcast_if_small(df if size_estimate(df) <= limit else durable(df), limit)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions as ``spark.sitelode.inputPartitions`` says; as it is where that is not set.
 
-
-def use_all_cores(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over the cores before CPU-heavy expressions.
-
-    Only an input of at most ``SPREAD_LIMIT_BYTES`` with fewer splits than the cluster has cores is
-    repartitioned (by a unique key, so evenly); anything larger passes through without a shuffle.
+    For deployments whose inputs are few large row groups, which Spark cannot split. It is a setting and never follows from sizes.
     """
-    if size_estimate(df) > SPREAD_LIMIT_BYTES:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores, *keys) if splits < cores else df
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n), *keys) if n else df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,6 +64,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+# Tables written by this process, for :func:`drop_tables`.
+WRITTEN: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables that :func:`durable` wrote in this process, once nothing reads them any more; how many there were."""
+    jvm, n = spark.sparkContext._jvm, len(WRITTEN)
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -80,6 +84,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,17 +94,3 @@ def durable_layout(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-def size_estimate(df: DataFrame) -> int:
-    """Catalyst's estimate of the frame's size in bytes, from table statistics; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint only when Catalyst's own estimate proves the side small.
-
-    Above the limit the frame is returned unhinted: the join is then planned by size, and AQE
-    may still turn it into a broadcast, or split skewed partitions, from measured sizes.
-    """
-    return F.broadcast(df) if size_estimate(df) <= limit else df

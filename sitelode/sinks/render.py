@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.urls import url_part
-from ..operators.ranking import first_pages, rank_rows
+from ..operators.ranking import first_pages, top_n
 from ..operators.reports import cluster_sizes, crawl_report
 
 LIST_STATE = "array<string>"
@@ -29,9 +29,9 @@ def crawl_report_json(pages: DataFrame, n: int = 50) -> DataFrame:
 
 
 def business_json(entity: DataFrame) -> DataFrame:
-    """``site_id, part, content``: the business record as JSON."""
-    fields = [c for c in entity.columns if c not in ("site_id", "part")]
-    return entity.select("site_id", "part", T.to_json_record(*fields).alias("content"))
+    """``site_id, content``: the business record of each site as JSON."""
+    fields = [c for c in entity.columns if c != "site_id"]
+    return entity.select("site_id", T.to_json_record(*fields).alias("content"))
 
 
 def keywords_csv(keywords: DataFrame) -> DataFrame:
@@ -41,20 +41,35 @@ def keywords_csv(keywords: DataFrame) -> DataFrame:
 
 
 def clusters_json(clusters: DataFrame, keywords: DataFrame) -> DataFrame:
-    """``id, content``: id, label, pillar, total volume and member count of each cluster."""
+    """``site_id, id, content``: id, label, pillar, total volume and member count of each cluster of each site."""
     sizes = cluster_sizes(keywords).withColumnRenamed("cluster_id", "id")
-    counted = clusters.drop("members_count").join(sizes, "id", "left").withColumn("members_count", F.coalesce("members_count", F.lit(0)))
-    return counted.select("id", T.to_json_record("id", "label", "pillar", "total_volume", "members_count").alias("content"))
+    counted = clusters.drop("members_count").join(sizes, ["site_id", "id"], "left").withColumn(
+        "members_count", F.coalesce("members_count", F.lit(0)))
+    return counted.select("site_id", "id", T.to_json_record("id", "label", "pillar", "total_volume", "members_count").alias("content"))
 
 
-def run_summary_json(pages: DataFrame, entity: DataFrame, run_ts: Column, n_pages: int = 10,
+def _facet_arrays(facets: DataFrame, cut: dict[str, int | None]) -> DataFrame:
+    """``site_id`` and one sorted array per facet, of its first values where a number is given: cut before they are gathered."""
+    rows = facets.filter(F.col("facet").isin(*cut)).select("site_id", "facet", "value").distinct()
+    limited = [f for f, n in cut.items() if n is not None]
+    kept = rows.filter(~F.col("facet").isin(*limited))
+    for n in sorted({cut[f] for f in limited}):
+        some = [f for f in limited if cut[f] == n]
+        kept = kept.unionByName(top_n(rows.filter(F.col("facet").isin(*some)), ["site_id", "facet"], ["value"], n))
+    return kept.groupBy("site_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("facet") == f, F.col("value")))).alias(f) for f in cut])
+
+
+def run_summary_json(pages: DataFrame, facets: DataFrame, sites: DataFrame, run_ts: Column, n_pages: int = 10,
                      n_values: int = 10) -> DataFrame:
-    """``site_id, filename, content``: compact run summary, first pages and first services and products."""
-    own = entity.filter(F.col("part") == 0).select(
-        "site_id", F.col("homepage").alias("site_url"), F.struct(
-            "name", F.slice("services", 1, n_values).alias("services"),
-            F.slice("products", 1, n_values).alias("products"), "locations", "target_audiences",
-        ).alias("business_analysis"))
+    """``site_id, filename, content``: compact run summary, first pages and first services and products.
+
+    ``facets`` is the long form (``site_id, facet, value``) and ``sites`` has ``site_id, name, homepage``.
+    """
+    cut = {"services": n_values, "products": n_values, "locations": None, "target_audiences": None}
+    own = sites.join(_facet_arrays(facets, cut), "site_id", "left").select(
+        "site_id", F.col("homepage").alias("site_url"), F.struct("name", *[
+            F.coalesce(F.col(f), F.array().cast(LIST_STATE)).alias(f) for f in cut]).alias("business_analysis"))
     joined = crawl_report(pages).join(_page_list(pages, n_pages), "site_id").join(own, "site_id", "left")
     stamp = T.fmt(run_ts, "stamp")
     content = T.to_json_record(
@@ -121,8 +136,11 @@ def brief_markdown() -> Column:
     return F.array_join(F.concat(*[F.coalesce(s, F.array().cast(LIST_STATE)) for s in sections]), "\n", "None")
 
 
-def _numbered(df: DataFrame, order) -> DataFrame:
-    return df if "idx" in df.columns else rank_rows(df, ["site_id"], order, "idx")
+def _numbered(df: DataFrame, table: str) -> DataFrame:
+    """``df``, which must carry the calendar's positions: files of three tables are paired by them."""
+    if "idx" not in df.columns:
+        raise ValueError(f"{table} need the calendar's idx")
+    return df
 
 
 def _file_name(idx, text, kind: str) -> Column:
@@ -130,12 +148,13 @@ def _file_name(idx, text, kind: str) -> Column:
 
 
 def render_briefs(briefs: DataFrame) -> DataFrame:
-    """``site_id, idx, topic, filename, content``; ``idx`` is assigned by topic when absent."""
-    return _numbered(briefs, ["topic"]).select(
+    """``site_id, idx, topic, filename, content``; ``idx`` is the calendar item's position."""
+    return _numbered(briefs, "briefs").select(
         "site_id", "idx", "topic", _file_name("idx", "topic", "brief").alias("filename"),
         brief_markdown().alias("content"))
 
 
+# The front-matter keys are the output format.
 def render_drafts(drafts: DataFrame) -> DataFrame:
     """``site_id, idx, brief_id, filename, word_count, content`` with a front-matter header."""
     def flag(name: str) -> Column:
@@ -147,7 +166,7 @@ def render_drafts(drafts: DataFrame) -> DataFrame:
         F.lit("\nuk_english_verified: "), flag("uk_english_verified"),
         F.lit("\nfacts_verified: "), flag("facts_verified"),
         F.lit("\ncreated_at: "), T.fmt("created_at", "iso"), F.lit("\n---\n\n"), "content", F.lit("\n"))
-    return _numbered(drafts, ["brief_id"]).select(
+    return _numbered(drafts, "drafts").select(
         "site_id", "idx", "brief_id", _file_name("idx", "brief_id", "draft").alias("filename"), "word_count",
         content.alias("content"))
 
@@ -166,7 +185,7 @@ def calendar_index(calendar: DataFrame, briefs: DataFrame, drafts: DataFrame) ->
 
     ``briefs`` and ``drafts`` are rendered rows; missing files give empty text and 0 words.
     """
-    paired = calendar_files(_numbered(calendar, ["week", "topic"]), briefs, drafts)
+    paired = calendar_files(_numbered(calendar, "calendar items"), briefs, drafts)
 
     def link(folder: str, name: str) -> Column:
         return F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{folder}/"), name)).otherwise("")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.ranking import next_in_group
+from ..operators.ranking import RANGE_ROWS, next_in_group
 
 # Progress reached at the end of each stage.
 STAGE_PROGRESS = {"crawling": 20, "analyzing": 30, "researching": 40, "exporting": 90, "completed": 100}
@@ -52,12 +52,12 @@ def read_states(spark, path: str) -> DataFrame:
     return newest.select("job_id", *[F.col(f"_s.{c}").alias(c) for c in fields])
 
 
-def stage_durations(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def stage_durations(log: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Seconds from each status row to the next of the same job (NULL for the last).
 
     A log that one task cannot hold is ordered in ranges, so a job with very many rows does no harm.
     """
-    timed = next_in_group(log, ["job_id"], ["updated_at", "seq"], "updated_at", "next_at", hot_rows)
+    timed = next_in_group(log, ["job_id"], ["updated_at", "seq"], "updated_at", "next_at", range_rows)
     return timed.withColumn(
         "seconds", F.timestamp_diff("MICROSECOND", F.col("updated_at"), F.col("next_at")) / 1e6,
     ).select("job_id", "seq", "status", "updated_at", "next_at", "seconds")

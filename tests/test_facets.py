@@ -93,15 +93,21 @@ def test_clean_values_bounds(frame):
     assert once.exceptAll(X.distinct_facets(once.withColumn("url", F.lit("u")))).isEmpty()
 
 
-def test_business_record_parts_hold_every_value(frame):
-    facets = frame("site_id string, facet string, value string", *[("big", "services", f"v{i}") for i in range(100)],
+def test_business_record_holds_every_value(frame):
+    facets = frame("site_id string, facet string, value string", *[("big", "services", f"v{i:05d}") for i in range(12_000)],
                    ("small", "products", "p"))
     sites = frame("site_id string, name string, homepage string", ("big", "B", "b"), ("small", "S", "s"), ("none", "N", "n"))
-    wide = X.business_entity(facets, sites, max_values=30).collect()
-    assert sorted(v for r in wide for v in r["services"]) == sorted(f"v{i}" for i in range(100))
-    assert len([r for r in wide if r["site_id"] == "big"]) == 4
-    assert [(r["part"], r["products"]) for r in wide if r["site_id"] == "small"] == [(0, ["p"])]
-    assert [(r["part"], r["services"]) for r in wide if r["site_id"] == "none"] == [(0, [])]
+    wide = {r["site_id"]: r for r in X.business_entity(facets, sites).collect()}
+    assert len(wide) == 3 and wide["big"]["services"] == [f"v{i:05d}" for i in range(12_000)]
+    assert wide["small"]["products"] == ["p"] and wide["none"]["services"] == []
+
+
+def test_long_places_and_unicode_space(page, frame):
+    df = page("Based in United States of America. ©\u00a02024\u2003Acme Ltd. Best\u00a0Widget™ sells at Bank of New York Mellon.")
+    words = frame("term string, label string", ("United States of America", "GPE"), ("Bank of New York Mellon", "ORG"))
+    assert found(X.trigger_locations(df, words)) == ["United States of America"]
+    assert sorted(r["term"] for r in X.match_entities(df, words).collect()) == ["Bank of New York Mellon", "United States of America"]
+    assert found(X.copyright_holders(df)) == ["Acme Ltd"] and found(X.trademark_terms(df)) == ["Widget"]
 
 
 def test_full_analysis(page, frame):

@@ -24,7 +24,7 @@ def test_text_matches_python(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     rows = df.select("t", T.words("t").alias("w"), T.word_count("t").alias("n"), T.title_case("t").alias("title"),
                      T.slug("t").alias("slug"), T.trim_space("t").alias("trim"), T.unescape("t").alias("u"),
-                     T.unescape("t", every_name=True).alias("full")).collect()
+                     T.unescape("t").alias("full")).collect()
     for r in rows:
         t = r["t"]
         assert (r["w"], r["n"], r["title"], r["slug"], r["trim"]) == (

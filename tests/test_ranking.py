@@ -12,20 +12,24 @@ def rows(spark):
 
 def test_rank_rows_equals_window(spark):
     df = rows(spark)
-    got = R.rank_rows(df, ["site_id"], ["crawl_seq", "url"], hot_rows=200, splitters=16)
+    got = R.rank_rows(df, ["site_id"], ["crawl_seq", "url"], range_rows=200)
     want = df.withColumn("idx", F.row_number().over(Window.partitionBy("site_id").orderBy("crawl_seq", "url")))
     assert got.count() == 3000
     assert got.exceptAll(want).isEmpty()
 
 
-def test_hot_group_is_split(spark):
-    plan = R.rank_rows(rows(spark), ["site_id"], ["crawl_seq"], hot_rows=200)._jdf.queryExecution().toString()
-    assert "_range" in plan
+def test_ranges_grow_with_the_input(spark):
+    """A group of twice the rows is ranked by twice the ranges, none of them much larger."""
+    df = spark.range(20_000).select(F.lit("hot").alias("site_id"), F.col("id").alias("crawl_seq"))
+    got = R.rank_rows(df, ["site_id"], ["crawl_seq"], range_rows=500)
+    assert got.agg(F.max("idx"), F.sum(F.when(F.col("idx") == F.col("crawl_seq") + 1, 1))).first()[:] == (20_000, 20_000)
+    ranged = [f for f in got.inputFiles()]
+    assert len({f.rsplit("/", 1)[0] for f in ranged}) == 1 and len(set(ranged)) >= 40
 
 
 def test_tiles_equal_ntile(spark):
     df = rows(spark)
-    got = R.tiles(df, ["site_id"], ["crawl_seq", "url"], 3, "t", hot_rows=200)
+    got = R.tiles(df, ["site_id"], ["crawl_seq", "url"], 3, "t", range_rows=200)
     want = df.withColumn("t", F.ntile(3).over(Window.partitionBy("site_id").orderBy("crawl_seq", "url")))
     assert got.exceptAll(want).isEmpty()
 

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelode.config import RunConfig
-from sitelode.operators import keywords as K, parse as P, reports as A
+from sitelode.operators import facets as X, keywords as K, parse as P, reports as A
 from sitelode.operators.quality import rule_counts, rules_for, validate
 from sitelode.plans.export import export_jobs, export_tables
 from sitelode.schema import BRIEFS, DRAFTS, KEYWORDS
-from sitelode.session import broadcast_if_small, durable, shared_folder, use_all_cores
+from sitelode.operators.robots_filter import match_rules
+from sitelode.session import INPUT_PARTITIONS, WRITTEN, drop_tables, durable, shared_folder, spread
 from sitelode.sinks import render as R, writers as W
 from sitelode.sources import read_pages, read_report
 from sitelode.streaming import intake, jobs as J
@@ -34,6 +35,7 @@ def brief(**change):
     ({"faqs": [("q", "w " * 30)] * 3}, {"size_4_4"}), ({"faqs": [("q", "w " * 30)] * 5}, {"size_4_4"}),
     ({"faqs": [("q", "w " * 29)] * 4}, {"answer_words_min_30"}), ({"secondary_keywords": ["a"] * 7}, {"size_3_6"}),
     ({"internal_links": [("nope", "x", 2.0)] * 3}, {"link_url", "relevance_0_1"}), ({"tone": "loud"}, {"allowed"}),
+    ({"cta": None, "faqs": None}, {"required"}), ({"internal_links": [("https://s/1", "x", None)] * 3}, {"relevance_0_1"}),
     ({"key_takeaways": ["1"] * 6}, {"size_3_5"}), ({"internal_links": []}, {"size_3_up"}),
 ])
 def test_brief_rules(spark, change, rules):
@@ -43,11 +45,18 @@ def test_brief_rules(spark, change, rules):
 
 @pytest.mark.parametrize("week,n,bad", [(0, 3, 1), (1, 3, 0), (52, 6, 0), (53, 6, 1), (5, 2, 1), (5, 7, 1)])
 def test_calendar_rules(frame, week, n, bad):
-    df = frame("topic string, week int, secondary_keywords array<string>, estimated_effort_hours double, priority string, content_type string",
-               ("t", week, ["k"] * n, 1.0, "high", "blog"))
+    df = frame("topic string, week int, secondary_keywords array<string>, estimated_effort_hours double, priority string, content_type string, "
+               "primary_keyword string, cluster_id string", ("t", week, ["k"] * n, 1.0, "high", "blog", "p", "c"))
     assert validate(df, rules_for("calendar"), "topic").count() == bad
 
 
+def test_empty_records_break_every_required_field(spark):
+    schema = spark.createDataFrame([], BRIEFS).schema
+    empty = spark.createDataFrame([tuple("s" if f == "site_id" else None for f in schema.fieldNames())], schema)
+    found = validate(empty, rules_for("brief"), "site_id").collect()
+    assert len(found) == 16 and {r["rule"] for r in found} == {"required"}
+
+
 def test_config_defaults_pass(spark):
     assert validate(RunConfig().to_frame(spark), rules_for("config"), "config_id").isEmpty()
     bad = RunConfig(crawl_delay=0.4, min_cluster_size=1, export_format="pdf").to_frame(spark)
@@ -62,14 +71,40 @@ def test_optional_and_required(frame):
 
 
 def test_clusters(frame):
-    terms = ["red tea pot", "red tea cup", "blue tea cup", "green hat", "old green hat", "lone"]
+    terms = ["red tea pot", "red tea cup", "blue tea cup", "green hat", "old green hat", "lone", "blue cup", "blue door", "steel door"]
     df = frame("site_id string, term string, cluster_id string", *[(s, t, None) for s in ("s", "r") for t in terms])
     got = {(r["site_id"], r["term"]): r["cluster_id"] for r in K.cluster_keywords(df, min_size=2).collect()}
     for site in ("s", "r"):
-        assert {got[(site, t)] for t in terms[:3]} == {"blue tea cup"}
+        assert {got[(site, t)] for t in [*terms[:3], "blue cup"]} == {"blue cup"}
+        assert got[(site, "steel door")] is None
         assert {got[(site, t)] for t in terms[3:5]} == {"green hat"}
         assert got[(site, "lone")] is None
-    assert all(r["cluster_id"] in (None, "blue tea cup") for r in K.cluster_keywords(df).collect())
+    loose = {r["term"]: r["cluster_id"] for r in K.cluster_keywords(df, threshold=0.3).filter("site_id = 's'").collect()}
+    assert loose["steel door"] == loose["blue cup"] == loose["red tea pot"] and loose["green hat"] is None
+
+
+def test_marks_are_exact(frame):
+    """Terms end in one group just when a chain of pairs is similar enough."""
+    words = ["a", "b", "c", "d", "e"]
+    sets = [[w for i, w in enumerate(words) if m >> i & 1] for m in range(1, 32)]
+    for t in (0.3, 0.5, 0.75, 1.0):
+        parent = list(range(31))
+
+        def top(i):
+            return i if parent[i] == i else top(parent[i])
+
+        for i in range(31):
+            for j in range(i):
+                a, b = set(sets[i]), set(sets[j])
+                if len(a & b) / len(a | b) >= t - 1e-9:
+                    parent[max(top(i), top(j))] = min(top(i), top(j))
+        df = frame("site_id string, term string", *[("s", " ".join(x)) for x in sets])
+        got = {r["term"]: r["cluster_id"] for r in K.cluster_keywords(df, t, 1).collect()}
+        groups = {}
+        for i in range(31):
+            groups.setdefault(top(i), []).append(" ".join(sets[i]))
+        assert {frozenset(g) for g in groups.values()} == {
+            frozenset(k for k, v in got.items() if v == c) for c in set(got.values())}
 
 
 def test_components_match_brute_force(spark):
@@ -85,22 +120,54 @@ def test_components_match_brute_force(spark):
 
 
 def test_gaps_and_primary(frame):
-    ranks = "keyword string, domain string, position int"
-    client = frame(ranks, ("a", "me", 5), ("b", "me", 1))
-    rivals = frame(ranks, ("a", "x", 2), ("b", "x", 3), ("c", "x", 4), ("c", "y", 2))
-    volumes = frame("keyword string, volume int", ("a", 100), ("b", 100), ("c", 10))
-    got = {r["keyword"]: (r["opportunity_type"], round(r["gap_score"], 6)) for r in K.gap_analysis(client, rivals, volumes).collect()}
-    assert got == {"a": ("underperforming", 30.0), "c": ("missing", 5.0)}
-    assert {r["keyword"]: r["competitors_ranking"] for r in K.competitor_positions(rivals).collect()}["c"] == {"x": 4, "y": 2}
+    ranks = frame("site_id string, keyword string, domain string, position int, own boolean",
+                  *[(site, *r) for site in ("s", "t") for r in (("a", "x", 2, False), ("b", "x", 3, False), ("c", "x", 4, False), ("c", "y", 2, False))],
+                  ("s", "a", "me", 5, True), ("s", "b", "me", 1, True), ("t", "a", "us", 1, True))
+    volumes = frame("site_id string, keyword string, volume int", *[(site, k, v) for site in ("s", "t") for k, v in (("a", 100), ("b", 100), ("c", 10))])
+    rows = K.gap_analysis(ranks, volumes).collect()
+    got = {(r["site_id"], r["keyword"]): (r["opportunity_type"], round(r["gap_score"], 4)) for r in rows}
+    assert got == {("s", "a"): ("underperforming", 30.0), ("s", "c"): ("missing", 5.0),
+                   ("t", "b"): ("missing", 33.3333), ("t", "c"): ("missing", 5.0)}
+    assert {r["keyword"]: r["competitors_ranking"] for r in rows}["c"] == {"x": 4, "y": 2}
     k = frame("site_id string, cluster_id string, term string, volume int", ("s", "c", "b", 5), ("s", "c", "a", 5), ("s", None, "z", 9))
     assert [r["term"] for r in K.mark_primary(k).filter("is_primary").collect()] == ["a"]
 
 
 def test_draft_checks(frame):
-    drafts = frame("site_id string, idx int, content string", ("s", 1, "The color is red. See https://s/a"), ("s", 2, "Colour! https://s/no"))
+    texts = ["The color is red. See https://s/a.", "Colour! https://s/no", "[x](/about) and [y](/a), colour", "Behaviors vary, see https://other/z",
+             "We are organizing [m](mailto:x@s)"]
+    drafts = frame("site_id string, idx int, content string", *[("s", i, t) for i, t in enumerate(texts)])
     pages = frame("site_id string, url string", ("s", "https://s/a"))
-    got = {r["idx"]: (r["word_count"], r["uk_english_verified"], r["internal_links_validated"]) for r in K.draft_qa(drafts, pages).collect()}
-    assert got == {1: (6, False, True), 2: (2, True, False)}
+    got = {r["idx"]: (r["uk_english_verified"], r["internal_links_validated"]) for r in K.draft_qa(drafts, pages).collect()}
+    assert got == {0: (False, True), 1: (True, False), 2: (True, False), 3: (False, True), 4: (False, True)}
+
+
+def test_terms_of_any_length_and_case(frame):
+    pages = frame("site_id string, text_content string", ("s", "We offer Search Engine Optimisation Services, and C++ hosting."))
+    terms = ["search engine optimisation services", "SEO Services", "C++ hosting", "Search engine", "engine services"]
+    k = frame("site_id string, term string", *[("s", t) for t in terms])
+    got = {r["term"]: r["verified_against_site"] for r in K.verify_keywords(k, pages).collect()}
+    assert got == dict(zip(terms, [True, False, True, True, False]))
+    assert {r["term"] for r in K.site_evidence(k, pages).collect()} == {t for t in terms if got[t]}
+
+
+def test_sites_with_equal_cluster_ids(frame):
+    k = frame("site_id string, cluster_id string, term string", *[(s, "c", f"t{i}") for s, n in (("a", 2), ("b", 3)) for i in range(n)])
+    assert {(r["site_id"], r["members_count"]) for r in A.cluster_sizes(k).collect()} == {("a", 2), ("b", 3)}
+    clusters = frame("site_id string, id string, label string, pillar string, total_volume long", ("a", "c", "l", "p", 1), ("b", "c", "l", "p", 1))
+    rows = {r["site_id"]: json.loads(r["content"])["members_count"] for r in R.clusters_json(clusters, k).collect()}
+    assert rows == {"a": 2, "b": 3}
+
+
+def test_default_mix_can_be_filled(frame):
+    rows = [("s", f"c{i:03d}", f"c{i:03d} t{j}", 100 - j, ("informational", "commercial", "transactional", "navigational")[i % 4])
+            for i in range(80) for j in range(4)]
+    k = frame("site_id string, cluster_id string, term string, volume int, intent string", *rows)
+    c = RunConfig()
+    plan = K.content_calendar(K.cluster_rollup(k), k, c.content_mix, c.calendar_weeks)
+    assert plan.groupBy("content_type").count().collect() and {r["content_type"]: r["count"] for r in plan.groupBy("content_type").count().collect()} == c.content_mix
+    items = K.calendar_items(K.cluster_rollup(k), k)
+    assert [(r["content_type"], r["items"]) for r in K.unquoted_types(items, {"blog": 1, "service": 1, "product": 1}).collect()] == [("landing", 20)]
 
 
 def test_brief_markdown(spark):
@@ -123,14 +190,16 @@ def test_draft_header(spark):
 
 
 def test_calendar_index_pairs_by_position(frame):
-    calendar = frame("site_id string, week int, topic string, content_type string, primary_keyword string, secondary_keywords array<string>, "
-                     "cluster_id string, priority string", ("s", 1, "x", "blog", "k", ["a", "b"], "c", "high"), ("s", 2, "y", "blog", "k", [], "c", "low"))
+    calendar = frame("site_id string, idx long, week int, topic string, content_type string, primary_keyword string, secondary_keywords array<string>, "
+                     "cluster_id string, priority string", ("s", 1, 1, "x", "blog", "k", ["a", "b"], "c", "high"), ("s", 2, 2, "y", "blog", "k", [], "c", "low"))
     briefs = frame("site_id string, idx int, filename string", ("s", 1, "1.md"))
     drafts = frame("site_id string, idx int, filename string, word_count int", ("s", 2, "2.md", 9))
     rows = {r["topic"]: r for r in R.calendar_index(calendar, briefs, drafts).collect()}
     assert (rows["x"]["brief_link"], rows["x"]["draft_file"], rows["x"]["word_count"]) == ("briefs/1.md", "", 0)
     assert (rows["y"]["brief_file"], rows["y"]["draft_link"], rows["y"]["word_count"]) == ("", "drafts/2.md", 9)
     assert rows["x"]["secondary_keywords"] == "a, b"
+    with pytest.raises(ValueError):
+        R.calendar_index(calendar.drop("idx"), briefs, drafts)
 
 
 def test_recorded_run(frame, tmp_path, spark):
@@ -142,11 +211,13 @@ def test_recorded_run(frame, tmp_path, spark):
     assert (report["pages_crawled"], report["total_words"]) == (1, 26)
     content = json.loads(R.crawl_report_json(pages).first()["content"])
     assert content["pages"] == [{"url": "https://example.com/", "title": "Example Domain", "word_count": 26}]
-    entity = frame("site_id string, part int, name string, homepage string, services array<string>, products array<string>, "
-                   "locations array<string>, target_audiences array<string>", ("example.com", 0, "Example", "https://example.com/", ["a"] * 12, [], [], []))
-    W.write_rendered(R.run_summary_json(pages, entity, F.lit(TS)), str(tmp_path / "r"))
+    facets = frame("site_id string, facet string, value string", *[("example.com", "services", f"a{i:05d}") for i in range(10_500)],
+                   *[("example.com", "locations", f"l{i}") for i in range(40)])
+    sites = frame("site_id string, name string, homepage string", ("example.com", "Example", "https://example.com/"))
+    W.write_rendered(R.run_summary_json(pages, facets, sites, F.lit(TS)), str(tmp_path / "r"))
     back = read_report(spark, str(tmp_path / "r"), multi_line=False).first()
     assert (back["url"], back["pages_crawled"], len(back["business_analysis"]["services"])) == ("https://example.com/", 1, 10)
+    assert back["business_analysis"]["services"][0] == "a00000" and len(back["business_analysis"]["locations"]) == 40
 
 
 def test_export(spark, frame, tmp_path):
@@ -178,7 +249,7 @@ def test_job_state(frame, values):
     got = {r["job_id"]: (r["status"], r["error"], r["completed_at"] is None) for r in J.latest_job_state(log).collect()}
     assert got == {"j": ("completed", None, False), "k": ("crawling", None, True)}
     assert {(r["job_id"], r["seq"]): r["seconds"] for r in J.stage_durations(log).collect()}[("j", 1)] == 180.0
-    assert J.stage_durations(log, hot_rows=1).exceptAll(J.stage_durations(log)).isEmpty()
+    assert J.stage_durations(log, range_rows=1).exceptAll(J.stage_durations(log)).isEmpty()
     jobs = frame("job_id string, status string", ("j", "x"))
     assert values(A.lookup_jobs(frame("job_id string", ("j",), ("q",)), jobs)) == [("j", "x", True), ("q", None, False)]
     counted = A.job_results(jobs, pages=frame("job_id string", ("j",), ("j",)), drafts=frame("job_id string", ("z",)))
@@ -203,10 +274,17 @@ def test_streamed_pages_once(spark, frame, tmp_path):
     assert sorted(r["url"] for r in rows.collect()) == ["https://s/a", "https://s/b"]
 
 
-def test_broadcast_only_when_small(spark):
-    small, big = spark.range(10).withColumnRenamed("id", "k"), spark.range(50_000_000).withColumnRenamed("id", "k")
-    assert "ResolvedHint" in broadcast_if_small(small)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in broadcast_if_small(big)._jdf.queryExecution().analyzed().toString()
+def test_no_join_is_hinted(spark, frame):
+    """Robots files that repeat, and a dictionary made by explode, compress to next to nothing: their estimates prove nothing."""
+    rules = spark.range(2000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("seq"),
+                                     F.lit(False).alias("allow"), F.lit("/" + "x" * 200).alias("prefix"))
+    urls = frame("url string", ("https://h1/x",))
+    assert "ResolvedHint" not in match_rules(urls, rules)._jdf.queryExecution().analyzed().toString()
+    pages = frame("site_id string, url string, text_content string", ("s", "u", "a b c d e"))
+    terms = spark.range(1).select(F.explode(F.array(F.lit("B C"), F.lit("a b c d e"))).alias("term"), F.lit("ORG").alias("label"))
+    found = X.match_entities(pages, terms)
+    assert "ResolvedHint" not in found._jdf.queryExecution().analyzed().toString()
+    assert sorted(r["term"] for r in found.collect()) == ["B C", "a b c d e"]
 
 
 class _Context:
@@ -241,19 +319,21 @@ def test_durable_writes_under_the_shared_folder(spark):
     assert plan.count() == 3 and shared_folder(spark).split(":")[-1] in plan.inputFiles()[0]
 
 
-def test_only_small_inputs_are_spread(spark):
-    one = spark.range(10).coalesce(1)
-    assert use_all_cores(one, "id")._jdf.queryExecution().toRdd().getNumPartitions() == 8
-    large = spark.range(0, 1_000_000_000, 1, 2)
-    assert use_all_cores(large, "id") is large
-
-
-def test_boilerplate(frame, values):
-    blocks = frame("site_id string, url string, text string", *[("s", f"u{i}", "menu") for i in range(3)], ("s", "u1", "own"), ("t", "v", "menu"))
-    assert values(P.drop_site_boilerplate(blocks)) == [("s", "u1", "own"), ("t", "v", "menu")]
+def test_tables_can_be_dropped(spark):
+    kept = WRITTEN[:]
+    WRITTEN.clear()
+    path = durable(spark.range(3)).inputFiles()[0]
+    assert drop_tables(spark) == 1 and not WRITTEN
+    WRITTEN.extend(kept)
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
 
 
-def test_language_gate(frame):
-    df = frame("url string, html string", ("u", "<title>T</title><p>der Hund und die Katze ist nicht hier</p>"), ("v", "<title>T</title><p>the cat is in the house</p>"))
-    got = {r["url"]: r["text_content"] for r in P.main_text(df, target_language="en").collect()}
-    assert got == {"u": "T der Hund und die Katze ist nicht hier", "v": "the cat is in the house"}
+def test_inputs_are_spread_by_setting_only(spark):
+    one = spark.range(10).coalesce(1)
+    assert spread(one, "id") is one
+    spark.conf.set(INPUT_PARTITIONS, "3")
+    try:
+        assert spread(one, "id")._jdf.queryExecution().toRdd().getNumPartitions() == 3
+    finally:
+        spark.conf.unset(INPUT_PARTITIONS)
