@@ -74,7 +74,7 @@ def units(text: Column, longest: int) -> Column:
     Units that are empty, or longer than any canonical text of ``longest`` characters can have been before its spellings
     were made one (no spelling loses more than two characters of five), are left out: they equal no known text.
     """
-    lines = F.filter(F.transform(F.split(canonical(text), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(canonical(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     fits = lambda x: (x != "") & (F.length(x) <= 2 * longest)
     whole = F.when(F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x)) <= 2 * longest, F.array_join(lines, " "))
     listed = F.concat(F.transform(F.filter(F.array(whole), fits), lambda x: F.struct(F.lit(True).alias("whole"), x.alias("unit"))),
@@ -86,7 +86,7 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | DataFrame
     """``digest, license_id, length`` of known license texts; ``texts``: pairs or a table ``license_id, text``, else the built-in notices."""
     if not isinstance(texts, DataFrame):
         texts = spark.createDataFrame(texts or known_texts(), "license_id string, text string")
-    whole = F.array_join(F.filter(F.transform(F.split(canonical(F.col("text")), "\n"), F.trim), lambda x: x != ""), " ")
+    whole = F.array_join(F.filter(F.transform(F.split(canonical(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), " ")
     return (texts.select("license_id", whole.alias("unit")).filter(F.col("unit") != "")
             .select(respelled(F.col("unit")).alias("unit"), "license_id")
             .groupBy(F.md5(F.col("unit").cast("binary")).alias("digest"))

@@ -61,12 +61,12 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, buckets
     keep = tuple(c for c in keep if c not in made)
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
     uniform = (digits.cast("double") + 0.5) / float(1 << 52)
-    counted = docs.withColumn("_size", F.size(words_between(F.col("text"), GAP)).cast("long"))
+    counted = docs.withColumn("__words", F.size(words_between(F.col("text"), GAP)).cast("long"))
     sized = durable(counted.select(
-        F.col("doc_id"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("_kept"),
+        F.col("doc_id"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("_kept"),
         F.col("source").alias("_source"), null_key("source").alias("_group"),
-        F.col("_size").alias("size"),
-        (-F.log(uniform) / quality_weight(F.col("text"), F.col("_size"))).alias("_key"),
+        F.col("__words").alias("size"),
+        (-F.log(uniform) / quality_weight(F.col("text"), F.col("__words"))).alias("_key"),
     ).withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("long")))
 
     hist = sized.groupBy("_group", "_bucket").agg(F.sum("size").alias("_sum"), F.first("_source").alias("source"))
@@ -97,4 +97,4 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, buckets
     return picked.select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * (F.col("_epochs") + F.col("_pick").cast("long"))).alias("taken"),
-        *[F.col("_kept").getField(c).alias(c) for c in keep])
+        *[F.col("_kept").getField(f"c{i}").alias(c) for i, c in enumerate(keep)])

@@ -75,7 +75,7 @@ class Space:
     """Latent-semantic space of a sample: term weights, axes, and the labelled vectors in it."""
 
     def __init__(self, terms: np.ndarray, y: np.ndarray, dims: int = DIMS):
-        df = (terms > 0).mean(0)
+        df = (terms > 0).sum(0) / max(1, len(terms))
         self.weight = np.where(df > 0, np.log((1 + len(terms)) / (1 + df * len(terms))) + 0.1, 0).astype(np.float32)
         self.weight[:SIGNS] *= 4
         self.center = np.zeros(terms.shape[1], np.float32)

@@ -65,7 +65,8 @@ def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
 class Block:
     """Documents of a block in order of id and text, as bytes end to end."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, slice_bytes: int):
+        self.slice_bytes = slice_bytes
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         texts = table.column("text").combine_chunks()
@@ -83,10 +84,10 @@ class Block:
         found, first = [], 0
         while first < len(sizes):
             # Whole documents, some at a time; a longer document is cut into slices that overlap by a window.
-            last = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + SLICE_BYTES, side="right")) - 1)
+            last = max(first + 1, int(np.searchsorted(self.offsets, self.offsets[first] + self.slice_bytes, side="right")) - 1)
             a, b = int(self.offsets[first]), int(self.offsets[last])
-            if last == first + 1 and b - a > 2 * SLICE_BYTES:
-                parts = [(x, min(x + SLICE_BYTES + WIDTH - 1, b)) for x in range(a, b - WIDTH + 1, SLICE_BYTES)]
+            if last == first + 1 and b - a > 2 * self.slice_bytes:
+                parts = [(x, min(x + self.slice_bytes + WIDTH - 1, b)) for x in range(a, b - WIDTH + 1, self.slice_bytes)]
             else:
                 parts = [(a, b)]
             found += [self._cut(x, y, first, last) for x, y in parts]
@@ -157,9 +158,9 @@ def _distinct(keys: np.ndarray, buckets: int):
     return different[order], np.searchsorted(of[order], np.arange(buckets + 1)), back[place]
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, slice_bytes: int):
     def ask(table: pa.Table) -> pa.Table:
-        block = Block(table)
+        block = Block(table, slice_bytes)
         _, at, _, _ = block.pieces()
         different, bounds, _ = _distinct(block.keys(at), buckets)
         used = np.nonzero(np.diff(bounds))[0]
@@ -169,7 +170,11 @@ def _ask(buckets: int):
     return ask
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(hot_blocks: int):
+    return lambda table: _bits(table, hot_blocks)
+
+
+def _bits(table: pa.Table, hot_blocks: int) -> pa.Table:
     """For each block of the bucket, bits of its keys: in another block too; in so many that it is hot."""
     data = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in table.column("data")]
     counts = [len(x) for x in data]
@@ -177,7 +182,7 @@ def _answer(table: pa.Table) -> pa.Table:
     wide[:, :5] = np.concatenate(data)
     _, place, times = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
     ends = np.cumsum(counts)
-    bits = [np.packbits(np.stack((times[p] > 1, times[p] > HOT_BLOCKS)), axis=1).tobytes() for p in np.split(place, ends[:-1])]
+    bits = [np.packbits(np.stack((times[p] > 1, times[p] > hot_blocks)), axis=1).tobytes() for p in np.split(place, ends[:-1])]
     return pa.table([table.column("bucket").combine_chunks(), table.column("block").combine_chunks(),
                      pa.array(np.zeros(len(bits), np.int32)), pa.array(bits, pa.binary())], schema=KEYS_ARROW)
 
@@ -236,11 +241,11 @@ class Flagged:
         self.doc, self.start, self.piece = doc, start, back[same]
 
 
-def _send(buckets: int):
+def _send(buckets: int, slice_bytes: int):
     def send(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(docs):
             return KEYS_ARROW.empty_table()
-        f = Flagged(Block(docs), replies, buckets)
+        f = Flagged(Block(docs, slice_bytes), replies, buckets)
         used = np.nonzero(np.diff(f.bounds))[0]
         data = []
         for b in used:
@@ -356,9 +361,9 @@ def _contested(row, length, windows, base, first, owner) -> None:
     owner[flat] = np.minimum(owner[flat], by_position[ranges(strings.start[string], run)])
 
 
-def _apply(buckets: int, keep: bool):
+def _apply(buckets: int, slice_bytes: int, keep: bool):
     def apply(key, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(docs)
+        block = Block(docs, slice_bytes)
         n = len(block.ids)
         covered = np.zeros(len(block.raw) + 1, np.int32)
         told = [(b, d) for b, k, d in zip(*(replies.column(c).to_pylist() for c in ("bucket", "kind", "data"))) if k == 1]
@@ -396,28 +401,30 @@ def _apply(buckets: int, keep: bool):
     return apply
 
 
-def repeated_bytes(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_bytes(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES,
+                   hot_blocks: int = HOT_BLOCKS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, rest, kept, kept_sha256`` per row of ``docs`` (``doc_id, text``).
 
     Texts are UTF-8 bytes, null ones empty. Each byte is removed that is covered by a 50-byte string which also starts in a document
     with a smaller id, judged on the input. ``kept`` is the remaining text if ``keep_text``, without
-    characters that lost some of their bytes, else null; ``rest`` the columns ``carry``.
+    characters that lost some of their bytes, else null; ``rest`` the columns
+    ``carry`` in order, as fields ``c0, c1, ...``.
     Rows that repeat an id do not count against each other; rows without an id come after all others. Texts under 50 bytes keep
     all. Empty tables give no rows.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
+    blocks = int(size // block_bytes) + 1
     deal = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks))
-    rest = F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_"))
+    rest = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("none"))
     dealt = docs.select(deal.alias("block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_ID))).alias("id"),
                         F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))
     result = (dealt.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
               .add("rest", dealt.schema["rest"].dataType).add("kept", "string").add("kept_sha256", "string"))
     dealt = dealt.groupBy("block")
-    answers = dealt.applyInArrow(_ask(blocks), KEYS).groupBy("bucket").applyInArrow(_answer, KEYS)
-    pieces = dealt.cogroup(answers.groupBy("block")).applyInArrow(_send(blocks), KEYS)
+    answers = dealt.applyInArrow(_ask(blocks, slice_bytes), KEYS).groupBy("bucket").applyInArrow(_answer(hot_blocks), KEYS)
+    pieces = dealt.cogroup(answers.groupBy("block")).applyInArrow(_send(blocks, slice_bytes), KEYS)
     judged = pieces.groupBy("bucket").applyInArrow(_judge, KEYS)
-    return dealt.cogroup(answers.unionByName(judged).groupBy("block")).applyInArrow(_apply(blocks, keep_text), result)
+    return dealt.cogroup(answers.unionByName(judged).groupBy("block")).applyInArrow(_apply(blocks, slice_bytes, keep_text), result)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -426,9 +433,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     that lost nothing, null ones too, as they were."""
     others = tuple(c for c in docs.columns if c != "doc_id")
     cut = repeated_bytes(docs, True, others).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    text = F.when(F.col("n_removed") == 0, F.col("rest.text")).otherwise(F.col("kept"))
-    out = cut.withColumn("_text", text)
-    columns = [F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == "doc_id" else F.col("_text").alias(c) if c == "text"
-               else F.when(F.col("n_removed") == 0, F.col("rest")[c]).otherwise(F.length("_text")).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else F.col("rest")[c].alias(c) for c in docs.columns]
-    return out.select(*columns)
+    was = {c: F.col("rest")[f"c{i}"] for i, c in enumerate(others)}
+    text = F.when(F.col("n_removed") == 0, was["text"]).otherwise(F.col("kept"))
+    now = was | {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in was:
+        now["n_chars"] = F.when(F.col("n_removed") == 0, was["n_chars"]).otherwise(F.length(text))
+    return cut.select(*[now[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

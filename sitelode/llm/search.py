@@ -20,6 +20,9 @@ BLOCK_GROUP = 32
 QUERY_GROUP = 4096
 SCALE = 1024.0
 
+# Below every score, and still negatable.
+NO_SCORE = np.iinfo(np.int64).min + 1
+
 BLOCK_SCHEMA = "part int, at int, n int, dims int, ids binary, vectors binary, high binary, low binary"
 HIT_SCHEMA = "query_id long, vec_id long, score long"
 
@@ -91,7 +94,7 @@ def _score(k: int):
         bound = _exact(up, high) + _exact(down, low)
         order = np.argsort(-bound, axis=1, kind="stable")
         n = len(q)
-        best = np.full((n, k), np.iinfo(np.int64).min)
+        best = np.full((n, k), NO_SCORE)
         ids = np.full((n, k), np.iinfo(np.int64).max)
         live = np.arange(n)
         for step in range(len(bs)):
@@ -105,7 +108,7 @@ def _score(k: int):
                 rows = live[at == b]
                 bid, vectors = _matrix(bs[b], dims)
                 s = _exact(q[rows], vectors)
-                s[qid[rows][:, None] == bid[None, :]] = np.iinfo(np.int64).min
+                s[qid[rows][:, None] == bid[None, :]] = NO_SCORE
                 every_s = np.concatenate([best[rows], s], 1)
                 every_i = np.concatenate([ids[rows], np.broadcast_to(bid, s.shape)], 1)
                 if every_s.shape[1] > 4 * k:  # all that reach the k-th score, then exact order among them
@@ -118,7 +121,7 @@ def _score(k: int):
                     for i, row in enumerate(rows):
                         mine = np.lexsort((every_i[i], -every_s[i]))[:k]
                         best[row, :len(mine)], ids[row, :len(mine)] = every_s[i, mine], every_i[i, mine]
-        real = best > np.iinfo(np.int64).min
+        real = best > NO_SCORE
         return pa.table({"query_id": np.repeat(qid, real.sum(1)), "vec_id": ids[real], "score": best[real]})
     return score
 

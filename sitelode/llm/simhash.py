@@ -116,22 +116,27 @@ def _spanning(group: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
-def _links(batches):
-    """Links of each run of equal keys in rows sorted by key; only one run is held over from batch to batch."""
+def _linker(most: int):
+    return lambda batches: _links(batches, most)
+
+
+def _links(batches, most: int):
+    """Links of each run of equal keys in rows sorted by key; only one run is held over from batch to batch. Runs of up to
+    ``most`` rows are compared pair by pair."""
     held_k, held_p = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(k, p):
         first = np.concatenate(([True], k[1:] != k[:-1]))
         starts = np.nonzero(first)[0]
         sizes = np.diff(np.append(starts, len(k)))
-        small = np.repeat(sizes <= SMALL, sizes)
+        small = np.repeat(sizes <= most, sizes)
         u, left, right = p.view(np.uint64), [], []
-        for off in range(1, min(SMALL, int(sizes.max(initial=1)))):
+        for off in range(1, min(most, int(sizes.max(initial=1)))):
             i = np.nonzero((k[off:] == k[:-off]) & small[:-off])[0]
             i = i[np.bitwise_count(u[i] ^ u[i + off]) <= LINK_BITS]
             left.append(u[i])
             right.append(u[i + off])
-        for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+        for s, n in zip(starts[sizes > most], sizes[sizes > most]):
             a, b = _spanning(np.unique(u[s:s + n]))
             left.append(np.array(a, np.uint64))
             right.append(np.array(b, np.uint64))
@@ -158,19 +163,19 @@ def part_of(prints: Column, part: int) -> Column:
     return F.shiftrightunsigned(prints, 13 * part).bitwiseAND(F.lit((1 << 13) - 1))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, full: int = FULL, small: int = SMALL) -> DataFrame:
     """``a, b``: links between the different fingerprints of ``prints`` that join the same groups as all links do."""
     keyed = durable(prints.select("print").distinct().mapInArrow(_keyed, "key long, print long"))
-    full = keyed.groupBy("key").count().filter(F.col("count") > FULL).select("key", F.lit(True).alias("full"))
+    crowded = keyed.groupBy("key").count().filter(F.col("count") > full).select("key", F.lit(True).alias("full"))
     # The five parts of a full bucket's fingerprints are its buckets instead.
     parts = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), part_of(F.col("print"), i).alias("v")) for i in range(5)]),
                         lambda x: F.xxhash64("key", x["i"], x["v"]))
-    joined = keyed.join(full, "key", "left")
+    joined = keyed.join(crowded, "key", "left")
     dealt = joined.select(F.explode(F.when(F.col("full"), parts).otherwise(F.array("key"))).alias("key"), "print")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(small), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, full: int = FULL, small: int = SMALL) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per row of ``docs`` (``doc_id, text``).
 
     ``fingerprint``: 16 hex digits; ``component_id``: the smallest ``doc_id`` reachable over links, the document's own included.
@@ -179,7 +184,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = durable(fingerprints(docs))
     classes = durable(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
-    roots = connected(links(classes))
+    roots = connected(links(classes, full, small))
     rooted = classes.join(roots.select(F.col("node").alias("print"), "root"), "print", "left").withColumn(
         "root", F.coalesce("root", "print"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
