@@ -116,21 +116,34 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
-    """Weights, the intercept last, of the logistic regression on probabilities ``p``, by Newton steps."""
+def linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.05, rounds: int = 100) -> np.ndarray:
+    """Weights, the intercept last, of the logistic regression on probabilities ``p``.
+
+    Newton steps, halved until they lower the penalised loss: on separable votes full steps overshoot without end. The
+    intercept has a small penalty too, so the least loss is attained.
+    """
     x = np.concatenate((x, np.ones((len(x), 1))), 1).astype(np.float64)
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = ridge / 100
     w = np.zeros(x.shape[1])
     w[-1] = np.log((p.mean() + 1e-3) / (1 - p.mean() + 1e-3)) if len(p) else -3.0
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 0
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - p * z).sum() + (penalty * w * w).sum() / 2)
+
+    now = loss(w)
     for _ in range(rounds if len(p) else 0):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         gradient = x.T @ (q - p) + penalty * w
-        curve = (x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty + 1e-6)
-        step = np.linalg.solve(curve, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        curve = (x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty)
+        step, size = np.linalg.solve(curve, gradient), 1.0
+        while size > 1e-8 and loss(w - size * step) > now:
+            size /= 2
+        after = loss(w - size * step)
+        if not after < now - 1e-9 * (1 + now):
             break
+        w, now = w - size * step, after
     return w
 
 

@@ -215,6 +215,21 @@ def test_label_model_finds_accuracies():
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.95
 
 
+@pytest.mark.parametrize("n", [40, 3000])
+def test_linear_fit_settles_on_separable_votes(n):
+    """Rare voters that agree perfectly with the posterior: the fit must be a minimum, whatever the steps on the way."""
+    rng = np.random.default_rng(n)
+    y = rng.random(n) < 0.1
+    x = np.concatenate([np.repeat(y[:, None], 60, 1) & (rng.random((n, 60)) < 0.3), np.repeat(y[:, None], 3, 1), np.zeros((n, 5), bool)], 1).astype(float)
+    p = np.where(y, 1 - 1e-9, 1e-9)
+    w = toxicity.linear(x, p)
+    z = x @ w[:-1] + w[-1]
+    penalty = np.append(np.full(x.shape[1], 0.05), 0.0005)
+    slope = np.append(x, np.ones((n, 1)), 1).T @ (1 / (1 + np.exp(-z)) - p) + penalty * w
+    assert np.abs(w).max() < 50 and np.abs(slope).max() < 1e-2
+    assert ((1 / (1 + np.exp(-z)) >= 0.7) == y).all()
+
+
 def test_civil_documents_stay(documents, frame):
     rows, marks = labelled()
     docs = documents(*rows, (None, "calm words"), (900, None))
