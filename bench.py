@@ -7,7 +7,7 @@ import time
 os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 16g pyspark-shell")
 
 from sitelode.catalog import QUERIES  # noqa: E402
-from sitelode.session import build_session  # noqa: E402
+from sitelode.session import INPUT_PARTITIONS, build_session, drop_tables  # noqa: E402
 
 HEADLINE = (
     "site_report", "page_titles", "parsed_pages", "page_links", "page_headings", "visible_texts", "main_texts",
@@ -17,7 +17,7 @@ HEADLINE = (
     "crawl_frontier", "candidate_terms", "keyword_clusters", "cluster_rollups", "competitor_gaps",
     "content_calendar", "verified_keywords", "draft_checks", "keyword_violations", "brief_violations",
     "crawl_report_json", "brief_files", "calendar_index", "latest_job_states", "stage_durations",
-    "streamed_pages", "numbered_rows",
+    "streamed_pages", "numbered_rows", "loose_keyword_clusters", "keyword_pipeline", "full_export",
 )
 
 
@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = os.environ["BENCH_QUERIES"].split() if os.environ.get("BENCH_QUERIES") else HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": cpus, INPUT_PARTITIONS: cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["site_report"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
@@ -36,6 +36,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(seconds.values()), 3),
                       "unit": "sec", "queries": seconds, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
+    drop_tables(spark)
     spark.stop()
 
 

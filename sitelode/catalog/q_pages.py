@@ -157,6 +157,16 @@ def parsed_pages(spark, sf_dir):
         n("internal_links").alias("n_internal"), n("external_links").alias("n_external"), n("images").alias("n_images"))
 
 
+@query(f"""{_MAIN}, main AS (SELECT crawl_seq, string_agg(text, chr(10) ORDER BY k) AS main FROM blocks GROUP BY 1),
+whole AS (SELECT p.crawl_seq, url, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') AS title, coalesce(main, {I.sql_text('html')}) AS text_content,
+  len(regexp_extract_all(html, '<a href="/')) AS n_internal FROM p LEFT JOIN main USING (crawl_seq))
+SELECT *, len(list_filter(regexp_split_to_array(text_content, '\\s+'), lambda w: w <> ''))::INTEGER AS word_count FROM whole""")
+def parsed_page_texts(spark, sf_dir):
+    """Article text and word count of the full page record over the stored pages."""
+    return P.parse_pages(I.pages(spark, sf_dir)).select(
+        "crawl_seq", "url", "title", "text_content", F.size("internal_links").cast("long").alias("n_internal"), "word_count")
+
+
 @query(f"""WITH {I.PAGES} SELECT site_id, crawl_seq, row_number() OVER (PARTITION BY site_id ORDER BY crawl_seq) AS page_rank
 FROM p QUALIFY page_rank <= 5""")
 def first_site_pages(spark, sf_dir):

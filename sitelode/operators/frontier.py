@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable_layout, scratch_path
+from ..session import durable, durable_layout, scratch_path
 from .ranking import top_n
-from .robots_filter import robots_allowed
+from .robots_filter import robots_allowed, robots_by_host
 
 KEY = ["site_id", "url"]
 
@@ -43,7 +43,9 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, rules: DataFrame | None =
 
     Each level is one table under the shared folder (``depth=k``), so lineage does not grow and all
     earlier levels read as a single relation; the driver only learns whether a level was empty. Edges are
-    partitioned once by page; a level either moves to them or, when small, is broadcast.
+    partitioned once by page; a level either moves to them or, when small, is broadcast. Rules and stored pages are
+    written once before the first level. Each level adds its pages per site to a small table of counts, which gives
+    the room left without reading earlier levels, and sites without room are no longer followed.
     """
     spark = edges.sparkSession
     base = scratch_path(spark, "frontier")
@@ -51,6 +53,13 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, rules: DataFrame | None =
         edges.filter(F.col("pos") < links_per_page).select("site_id", F.col("src").alias("url"), "dst")
         .distinct().repartition("site_id", "url"))
 
+    rules = None if rules is None else durable(robots_by_host(rules))
+    stored = None if stored is None else durable(stored.select(*KEY).distinct())
+
+    def used() -> DataFrame:
+        counts = spark.read.schema("site_id string, n long, depth int").parquet(f"{base}-counts")
+        return counts.groupBy("site_id").agg(F.sum("n").alias("_used"))
+
     def taken() -> DataFrame:
         return spark.read.schema("site_id string, url string, depth int").parquet(base)
 
@@ -62,17 +71,18 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, rules: DataFrame | None =
         if rules is not None:
             found = robots_allowed(found, rules)
         if stored is not None:
-            found = found.join(stored.select(*KEY).distinct(), KEY, "left_semi")
+            found = found.join(stored, KEY, "left_semi")
         level = top_n(found, ["site_id"], ["url"], max_pages, "_n")
         if depth:
-            used = taken().groupBy("site_id").agg(F.count(F.lit(1)).alias("_used"))
-            level = level.join(used, "site_id", "left").filter(
+            level = level.join(used(), "site_id", "left").filter(
                 F.col("_n") + F.coalesce("_used", F.lit(0)) <= max_pages)
         level.select(*KEY).write.parquet(f"{base}/depth={depth}")
         fresh = spark.read.schema(seeds.select(*KEY).schema).parquet(f"{base}/depth={depth}")
         if fresh.isEmpty():
             break
-        found = fresh.join(followed, KEY).select("site_id", F.col("dst").alias("url")).distinct()
+        fresh.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{base}-counts/depth={depth}")
+        full = used().filter(F.col("_used") >= max_pages).select("site_id")
+        found = fresh.join(full, "site_id", "left_anti").join(followed, KEY).select("site_id", F.col("dst").alias("url")).distinct()
         depth += 1
     return taken()
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import html as H, urls as U
 from ..functions.text import let, or_default, word_count
 from ..lexicons import LANGUAGE_STOPWORDS
+from ..session import durable
 
 LEVELS = ("h2", "h3", "h4")
 
@@ -83,9 +84,9 @@ def drop_site_boilerplate(blocks: DataFrame, min_pages: int = 3, site_col: str =
     """Remove blocks that occur on at least ``min_pages`` pages of a site.
 
     Page counts are pre-aggregated per (site, block digest, page); the removal is an anti-join on the
-    128-bit digest, so no block text is shuffled for the count.
+    128-bit digest, so no block text is shuffled for the count. Blocks are written once: pages are parsed once for both sides.
     """
-    marked = blocks.withColumn("_digest", F.unhex(F.md5("text")))
+    marked = durable(blocks.withColumn("_digest", F.unhex(F.md5("text"))))
     repeated = (
         marked.select(site_col, "_digest", "url").distinct()
         .groupBy(site_col, "_digest").agg(F.count(F.lit(1)).alias("_pages"))

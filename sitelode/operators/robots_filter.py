@@ -12,7 +12,8 @@ def _first_match(rules: Column, path: Column) -> Column:
     return F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))
 
 
-def _as_arrays(rules: DataFrame) -> DataFrame:
+def robots_by_host(rules: DataFrame) -> DataFrame:
+    """``host, rules``: rule rows as one array per host in file order; arrays come back as they are."""
     if "rules" in rules.columns:
         return rules
     ordered = F.array_sort(F.collect_list(F.struct("seq", "allow", "prefix")))
@@ -24,9 +25,10 @@ def match_rules(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
 
     Rules travel as one array per host (bounded by the size of a robots.txt file), so a URL meets all
     rules of its host in one row: the join neither multiplies URLs nor needs a regrouping. Hosts
-    without rules allow everything. The join carries no hint: Spark decides from the sizes it measures. ``rules`` are rule rows or the arrays of ``robots_arrays``.
+    without rules allow everything. ``rules`` are rule rows or the arrays of ``robots_arrays``. The join carries no
+    hint: Spark decides from the sizes it measures.
     """
-    per_host = _as_arrays(rules).select(F.col("host").alias("_host"), "rules")
+    per_host = robots_by_host(rules).select(F.col("host").alias("_host"), "rules")
     path = percent_decode(path_and_query(url_col))
     joined = urls.withColumn("_host", url_part(url_col, "AUTHORITY")).join(per_host, "_host", "left")
     return joined.withColumn("allow", F.coalesce(_first_match(F.col("rules"), path), F.lit(True))).select(
