@@ -44,14 +44,44 @@ def start_state_stream(log: DataFrame, path: str, checkpoint: str):
     )
 
 
-def read_states(spark, path: str) -> DataFrame:
-    """Current state per job from the batches written so far."""
-    rows = spark.read.parquet(path)
+def _newest(rows: DataFrame) -> DataFrame:
     fields = [c for c in rows.columns if c not in ("job_id", "batch")]
     newest = rows.groupBy("job_id").agg(F.max_by(F.struct(*fields), "batch").alias("_s"))
     return newest.select("job_id", *[F.col(f"_s.{c}").alias(c) for c in fields])
 
 
+def _folded(spark, path: str) -> tuple[str, int] | None:
+    """Newest folded table beside ``path`` that is complete, and the last batch in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = f"{path}-folded"
+    names = [s.getPath().getName() for s in files.listStatus(at(base))] if files.exists(at(base)) else []
+    done = [int(n.split("=")[1]) for n in names if n.startswith("upto=") and files.exists(at(f"{base}/{n}/_SUCCESS"))]
+    return (f"{path}-folded/upto={max(done)}", max(done)) if done else None
+
+
+def read_states(spark, path: str) -> DataFrame:
+    """Current state per job: the newest folded table, if there is one, and the batches written after it."""
+    rows = spark.read.parquet(path)
+    folded = _folded(spark, path)
+    if folded is None:
+        return _newest(rows)
+    table, last = folded
+    before = spark.read.parquet(table).withColumn("batch", F.lit(last).cast(rows.schema["batch"].dataType))
+    return _newest(rows.filter(F.col("batch") > last).unionByName(before))
+
+
+def fold_states(spark, path: str) -> int:
+    """Fold all batches so far into one table beside ``path``; returns the last batch in it.
+
+    From then on readers skip these batches. A fold that fails leaves no complete table and changes nothing; folding
+    again starts from the last complete one. Folded batches are kept for the caller to expire.
+    """
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    read_states(spark, path).write.mode("overwrite").parquet(f"{path}-folded/upto={last}")
+    return last
+
+
 def stage_durations(log: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Seconds from each status row to the next of the same job (NULL for the last).
 

@@ -264,6 +264,26 @@ def test_streamed_states_equal_batch(spark, frame, tmp_path):
     assert J.read_states(spark, str(tmp_path / "out")).exceptAll(J.latest_job_state(frame(LOG, *log_rows()))).isEmpty()
 
 
+def test_folded_states(spark, frame, tmp_path):
+    path = str(tmp_path / "states")
+    rows = log_rows()
+
+    def batch(i, *part):
+        J.latest_job_state(frame(LOG, *part)).write.parquet(f"{path}/batch={i}")
+
+    batch(0, rows[0])
+    batch(1, *rows[2:])
+    before = sorted(map(tuple, J.read_states(spark, path).collect()))
+    assert J.fold_states(spark, path) == 1
+    assert sorted(map(tuple, J.read_states(spark, path).collect())) == before
+    (tmp_path / "states-folded" / "upto=9").mkdir()  # a fold that did not finish
+    batch(2, *rows[:2])
+    got = J.read_states(spark, path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, J.latest_job_state(frame(LOG, *rows)).collect()))
+    assert "PartitionFilters: [isnotnull(batch" in got._jdf.queryExecution().executedPlan().toString()
+    assert J.fold_states(spark, path) == 2 and J.read_states(spark, path).count() == 2
+
+
 def test_streamed_pages_once(spark, frame, tmp_path):
     schema = "page_id long, url string, html string"
     frame(schema, (1, "https://s/a", "<title>A</title>"), (2, "https://s/a", "<p>again"), (3, "https://s/b", "<p>b c")).coalesce(1).write.parquet(
