@@ -1,6 +1,6 @@
 """Main text of web pages by consensus host paths.
 
-Each page names the container that holds most of its running text, as a path of tags and classes without numbers. The paths of all
+Each page names the smallest container that holds all its running text, as a path of tags and classes without numbers. The paths of all
 pages of a host are counted in Spark, the most frequent one wins, and every page of the host is read again through it. A page
 without that path is read through its own.
 """
@@ -17,8 +17,8 @@ from ..session import durable
 
 # Largest table of winning paths that is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
-# Share of a container's text that one child must hold to be read instead of it.
-SHARE = 0.6
+# Unlinked characters from which a block is running text however much of it is linked.
+RUNNING = 40
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -39,6 +39,9 @@ FURNITURE = frozenset(
     "disqus related recommended recommendations pagination pager toolbar disclaimer copyright hidden".split())
 NOT_BEFORE = frozenset("has with no without".split())
 ROOTS = frozenset("html body main article".split())
+# Containers that are read whole, and those that are part of the text around them.
+WHOLE = frozenset("main article".split())
+PARTS = frozenset("ul ol dl table figure".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -66,7 +69,12 @@ def _dropped(tag: str, attrs: dict[str, str], within: bool) -> bool:
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """``(path, text, linked)`` of each block of text outside furniture in page order: the path of its containers, its text with
     references decoded and white space made one blank, and how many characters of it stand in links."""
-    found, parts, linked, links = [], [], 0, 0
+    return read(page)[0]
+
+
+def read(page: str) -> tuple[list[tuple[str, str, int]], frozenset[int]]:
+    """The blocks of a page, and the places of those in headings."""
+    found, parts, linked, links, titles = [], [], 0, 0, set()
     stack: list[tuple[str, str, bool]] = []  # tag, step of the path, dropped
     path, dropped, at, size = "", 0, 0, len(page)
 
@@ -76,6 +84,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             text = "".join(parts)
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
+                if any(x[0] in HEADINGS for x in stack[-2:]):
+                    titles.add(len(found))
                 found.append((path, text, linked))
         parts, linked = [], 0
 
@@ -140,40 +150,44 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if step:
             path = f"{path}/{step}" if path else step
     flush()
-    return found
-
-
-def main_path(found: list[tuple[str, str, int]]) -> str | None:
-    """Path of the deepest container that holds most of its parent's running text, links not counted; None without text."""
-    mass: dict[str, int] = {}
-    for path, text, linked in found:
-        running = max(0, len(text) - linked)
-        at = -1
-        while True:
-            at = path.find("/", at + 1)
-            prefix = path if at < 0 else path[:at]
-            mass[prefix] = mass.get(prefix, 0) + running
-            if at < 0:
-                break
-    if not any(mass.values()):
+    return found, frozenset(titles)
+
+
+def main_path(found: list[tuple[str, str, int]], titles: frozenset[int] = frozenset()) -> str | None:
+    """Path of the deepest container outside which there is no running text; None without text. An article is not gone into, nor a
+    list, table or figure. ``titles``: places of the blocks in headings, which count as running text however short."""
+    if not any(len(text) > linked for _, text, linked in found):
         return None
-    best = max(sorted(p for p in mass if "/" not in p), key=lambda p: mass[p])
-    while True:
-        below = sorted(p for p in mass if p.startswith(best + "/") and "/" not in p[len(best) + 1:])
-        child = max(below, key=lambda p: mass[p], default=None)
-        if child is None or mass[child] < SHARE * mass[best]:
-            return best
-        best = child
+    held = [path for i, (path, text, linked) in enumerate(found) if i in titles or _running(text, linked)]
+    held = held or [path for path, text, linked in found if len(text) > linked]
+    best: list[str] = []
+    for steps in zip(*(path.split("/") for path in held)):
+        tag = steps[0].split(".")[0]
+        if tag in PARTS or any(x != steps[0] for x in steps):
+            break
+        best.append(steps[0])
+        if tag in WHOLE:
+            break
+    return "/".join(best)
+
+
+def _running(text: str, linked: int) -> bool:
+    """Whether a block is running text: more than a word, and not mostly links."""
+    return " " in text and len(text) - linked >= min(RUNNING, len(text) / 2)
+
+
+def _under(at: str, path: str) -> bool:
+    return not path or at == path or at.startswith(path + "/")
 
 
 def text_under(found: list[tuple[str, str, int]], path: str) -> str:
-    """Text of the blocks in containers of this path, in page order."""
-    return "\n".join(text for at, text, _ in found if at == path or at.startswith(path + "/"))
+    """Text of the blocks in containers of this path, in page order; of all blocks if it is empty."""
+    return "\n".join(text for at, text, _ in found if _under(at, path))
 
 
 def _vote(batches):
     for batch in batches:
-        found = [main_path(blocks(x.as_py() or "")) for x in batch.column(1)]
+        found = [main_path(*read(x.as_py() or "")) for x in batch.column(1)]
         keep = [i for i, p in enumerate(found) if p is not None]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.string())],
                                          ["host", "path"])
@@ -183,10 +197,10 @@ def _extract(batches):
     for batch in batches:
         texts = []
         for page, path in zip(batch.column(2), batch.column(3)):
-            found = blocks(page.as_py() or "")
+            found, titles = read(page.as_py() or "")
             text = text_under(found, path.as_py()) if path.is_valid else ""
             if not text:
-                own = main_path(found)
+                own = main_path(found, titles)
                 text = text_under(found, own) if own is not None else ""
             texts.append(text)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),

@@ -373,6 +373,17 @@ def test_page_text():
     assert [b[1] for b in pages.blocks("<p>open <b>all<div>x</div></p></p>" + "<div>" * 2000 + "deep")] == ["open all", "x", "deep"]
 
 
+def test_articles_are_read_whole():
+    lead, body, item = "Some leading words of it. " * 3, "Body words that go on. " * 8, "<li>an item of the list</li>"
+    main = lambda page: pages.text_under(pages.blocks(page), pages.main_path(*pages.read(page))).split("\n")
+    for top in ("article", "div class=post", "section"):
+        got = main(f"<body><{top}><h1>Title</h1><div class=lead><p>{lead}</div><div class=body><p>{body}</div></{top.split()[0]}><div>Home</div>")
+        assert got == ["Title", lead.strip(), body.strip()]
+        assert main(f"<body><{top}><h1>Title</h1><p>{lead}<ul>{item * 40}</ul></{top.split()[0]}>") == ["Title", lead.strip()] + ["an item of the list"] * 40
+    assert main(f"<p>{lead}</p><div>{body}</div>") == [lead.strip(), body.strip()]
+    assert pages.main_path(pages.blocks(f"<body><div><ul>{item}</ul></div>")) == "body/div"
+
+
 def test_consensus(frame):
     body = "<html><body><div class='{}'><p>{}</p></div><div class='extra'><p>{}</p></div></body></html>"
     usual = [(i, f"http://H.net/{i}", body.format("text12", "main text of this page " * 8, "short")) for i in range(5)]
