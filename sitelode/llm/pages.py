@@ -21,7 +21,7 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 RUNNING = 40
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
@@ -37,7 +37,11 @@ FURNITURE = frozenset(
     "breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices notification alert popup modal "
     "overlay newsletter subscribe subscription signup login search share sharing social comment comments respond reply replies discussion "
     "disqus related recommended recommendations pagination pager toolbar disclaimer copyright hidden".split())
-NOT_BEFORE = frozenset("has with no without".split())
+# Words that a class or id of furniture may hold besides: place, size, kind of box.
+FORMS = frozenset(
+    "a area bar block bottom box bottombar button buttons card center container content cta field first footer form global group head holder "
+    "icon icons in inner item items js last left link links list main media message middle mobile module nav out outer page panel post "
+    "posts primary right row secondary section site slot small social sticky sub text title top unit up wrap wrapper".split())
 ROOTS = frozenset("html body main article".split())
 # Containers that are read whole, and those that are part of the text around them.
 WHOLE = frozenset("main article".split())
@@ -45,25 +49,30 @@ PARTS = frozenset("ul ol dl table figure".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return found
 
 
-def _names(attrs: dict[str, str]) -> list[str]:
-    return [x.lower() for x in NAME.findall(attrs.get("class", "") + " " + attrs.get("id", ""))]
+def _furniture(token: str, within: bool) -> bool:
+    """Whether a class or id names furniture: by words of which one does and the others are :data:`FORMS`."""
+    names = [x.lower() for x in NAME.findall(token)]
+    known = [x in FURNITURE and not (within and x in ("header", "masthead")) for x in names]
+    return any(known) and all(k or x in FORMS for k, x in zip(known, names))
 
 
-def _dropped(tag: str, attrs: dict[str, str], within: bool) -> bool:
-    """Whether an element is furniture. A header inside the article belongs to it."""
+def _dropped(tag: str, attrs: dict[str, str], within: bool, named: bool) -> bool:
+    """Whether an element is furniture; by class or id only if ``named``. A header inside the article belongs to it."""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
     if attrs.get("role", "").lower() in ROLES:
         return True
     if tag in DROPPED:
         return not (tag == "header" and within)
-    if tag in ROOTS or tag in HEADINGS:
+    if not named or tag in ROOTS or tag in HEADINGS:
         return False
-    names = _names(attrs)
-    return any(x in FURNITURE and (not i or names[i - 1] not in NOT_BEFORE) for i, x in enumerate(names))
+    return any(_furniture(x, within) for x in (attrs.get("class", "") + " " + attrs.get("id", "")).split())
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
@@ -73,9 +82,27 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 
 
 def read(page: str) -> tuple[list[tuple[str, str, int]], frozenset[int]]:
-    """The blocks of a page, and the places of those in headings."""
+    """The blocks of a page, and the places of those in headings.
+
+    An element that looks like furniture is kept if it holds most of the unlinked text that stands in main and article elements,
+    or without such text, most of the page's. A page of which nothing is left is read without regard to classes and ids."""
+    found, titles, wrapping = _read(page, frozenset(), True)
+    if wrapping:
+        found, titles, _ = _read(page, wrapping, True)
+    if not any(len(text) > linked for _, text, linked in found):
+        found, titles, wrapping = _read(page, frozenset(), False)
+        if wrapping:
+            found, titles, _ = _read(page, wrapping, False)
+    return found, titles
+
+
+def _read(page: str, kept: frozenset[int], named: bool):
+    """Blocks, places of headings, and where the dropped elements begin that hold most of the text; ``kept`` are not dropped."""
     found, parts, linked, links, titles = [], [], 0, 0, set()
-    stack: list[tuple[str, str, bool]] = []  # tag, step of the path, dropped
+    # Unlinked characters so far, of them in main and article; open ones of these; dropped elements with what was before and in them.
+    whole, rooted, roots = 0, 0, 0
+    gone: list[tuple[int, int, int]] = []
+    stack: list[tuple[str, str, bool, int, int, int]] = []  # tag, step of the path, dropped, place, whole, rooted
     path, dropped, at, size = "", 0, 0, len(page)
 
     def flush():
@@ -90,19 +117,29 @@ def read(page: str) -> tuple[list[tuple[str, str, int]], frozenset[int]]:
         parts, linked = [], 0
 
     def close(depth: int):
-        nonlocal path, dropped
+        nonlocal path, dropped, roots
         flush()
-        dropped -= sum(x[2] for x in stack[depth:])
+        for tag, _, drop, *before in stack[depth:]:
+            dropped -= drop
+            roots -= tag in WHOLE
+            if drop:
+                gone.append((before[0], whole - before[1], rooted - before[2]))
         del stack[depth:]
         path = "/".join(x[1] for x in stack if x[1])
 
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at:m.start() if m else size]
-        if text and not dropped:
-            parts.append(text)
-            if links:
-                linked += len(text)
+        if text:
+            if not dropped:
+                parts.append(text)
+                if links:
+                    linked += len(text)
+            if not links:
+                held = len(text.strip())
+                whole += held
+                if roots:
+                    rooted += held
         if not m:
             break
         at = m.end()
@@ -129,7 +166,7 @@ def read(page: str) -> tuple[list[tuple[str, str, int]], frozenset[int]]:
             at = end.end() if end else size
             continue
         attrs = _attributes(m[3]) if m[3] else {}
-        drop = (attrs or tag in DROPPED) and _dropped(tag, attrs, any(x[0] in ("article", "main") for x in stack))
+        drop = (attrs or tag in DROPPED) and m.start() not in kept and _dropped(tag, attrs, roots > 0, named)
         if tag in INLINE and not drop:
             links += tag == "a"
             continue
@@ -145,12 +182,14 @@ def read(page: str) -> tuple[list[tuple[str, str, int]], frozenset[int]]:
         if tag not in INLINE:
             flush()
         step = "" if tag in LEAF or tag in INLINE else ".".join([tag, *sorted(set(x.lower() for x in NAME.findall(attrs.get("class", ""))))])
-        stack.append((tag, step, bool(drop)))
+        stack.append((tag, step, bool(drop), m.start(), whole, rooted))
+        roots += tag in WHOLE
         dropped += bool(drop)
         if step:
             path = f"{path}/{step}" if path else step
-    flush()
-    return found, frozenset(titles)
+    close(0)
+    most = frozenset(place for place, text, main in gone if (2 * main > rooted if rooted else 2 * text > whole))
+    return found, frozenset(titles), most
 
 
 def main_path(found: list[tuple[str, str, int]], titles: frozenset[int] = frozenset()) -> str | None:

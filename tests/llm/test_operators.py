@@ -384,6 +384,23 @@ def test_articles_are_read_whole():
     assert pages.main_path(pages.blocks(f"<body><div><ul>{item}</ul></div>")) == "body/div"
 
 
+def test_wrappers_are_no_furniture():
+    text = "The text of the page, of some length. " * 5
+    main = lambda page: pages.text_under(pages.blocks(page), pages.main_path(*pages.read(page)))
+    for name in ("overflow-hidden", "layout sidebar-right", "page-sidebar-left", "page-header-fixed", "share-enabled", "entry-related", "sidebar", "hidden"):
+        for inner in ("article", "main", "div"):
+            assert main(f"<body><div class='{name}'><{inner}><p>{text}</{inner}></div><div class=sidebar>Some other words.</div>") == text.strip()
+    assert main(f"<body><form id=aspnetForm><div class=nav-menu>A few words</div><div><p>{text}</div><form></body>") == text.strip()
+    assert main(f"<body style='display: none'><div title='hidden search' data-role=menu><p>{text}</div>") == text.strip()
+    assert main("<body>" + "".join(f"<div class={x}>Some words here.</div>" for x in ("share", "related", "banner"))) == "\n".join(["Some words here."] * 3)
+    kept = f"<article><p>{text}</article>"
+    for name in ("cookie-notice", "sidebar-right", "related-posts", "siteHeader", "ad3", "comment-list"):
+        assert main(f"<body>{kept}<div class={name}>{text * 3}</div>") == text.strip()
+    few = "Words of a box that stands in between."
+    for name in ("overflow-hidden", "share-enabled", "entry-related", "no-ads", "has-sidebar"):
+        assert few in main(f"<body><article><p>{text}<div class={name}>{few}</div></article>")
+
+
 def test_consensus(frame):
     body = "<html><body><div class='{}'><p>{}</p></div><div class='extra'><p>{}</p></div></body></html>"
     usual = [(i, f"http://H.net/{i}", body.format("text12", "main text of this page " * 8, "short")) for i in range(5)]
