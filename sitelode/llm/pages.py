@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Each page names the smallest container that holds all its running text, as a path of tags and classes without numbers. The paths of all
-pages of a host are counted in Spark, the most frequent one wins, and every page of the host is read again through it. A page
-without that path is read through its own.
+pages of a host are counted in Spark, the most frequent one wins, and every page of the host is read again through it. What a page
+holds in its own container is read as well, but for containers that the host has beside the winner.
 """
 
 from __future__ import annotations
@@ -224,32 +224,57 @@ def text_under(found: list[tuple[str, str, int]], path: str) -> str:
     return "\n".join(text for at, text, _ in found if _under(at, path))
 
 
+def main_text(page: str, path: str | None, beside: list[str]) -> str:
+    """Text of a page whose host reads ``path`` and has the containers ``beside`` it.
+
+    Blocks under ``path``, and those under the page's own container that the host does not know from beside ``path``; all of
+    its own container if that leaves nothing."""
+    found, titles = read(page)
+    own = main_path(found, titles)
+    if own is None:
+        return text_under(found, path) if path is not None else ""
+    if path is not None:
+        taken = [text for at, text, _ in found if _under(at, path) or _under(at, own) and not any(_under(at, x) for x in beside)]
+        if taken:
+            return "\n".join(taken)
+    return text_under(found, own)
+
+
 def _vote(batches):
     for batch in batches:
-        found = [main_path(*read(x.as_py() or "")) for x in batch.column(1)]
-        keep = [i for i, p in enumerate(found) if p is not None]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.string())],
-                                         ["host", "path"])
+        hosts, paths, others = [], [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found, titles = read(page.as_py() or "")
+            path = main_path(found, titles)
+            if path is None:
+                continue
+            # The vote itself, and the containers with a class that stand beside the path.
+            beside = {at for at, _, _ in found if not _under(at, path) and not _under(path, at) and "." in at[at.rfind("/") + 1:]}
+            for other in (None, *sorted(beside)):
+                hosts.append(host)
+                paths.append(path)
+                others.append(other)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (hosts, paths, others)], ["host", "path", "beside"])
 
 
 def _extract(batches):
     for batch in batches:
-        texts = []
-        for page, path in zip(batch.column(2), batch.column(3)):
-            found, titles = read(page.as_py() or "")
-            text = text_under(found, path.as_py()) if path.is_valid else ""
-            if not text:
-                own = main_path(found, titles)
-                text = text_under(found, own) if own is not None else ""
-            texts.append(text)
+        texts = [main_text(page.as_py() or "", path.as_py(), beside.as_py() or [])
+                 for page, path, beside in zip(batch.column(2), batch.column(3), batch.column(4))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                           pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the path that most pages of each host name; of paths with equal votes the last in order."""
-    votes = with_host(pages).select("host", "html").mapInArrow(_vote, "host string, path string")
-    return votes.groupBy("host", "path").count().groupBy("host").agg(F.max(F.struct("count", "path"))["path"].alias("path"))
+    """``host, path, beside``: the path that most pages of each host name, of paths with equal votes the last in order; and the
+    containers that stand beside it on more than half of these pages."""
+    votes = with_host(pages).select("host", "html").mapInArrow(_vote, "host string, path string, beside string")
+    counts = durable(votes.groupBy("host", "path", "beside").count())
+    winners = counts.filter(F.col("beside").isNull()).groupBy("host").agg(F.max(F.struct("count", "path")).alias("w")).select(
+        "host", F.col("w.path").alias("path"), F.col("w.count").alias("votes"))
+    known = counts.filter(F.col("beside").isNotNull()).join(winners, ["host", "path"]).filter(2 * F.col("count") > F.col("votes"))
+    known = known.groupBy("host").agg(F.sort_array(F.collect_list("beside")).alias("beside"))
+    return winners.join(known, "host", "left").select("host", "path", "beside")
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -265,7 +290,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     broken markup is read as far as it goes. Empty tables give no rows.
     """
     paths = durable(host_paths(pages))
-    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length("path") + F.coalesce(F.octet_length(F.array_join("beside", ",")), F.lit(0)) + 32)).first()[0] or 0
     side = F.broadcast(paths) if size <= BROADCAST_BYTES else paths
-    return with_host(pages).join(side, "host", "left").select("page_id", "url", "html", "path").mapInArrow(
+    return with_host(pages).join(side, "host", "left").select("page_id", "url", "html", "path", "beside").mapInArrow(
         _extract, pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))

@@ -414,6 +414,15 @@ def test_consensus(frame):
     assert html.unescape("&eacute;") in got[10]["text"]
 
 
+def test_pages_of_another_layout_are_whole(frame):
+    story, note = "A story in whole sentences. " * 9, "A note in the usual place."
+    usual = [(i, f"http://h/{i}", f"<body><article><p>{story}</article><div class=extra><a href=/>all the links</a></div>") for i in range(5)]
+    odd = [(7, f"<body><article><p>{note}</article><div class=page><p>{story}</div>"), (8, f"<body><article><p>{note}</article><div><p>{story}</div>"),
+           (9, f"<body><p>{story}<article><p>{note}</article><div class=extra><p>Now some words of it.</div>")]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(frame("page_id long, url string, html string", *usual, *[(i, "http://h/x", x) for i, x in odd])).collect()}
+    assert got[0] == story.strip() and got[7] == got[8] == note + "\n" + story.strip() and got[9] == story.strip() + "\n" + note
+
+
 # --- mixing ----------------------------------------------------------------------------------------
 
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
