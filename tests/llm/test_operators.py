@@ -154,6 +154,23 @@ def test_licenses(documents, spark, frame):
     assert [(r["licenses"], r["whole"]) for r in licenses.scan_licenses(documents((1, "Do as\nyou please.")), own).collect()] == [("A", True)]
 
 
+def test_full_license_texts(documents, spark):
+    texts = {f.name.removesuffix(".txt"): f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    rows, want = [], []
+    for i, (name, text) in enumerate(sorted(texts.items())):
+        short = name.removesuffix(".header")
+        body = text.partition("\n\n")[2] if name in ("MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause") else text
+        broken = "\n".join(" * " + x for x in re.sub(r"(?i) (copyright (?:notice|holder|owner))", r"\n\1", body).split("\n"))
+        rows += [(4 * i, "Copyright (c) 2020 A. Smith\nAll rights reserved.\n\n" + text), (4 * i + 1, f"/*\n{broken}\n */\nint main;"),
+                 (4 * i + 2, "Some words before. " + " ".join(body.split()) + " And after."), (4 * i + 3, " ".join(body.split()[:-3]))]
+        want += [(4 * i, short, True), (4 * i + 1, short, False), (4 * i + 2, short, False)]
+    got = {r["doc_id"]: (r["licenses"], r["whole"]) for r in licenses.scan_licenses(documents(*rows), licenses.known_digests(spark)).collect()}
+    assert len(got) == len(rows) and [(i, *got[i]) for i, _, _ in want if got[i][0].split(",") == [""]] == []
+    assert [(i, *got[i], x) for i, x, w in want if x not in got[i][0].split(",") or w and not got[i][1]] == []
+    cut = next(4 * i + 3 for i, name in enumerate(sorted(texts)) if name == "MIT")
+    assert got[cut] == ("", False) and got[cut - 1] == ("MIT", False)
+
+
 # --- classifiers -----------------------------------------------------------------------------------
 
 def labelled(n=400):
