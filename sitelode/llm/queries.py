@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, mixing, pages, quality, repeats, search, simhash, toxicity
+from . import centroids, chat, decontaminate, divergence, licenses, merkle, mixing, pages, quality, repeats, search, simhash, toxicity
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -78,3 +78,26 @@ def op9_main_text(spark, sf_dir):
 @query
 def op10_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_quality_rules(spark, sf_dir):
+    return divergence.judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+@query
+def op12_centroids(spark, sf_dir):
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("exact")
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    # Every seventh id, by its checksum, claims one character more than its leaf says.
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    claimed = merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), more, F.col("text"))
+    made = merkle.manifest(docs, also={"claimed": F.when(tampered, claimed)})
+    folded = made.withColumn("folded_root", merkle.fold(F.col("path"), F.coalesce("claimed", "leaf")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

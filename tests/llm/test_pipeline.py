@@ -15,12 +15,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given t
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
 def test_queries_return_every_row(spark):
-    for name, of in (("op1_suffix_dedup", "documents"), ("op4_quality", "documents"), ("op5_toxicity", "documents"), ("op6_simhash", "documents"),
+    for name, of in (("op1_suffix_dedup", "documents"), ("op4_quality", "documents"), ("op5_toxicity", "documents"), ("op6_simhash", "documents"), ("op11_quality_rules", "documents"), ("op12_centroids", "embeddings"), ("op13_merkle", "documents"),
                      ("op9_main_text", "pages")):
         assert QUERIES[name](spark, SF).count() == table(spark, SF, of).count()
 
