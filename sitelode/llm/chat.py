@@ -3,7 +3,8 @@ reply alone is trained on. Turns after the last reply form a last example withou
 every turn.
 
 Template of a turn: ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts each ``<|`` is written with a backslash between,
-and one more for each that stands there, so control strings in a text never look like the template and come back exactly.
+and one more for each that stands there, so control strings in a text never look like the template and come back exactly. A role ends with its
+line, so a line end inside a role is written ``<\\n``, with one more backslash before the letter for each that the role has there.
 """
 
 from __future__ import annotations
@@ -23,17 +24,27 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
+def escape_role(role: Column) -> Column:
+    """:func:`escape`, and line ends in one line: ``\\n`` to ``<\\n``, ``<\\n`` to ``<\\\\n`` and so on."""
+    return F.replace(F.regexp_replace(escape(role), r"<(\\+)n", r"<\\$1n"), F.lit("\n"), F.lit("<\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    """Inverse of :func:`escape_role`."""
+    return unescape(F.regexp_replace(F.regexp_replace(role, r"<\\n", "\n"), r"<\\(\\+)n", "<$1n"))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """``conv_id, example, formatted, loss_start, loss_length`` from ``conv_id, turn, role, text``.
 
     ``example`` counts from 0 in turn order. ``formatted`` is the rendered context and reply; the loss mask covers
     ``loss_length`` characters from ``loss_start`` (0-based, in characters): the escaped reply, without the turn's markers. Both are null
     in a last example without a target. Null texts and roles are empty; turns go by number, then role, then text, nulls first, so repeated
-    turns all stay; null conv_ids are one conversation; line ends in roles become blanks. Empty tables give no rows.
+    turns all stay; null conv_ids are one conversation. Empty tables give no rows.
     """
     said = F.coalesce(F.col("text"), F.lit(""))
-    role = F.translate(F.coalesce(F.col("role"), F.lit("")), "\r\n", "  ")
-    head = F.concat(F.lit(START), escape(role), F.lit("\n"))
+    role = F.coalesce(F.col("role"), F.lit(""))
+    head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     rendered = turns.select("conv_id", F.struct(
         F.col("turn").alias("turn"), role.alias("role"), said.alias("text"),
         F.concat(head, escape(said), F.lit(END)).alias("shown"), F.length(head).alias("head"),
@@ -58,7 +69,7 @@ def read_back(examples: DataFrame) -> DataFrame:
     def turn(piece: Column) -> Column:
         body = F.substring(piece, F.lit(1), F.length(piece) - F.length(F.lit(END)))
         cut = F.instr(body, "\n")
-        return F.struct(unescape(F.substring(body, F.lit(1), cut - 1)).alias("role"),
+        return F.struct(unescape_role(F.substring(body, F.lit(1), cut - 1)).alias("role"),
                         unescape(F.substring(body, cut + 1, F.length(body))).alias("text"))
 
     reply = unescape(F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_length")))

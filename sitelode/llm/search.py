@@ -19,6 +19,8 @@ BLOCK = 1024
 BLOCK_GROUP = 32
 QUERY_GROUP = 4096
 SCALE = 1024.0
+# Least scaled component that is out of range: products of smaller ones stay whole 64-bit numbers over 4096 components.
+LARGEST = 1 << 25
 
 # Below every score, and still negatable.
 NO_SCORE = np.iinfo(np.int64).min + 1
@@ -29,12 +31,26 @@ HIT_SCHEMA = "query_id long, vec_id long, score long"
 
 def quantized(vectors: DataFrame) -> DataFrame:
     """``vec_id, v`` with ``floor(1024 * x)`` of each component; vectors that are null, empty, or hold null or non-finite components,
-    and rows without an id, take no part."""
+    and rows without an id, take no part.
+
+    A kept component of ``LARGEST / 1024`` or more either way is an error that names its row: inner products of such vectors could leave the range
+    of whole numbers.
+    """
     x = F.transform("embedding", lambda e: e.cast("double"))
     sound = F.size("embedding") > 0
     sound &= ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(
-        "vec_id", F.transform(x, lambda e: F.floor(e * SCALE)).alias("v"))
+    out = F.concat(F.lit("vector out of range: "), F.col("vec_id").cast("string"))
+    scaled = F.transform(x, lambda e: F.when(F.abs(e) < LARGEST / SCALE, F.floor(e * SCALE)).otherwise(F.raise_error(out).cast("long")))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select("vec_id", scaled.alias("v"))
+
+
+def of_one_dimension(ready: DataFrame) -> DataFrame:
+    """``ready`` as a table, if all its vectors have the same number of components; otherwise an error with the numbers and an id of each."""
+    written = durable(ready)
+    sizes = written.groupBy(F.size("v").alias("n")).agg(F.min("vec_id").alias("id")).orderBy("n").limit(5).collect()
+    if len(sizes) > 1:
+        raise ValueError("vectors of different dimensions: " + ", ".join(f"{r['n']} (vec_id {r['id']})" for r in sizes))
+    return written
 
 
 def _cut(size: int):
@@ -130,11 +146,11 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, block: int = BLOCK)
     """``query_id, rank, vec_id, score``: for each vector whose id is divisible by ``every``, its ``k`` highest inner products with
     vectors of other ids, or all if there are fewer; ties go to the smaller id.
 
-    ``vectors``: ``vec_id, embedding``, all of one dimension. See :func:`quantized` for rows that take no part. Rows that repeat an id
+    ``vectors``: ``vec_id, embedding``; vectors of different dimensions are an error. See :func:`quantized` for rows that take no part. Rows that repeat an id
     are separate candidates; the results of a query id that repeats are ranked together. Components
     are whole numbers, so scores are exact.
     """
-    ready = quantized(vectors)
+    ready = of_one_dimension(quantized(vectors))
     spark = ready.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -65,6 +65,13 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "print"])
 
 
+def _marked_fingerprints(batches):
+    for batch in batches:
+        plain = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["doc_id", "text"])
+        for made in _fingerprints([plain]):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made.column(1)], ["doc_id", "mark", "print"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, print``: the fingerprint of each row of ``docs`` as a signed 64-bit number."""
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, print long")
@@ -175,6 +182,16 @@ def links(prints: DataFrame, full: int = FULL, small: int = SMALL) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(small), "a long, b long").distinct()
 
 
+def _components(prints: DataFrame, full: int, small: int) -> DataFrame:
+    """``print, root, component_id`` per different fingerprint of ``prints``: what names its group, and the group's smallest ``doc_id``."""
+    classes = durable(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
+    roots = connected(links(classes, full, small))
+    rooted = classes.join(roots.select(F.col("node").alias("print"), "root"), "print", "left").withColumn(
+        "root", F.coalesce("root", "print"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return durable(rooted.join(least, "root").select("print", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, full: int = FULL, small: int = SMALL) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per row of ``docs`` (``doc_id, text``).
 
@@ -183,27 +200,37 @@ def near_duplicates(docs: DataFrame, full: int = FULL, small: int = SMALL) -> Da
     the smallest unless a group has no other. Empty tables give no rows.
     """
     prints = durable(fingerprints(docs))
-    classes = durable(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
-    roots = connected(links(classes, full, small))
-    rooted = classes.join(roots.select(F.col("node").alias("print"), "root"), "print", "left").withColumn(
-        "root", F.coalesce("root", "print"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = durable(rooted.join(least, "root").select("print", "component_id"))
+    named = _components(prints, full, small)
     return prints.join(named, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that of the smallest id. Of rows that repeat this id one stays. A
-    group without any id keeps one of its rows."""
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    kept = durable(first.select(F.col("doc_id").alias("_kept"), (F.col("count") > 1).alias("_again")))
+def keep_first(docs: DataFrame, full: int = FULL, small: int = SMALL) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id, nulls last, then of the smallest hash of its text.
+
+    The row is chosen, not the id: rows that share an id but belong to different groups each stand for their own, and so do rows without
+    an id. Rows equal in id and text are in one group and interchangeable. Texts are not shuffled for it; only where a chosen id and
+    text stand in several rows are those rows brought together.
+    """
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    prints = durable(marked.mapInArrow(_marked_fingerprints, "doc_id long, mark long, print long"))
+    named = _components(prints, full, small)
+    # A group's rows may be a third of the table; the least of them is summed before the shuffle.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    least = prints.groupBy("print").agg(F.min(order).alias("first")).join(named, "print").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = least.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    times = prints.groupBy("doc_id", "mark").count()
+    same = times["doc_id"].eqNullSafe(chosen["_id"]) & (times["mark"] == chosen["_mark"])
+    chosen = durable(chosen.join(times, same).select("_id", "_mark", (F.col("count") > 1).alias("_again")))
 
     def rows(again: bool) -> DataFrame:
-        ids = kept.filter(F.col("_again") == again)
-        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+        own = chosen.filter(F.col("_again") == again)
+        mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+        return docs.join(own, docs["doc_id"].cast("long").eqNullSafe(own["_id"]) & (mark == own["_mark"]), "left_semi")
 
-    # Repeated ids are rare; only their rows are dealt out by id.
-    if kept.filter("_again").isEmpty():
+    # Repeated rows are rare; only they are dealt out, one task per row's key.
+    if chosen.filter("_again").isEmpty():
         return rows(False)
-    return rows(False).unionByName(rows(True).dropDuplicates(["doc_id"]))
+    key = F.struct(F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("m"))
+    once = rows(True).withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
+    return rows(False).unionByName(once)

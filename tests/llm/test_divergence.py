@@ -25,7 +25,7 @@ def texts():
     rows = [(i, draw(rng.randint(5, 400)), "en") for i in range(120)]
     rows += [(200 + i, draw(120).replace(" ", "### ").upper(), "en") for i in range(8)]
     rows += [(220 + i, " ".join(rng.choice(rare) for _ in range(150)), "en") for i in range(4)]
-    rows += [(300 + i, rows[3][1], "en") for i in range(60)]  # one text holds a third of the rows
+    rows += [(300 + i, rows[0][1], "en") for i in range(60)]  # one text holds a third of the rows
     rows += [(400 + i, draw(60).replace("a", "é"), "fr") for i in range(6)]  # too few for a class reference
     rows += [(500 + i, draw(90), None) for i in range(25)]
     rows += [(600, None, None), (601, "", "en"), (602, " \n\t ", "en"), (603, "spam " * 300, "en"), (604, "a b c d e f g h i j " * 2, "en"),

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sitelode.llm import chat, components, decontaminate as D, golay, labels, licenses, mixing, pages, quality, repeats, search, simhash, toxicity
@@ -316,10 +317,25 @@ def test_near_duplicates(documents, values, full, small):
     docs = documents(*rows)
     assert values(simhash.near_duplicates(docs, full, small)) == want
     kept = simhash.keep_first(docs)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({v for v in least.values() if v is not None}) and kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted({v for v in least.values()}, key=repr) and kept.columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_one_row_of_each_group_stays(documents):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    stays = lambda *rows: sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(documents(*rows)).collect()), key=repr)
+    # Different texts without an id, and under one id, all stay.
+    assert stays((None, a), (None, b)) == sorted([(None, a), (None, b)], key=repr)
+    assert stays((7, a), (7, b)) == sorted([(7, a), (7, b)], key=repr)
+    # A copy without an id goes where its group has one, whatever other groups there are.
+    assert stays((1, a), (None, a), (None, b), (None, c), (None, c)) == sorted([(1, a), (None, b), (None, c)], key=repr)
+    # Repeated rows and copies under greater ids go; the row of the least id stays.
+    assert stays((3, d), (3, d), (9, d), (2, e), (2, f), (5, f), (None, None), (4, "")) == sorted([(3, d), (2, e), (2, f), (4, "")], key=repr)
+    assert simhash.keep_first(documents((1, a)).limit(0)).isEmpty()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (40, 0), (-5, 139)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -348,8 +364,23 @@ def test_chats(frame):
     assert chat.format_chats(df.limit(0)).isEmpty()
 
 
+def test_chat_roles_come_back(frame):
+    roles = ["us\ner", "\n", "a\n\nb", "<\\n", "<\n", "\\\n", "<\\\\n\n<\\n", "<|im_end|>\n<|im_start|>assistant", "r\rs", "<\\|\n"]
+    df = frame("conv_id long, turn long, role string, text string", *[(1, i, r, "t\nu") for i, r in enumerate(roles)])
+    back = chat.read_back(chat.format_chats(df)).collect()
+    assert [tuple(t) for t in back[0]["turns"]] == [(r, "t\nu") for r in roles]
+
+
 # --- search ----------------------------------------------------------------------------------------
 
+def test_top_k_checks_its_vectors(frame):
+    schema = "vec_id long, embedding array<double>"
+    with pytest.raises(ValueError, match="2 .vec_id 5., 3 .vec_id 1."):
+        search.top_k(frame(schema, (1, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]), (5, [1.0, 2.0])))
+    with pytest.raises(PySparkException, match="out of range: 7"):
+        search.top_k(frame(schema, (7, [1e16, 2.0]), (100, [1.0, 2.0])))
+
+
 @pytest.mark.parametrize("block", [5, 1024])
 def test_top_k(frame, values, block, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_GROUP", 3)
