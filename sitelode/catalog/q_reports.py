@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H, text as T
 from ..operators import facets as X, keywords as K, reports as A
+from ..plans import runs
 from ..plans.analysis import analyze_facets, analyze_sites
 from ..plans.export import export_jobs, export_tables
-from ..session import scratch_path
+from ..session import durable, scratch_path
 from ..sinks import render as R, writers as W
 from ..sources import read_report
 from . import inputs as I
@@ -14,7 +15,7 @@ from .q_facets import WORDS, _ALL
 from .q_keywords import _PLAN, _ROLL, _plan
 from .registry import query
 
-_RUN = "2024-05-06 07:08:09"
+_RUN, _NEXT_RUN = "2024-05-06 07:08:09", "2024-05-07 07:08:09"
 
 
 def _pages(spark, sf_dir):
@@ -198,18 +199,36 @@ def export_without_briefs(spark, sf_dir):
     return export_tables(_export_inputs(spark, sf_dir), include_briefs=False)["summary"]
 
 
-@query("""SELECT source AS client_slug, 'r20240506_070809' AS run, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1""")
+@query("""SELECT source AS client_slug, run, count(*) AS n, sum(length(text))::BIGINT AS n_chars
+FROM documents, (SELECT unnest(['r20240506_070809', 'r20240507_070809']) AS run) GROUP BY 1, 2""")
 def export_layout(spark, sf_dir):
-    """Drafts written by client and run, then read back with partition discovery."""
+    """Drafts written by client and run, twice; the second run leaves the first in place. Read back with partition discovery."""
     path = scratch_path(spark, "layout")
     names = X.site_names(I.docs(spark, sf_dir))
-    drafts = I.drafts(spark, sf_dir).select("site_id", "idx", "content")
-    W.write_layout(drafts, path, names, F.lit(_RUN).cast("timestamp"))
+    drafts = durable(I.drafts(spark, sf_dir).select("site_id", "idx", "content"))
+    for run in (_RUN, _NEXT_RUN):
+        W.write_layout(drafts, path, names, F.lit(run).cast("timestamp"))
     back = spark.read.schema("site_id string, idx long, content string, client_slug string, run_ts string").parquet(path)
     return back.groupBy("client_slug", F.concat(F.lit("r"), "run_ts").alias("run")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("content").cast("long")).alias("n_chars"))
 
 
+@query("""SELECT source AS client_slug, run, output, count(*) AS n_rows, true AS n_read FROM documents,
+  (SELECT unnest(['r20240506_070809', 'r20240507_070809']) AS run), (SELECT unnest(['briefs', 'drafts']) AS output) GROUP BY 1, 2, 3
+UNION ALL SELECT DISTINCT source, run, 'summary', 1, true FROM documents, (SELECT unnest(['r20240506_070809', 'r20240507_070809']) AS run)""")
+def export_runs(spark, sf_dir):
+    """Two runs, the first of them written again in place of itself: what the manifest says of them, and whether that many rows are read."""
+    base = scratch_path(spark, "runs")
+    names, tables = X.site_names(I.docs(spark, sf_dir)), {k: durable(v) for k, v in _export_inputs(spark, sf_dir).items()}
+    for run, replace in ((_RUN, False), (_NEXT_RUN, False), (_RUN, True)):
+        export_jobs(tables, base, names, F.lit(run).cast("timestamp"), replace=replace)
+    said = runs.current(spark, base)
+    read = R.union_all([runs.read_export(spark, base, name, "site_id string").withColumn("output", F.lit(name))
+                        for name in ("briefs", "drafts", "summary")]).groupBy("run", "client_slug", "run_ts", "output").agg(F.count(F.lit(1)).alias("_n"))
+    return said.join(read, ["run", "client_slug", "run_ts", "output"], "left").select(
+        "client_slug", F.concat(F.lit("r"), "run_ts").alias("run"), "output", "n_rows", (F.col("n_rows").eqNullSafe(F.col("_n"))).alias("n_read"))
+
+
 @query(f"""{_ROLL}, docs AS (SELECT count(*) AS n, count(DISTINCT source) AS sites FROM documents), {I.PAGES}
 SELECT unnest(['briefs', 'drafts', 'content-calendar-index', 'crawl-report', 'business-analysis', 'keywords', 'clusters', 'summary']) AS output,
   unnest([n, n, (SELECT count(*) FROM orders), (SELECT count(DISTINCT site_id) FROM p), sites, (SELECT count(*) FROM k), (SELECT count(*) FROM clu), sites]) AS n FROM docs""")
@@ -221,7 +240,7 @@ def full_export(spark, sf_dir):
               "keywords": keywords, "clusters": clusters, "calendar": I.calendar(spark, sf_dir)}
     base = scratch_path(spark, "export")
     export_jobs(tables, base, X.site_names(docs), F.lit(_RUN).cast("timestamp"))
-    return R.union_all([spark.read.schema("site_id string").json(f"{base}/{name}").agg(F.count(F.lit(1)).alias("n")).select(
+    return R.union_all([runs.read_export(spark, base, name, "site_id string").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(name).alias("output"), "n") for name in export_tables(tables)])
 
 

@@ -64,16 +64,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path object and file system of ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in whatever store it names."""
+    at, store = file_system(spark, path)
+    return store.exists(at)
+
+
 # Tables written by this process, for :func:`drop_tables`.
 WRITTEN: list[str] = []
 
 
 def drop_tables(spark: SparkSession) -> int:
     """Delete the tables that :func:`durable` wrote in this process, once nothing reads them any more; how many there were."""
-    jvm, n = spark.sparkContext._jvm, len(WRITTEN)
+    n = len(WRITTEN)
     while WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = file_system(spark, WRITTEN.pop())
+        store.delete(path, True)
     return n
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
+from ..session import path_exists
 from . import render as R
 
 FORMATS = ("json", "csv", "parquet")
@@ -21,17 +22,33 @@ def write_table(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwr
     if fmt not in FORMATS:
         raise ValueError(f"unknown export format: {fmt}")
     writer = (R.keywords_csv(df) if fmt == "csv" else df).write.mode(mode).partitionBy(*partition_by)
+    if partition_by:  # overwrite the folders that have new rows, and no others
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
 
 
-def write_layout(df: DataFrame, path: str, names: DataFrame, run_ts: Column, fmt: str = "parquet") -> None:
+def _taken(spark, path: str, fmt: str, keys: DataFrame) -> list[str]:
+    """Up to five clients and runs of ``keys`` that the layout under ``path`` already has."""
+    if not path_exists(spark, path):
+        return []
+    have = spark.read.schema("client_slug string, run_ts string").format("csv" if fmt == "excel" else fmt).load(path).distinct()
+    both = keys.distinct().join(have, ["client_slug", "run_ts"], "left_semi").orderBy("client_slug", "run_ts").limit(5)
+    return [f"{r['client_slug']} {r['run_ts']}" for r in both.collect()]
+
+
+def write_layout(df: DataFrame, path: str, names: DataFrame, run_ts: Column, fmt: str = "parquet", replace: bool = False) -> None:
     """Export layout ``client_slug=…/run_ts=…``.
 
+    Only the folders of the clients and runs in ``df`` are written; those of other clients and of earlier runs stay as they are. A client's run
+    that is already there is an error unless ``replace``, which writes its folder anew.
+
     A rebalance by client puts a small client's rows in one file; AQE splits the partition of a large
     client by size, so no single task writes all of it.
     """
-    placed = R.client_layout(df, names, run_ts).hint("rebalance", "client_slug")
-    write_table(placed, path, fmt, partition_by=("client_slug", "run_ts"))
+    placed = R.client_layout(df, names, run_ts)
+    if not replace and (taken := _taken(df.sparkSession, path, fmt, placed.select("client_slug", "run_ts"))):
+        raise FileExistsError(f"already exported to {path}: {', '.join(taken)}")
+    write_table(placed.hint("rebalance", "client_slug"), path, fmt, partition_by=("client_slug", "run_ts"))

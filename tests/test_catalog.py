@@ -1,11 +1,16 @@
 """Every registered query against its SQL counterpart on the smallest tables."""
 import datetime
 import decimal
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sitelode.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -42,3 +47,14 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_optional_operators(tmp_path, pipeline):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/sitelode", tmp_path / "sitelode", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * (pipeline and os.path.exists(f"{root}/corpus_pipeline.py")):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLES)), "False"], out.stderr

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelode.config import RunConfig
 from sitelode.operators import facets as X, keywords as K, parse as P, reports as A
 from sitelode.operators.quality import rule_counts, rules_for, validate
+from sitelode.plans import runs
 from sitelode.plans.export import export_jobs, export_tables
 from sitelode.schema import BRIEFS, DRAFTS, KEYWORDS
 from sitelode.operators.robots_filter import match_rules
@@ -226,10 +227,72 @@ def test_export(spark, frame, tmp_path):
     tables = {"briefs": spark.createDataFrame([brief()], BRIEFS), "drafts": spark.createDataFrame([draft], DRAFTS)}
     summary = export_jobs(tables, str(tmp_path), names, F.lit(TS))
     assert tuple(summary.first()) == ("s", 1, 1)
-    assert (tmp_path / "briefs" / "client_slug=tea-co" / "run_ts=20240102_030405").is_dir()
+    assert len(list(tmp_path.glob("briefs/run=*/client_slug=tea-co/run_ts=20240102_030405"))) == 1
     assert "drafts" not in export_tables(tables, include_drafts=False)
 
 
+def test_layout_keeps_other_clients_and_runs(spark, frame, values, tmp_path):
+    path = str(tmp_path / "layout")
+    table = lambda site, text: frame("site_id string, content string", (site, text), (site, text + "!"))
+    names = frame("site_id string, name string", ("a", "A"), ("b", "B"))
+    later = F.lit(TS + dt.timedelta(days=1))
+    for site, at in (("a", F.lit(TS)), ("b", F.lit(TS)), ("a", later), ("b", later)):
+        W.write_layout(table(site, f"{site} first"), path, names, at)
+    with pytest.raises(FileExistsError, match="a 20240102_030405"):
+        W.write_layout(table("a", "again"), path, names, F.lit(TS))
+    W.write_layout(table("a", "a again"), path, names, F.lit(TS), replace=True)
+    back = spark.read.schema("content string, client_slug string, run_ts string").parquet(path).filter("content not like '%!'")
+    assert values(back, "client_slug", "run_ts", "content") == [
+        ("a", "20240102_030405", "a again"), ("a", "20240103_030405", "a first"), ("b", "20240102_030405", "b first"), ("b", "20240103_030405", "b first")]
+
+
+def test_runs_become_visible_together(spark, frame, values, tmp_path, monkeypatch):
+    base, names = str(tmp_path / "store"), frame("site_id string, name string", ("a", "A"), ("b", "B"))
+    out = lambda site, text: {k: frame("site_id string, content string", (site, f"{text} {k}")) for k in ("briefs", "drafts")}
+    read = lambda name, **how: values(runs.read_export(spark, base, name, "site_id string, content string", **how), "client_slug", "run_ts", "content")
+    assert runs.committed(spark, base).isEmpty() and read("briefs") == []
+    later = F.lit(TS + dt.timedelta(days=1))
+    runs.write_run(out("a", "one"), base, names, F.lit(TS))
+    runs.write_run(out("b", "two"), base, names, F.lit(TS))
+    good = [("a", "20240102_030405", "one briefs"), ("b", "20240102_030405", "two briefs")]
+    assert read("briefs") == good and {r[2] for r in read("drafts")} == {"one drafts", "two drafts"}
+
+    # A run that fails between its outputs leaves what was there, and can be cleared away.
+    write = runs.write_layout
+    monkeypatch.setattr(runs, "write_layout", lambda df, path, *a, **k: write(df, path, *a, **k) if "/briefs/" in path else 1 / 0)
+    for replace, at in ((False, later), (True, F.lit(TS))):
+        with pytest.raises(ZeroDivisionError):
+            runs.write_run(out("a", "lost"), base, names, at, replace=replace)
+    monkeypatch.setattr(runs, "write_layout", write)
+    assert read("briefs") == good
+    failed = runs.uncommitted(spark, base, "briefs")
+    assert len(failed) == 2
+    for run in failed:
+        runs.drop_run(spark, base, run, ["briefs", "drafts"])
+    assert runs.uncommitted(spark, base, "briefs") == [] and read("briefs") == good
+
+    # The same client and time again: an error without replace, else in place of the run before.
+    with pytest.raises(FileExistsError, match="a 20240102_030405"):
+        runs.write_run(out("a", "three"), base, names, F.lit(TS))
+    assert read("briefs") == good
+    run = runs.write_run(out("a", "four"), base, names, F.lit(TS), replace=True)
+    runs.write_run(out("a", "five"), base, names, later)
+    assert [r[2] for r in read("drafts")] == ["four drafts", "five drafts", "two drafts"]
+    assert [r[2] for r in read("drafts", runs=runs.latest(spark, base))] == ["five drafts", "two drafts"]
+    assert runs.committed(spark, base).select("run").distinct().count() == 4
+    with pytest.raises(ValueError, match="committed"):
+        runs.drop_run(spark, base, run, ["briefs"])
+
+
+@pytest.mark.parametrize("fmt", ["csv", "excel", "parquet", "json"])
+def test_runs_in_each_format(spark, frame, values, tmp_path, fmt):
+    base, names = str(tmp_path / "store"), frame("site_id string, name string", ("a", "A"))
+    rows = frame("site_id string, content string", ("a", 'x,"y"\nz'), ("a", "é"))
+    runs.write_run({"briefs": rows, "drafts": rows.limit(0)}, base, names, F.lit(TS), fmt)
+    assert values(runs.read_export(spark, base, "briefs", "site_id string, content string", fmt), "content") == [('x,"y"\nz',), ("é",)]
+    assert values(runs.current(spark, base), "output", "n_rows") == [("briefs", 2)]
+
+
 def test_read_pages_drops_failures(spark, tmp_path):
     spark.createDataFrame([(1, "u", "<p>"), (2, "v", None), (3, "w", "")], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
     assert read_pages(spark, str(tmp_path / "p")).count() == 1
