@@ -16,6 +16,7 @@ from ..functions.urls import url_join, url_part, url_root
 from ..session import durable
 from .grams import known_grams, normal_term
 from .ranking import top_n
+from .similar import similar_sets
 
 # Content type per dominant intent, so that the default content mix can be filled.
 INTENT_CONTENT = {
@@ -82,34 +83,6 @@ def verify_keywords(keywords: DataFrame, pages: DataFrame) -> DataFrame:
 
 # --- clusters ------------------------------------------------------------------------------------
 
-def term_signatures(term, threshold: float = 0.5) -> Column:
-    """What terms share exactly when the Jaccard similarity of their word sets is at least ``threshold``.
-
-    Sets of n and m words are that similar when they have at least ``o = ceil(t * (n + m) / (1 + t))`` words in
-    common. So each term lists, for each size m that can be similar, its subsets of o words, marked with n and m, and no pair
-    is ever formed: a term of n and one of m words share a mark if and only if they are similar. ``even`` says
-    that n and m are equal; an uneven mark counts only if terms of both sizes have it (:func:`cluster_keywords`).
-    Keywords have few words; a term of n words has at most 2 ** n subsets.
-    """
-    tokens = F.array_sort(F.array_distinct(T.words(F.lower(term))))
-    kind = "array<array<string>>"
-    subsets = F.aggregate(tokens, F.array(F.array().cast("array<string>")).cast(kind),
-                          lambda done, w: F.concat(done, F.transform(done, lambda s: F.array_append(s, w))))
-
-    def marks(ts: Column) -> Column:
-        n = F.size(ts)
-        low, high = F.ceil(n * F.lit(threshold) - 1e-9).cast("int"), F.floor(n / F.lit(threshold) + 1e-9).cast("int")
-        sizes = F.transform(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1))), lambda m: F.struct(
-            F.least(n, m).alias("a"), F.greatest(n, m).alias("b"),
-            F.ceil((n + m) * F.lit(threshold / (1 + threshold)) - 1e-9).cast("int").alias("o")))
-        return F.flatten(F.transform(sizes, lambda x: F.transform(
-            F.filter(subsets, lambda s: F.size(s) == x["o"]),
-            lambda s: F.struct((x["a"] == x["b"]).alias("even"), F.concat(
-                x["a"].cast("string"), F.lit("/"), x["b"].cast("string"), F.lit("/"), F.array_join(s, " ")).alias("mark")))))
-
-    return F.when(F.size(tokens) > 0, marks(tokens)).otherwise(F.array(F.struct(F.lit(True).alias("even"), F.lit("0/0/").alias("mark"))))
-
-
 def connected_labels(links: DataFrame) -> DataFrame:
     """``node, label``: smallest node of each connected component of a node-signature table.
 
@@ -120,7 +93,8 @@ def connected_labels(links: DataFrame) -> DataFrame:
     joined side, which AQE can split. Rounds end when no label changed.
     """
     links = durable(links.select("node", "sig").distinct())
-    labels = durable(links.groupBy("node").agg(F.min("node").alias("label")))
+    least = links.groupBy("sig").agg(F.min("node").alias("label"))
+    labels = durable(links.join(least, "sig").groupBy("node").agg(F.min("label").alias("label")))
     while True:
         by_sig = links.join(labels, "node").groupBy("sig").agg(F.min("label").alias("label"))
         near = links.join(by_sig, "sig").groupBy("node").agg(F.min("label").alias("label"))
@@ -141,22 +115,21 @@ def cluster_keywords(df: DataFrame, threshold: float = 0.5, min_size: int = 3) -
     """Adds ``cluster_id`` (smallest member term): single-link groups of terms whose words have a Jaccard similarity of
     at least ``threshold``.
 
-    Works per site. Groups under ``min_size`` stay unclustered (NULL).
+    Works per site. Groups under ``min_size`` stay unclustered (NULL). Terms without words are alike. See :mod:`.similar`.
     """
-    # The site is part of node and signature, so sites never mix.
-    marked = df.select(
-        F.struct("site_id", "term").alias("node"), F.size(F.array_distinct(T.words(F.lower("term")))).alias("n"),
-        F.explode(term_signatures("term", threshold)).alias("m"))
-    marked = durable(marked.select("node", "n", "m.even", F.struct(F.col("node.site_id").alias("site_id"), "m.mark").alias("sig")))
-    both = marked.filter(~F.col("even")).groupBy("sig").agg(F.min("n").alias("low"), F.max("n").alias("high")).filter("low < high")
-    linked = marked.filter("even").select("node", "sig").unionByName(
-        marked.filter(~F.col("even")).join(both, "sig", "left_semi").select("node", "sig"))
-    labels = connected_labels(linked)
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size)
-    kept = labels.join(sizes.select("label"), "label", "left_semi").select(
-        F.col("node.site_id").alias("site_id"), F.col("node.term").alias("term"),
-        F.col("label.term").alias("cluster_id"))
-    return df.drop("cluster_id").join(kept, ["site_id", "term"], "left")
+    # The input is evaluated once; what follows reads it as a table.
+    rows = durable(df.drop("cluster_id"))
+    words = F.array_sort(F.array_distinct(T.words(F.lower("term"))))
+    terms = rows.select("site_id", "term", words.alias("words")).distinct()
+    # Terms of the same words are one node, named by the least of them, so the least node of a group is its least term.
+    sets = durable(terms.groupBy("site_id", "words").agg(F.min("term").alias("least")).select(
+        F.struct("site_id", F.col("least").alias("term")).alias("node"), "site_id", "words"))
+    labels = connected_labels(similar_sets(sets, threshold))
+    own = sets.join(labels, "node", "left").select("site_id", "words", F.coalesce("label", "node").alias("label"))
+    members = durable(terms.join(own, ["site_id", "words"]).select("site_id", "term", F.col("label.term").alias("cluster_id")))
+    sizes = members.groupBy("site_id", "cluster_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size)
+    kept = members.join(sizes.select("site_id", "cluster_id"), ["site_id", "cluster_id"], "left_semi")
+    return rows.join(kept, ["site_id", "term"], "left")
 
 
 def attach_clusters(keywords: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Rules, keywords, exports, jobs and streams."""
 import datetime as dt
+import random
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sitelode.config import RunConfig
 from sitelode.operators import facets as X, keywords as K, parse as P, reports as A
 from sitelode.operators.quality import rule_counts, rules_for, validate
+from sitelode.operators.similar import similar_sets
 from sitelode.plans import runs
 from sitelode.plans.export import export_jobs, export_tables
 from sitelode.schema import BRIEFS, DRAFTS, KEYWORDS
@@ -108,6 +110,35 @@ def test_marks_are_exact(frame):
             frozenset(k for k, v in got.items() if v == c) for c in set(got.values())}
 
 
+@pytest.mark.parametrize("t,full", [(0.5, 256), (0.5, 4), (0.7, 3), (0.25, 6)])
+def test_clusters_of_long_terms(frame, t, full, monkeypatch):
+    """Terms of 1 to 60 words against all pairs, with words that most terms share and families of near-equal terms."""
+    rng = random.Random(int(t * 100) + full)
+    rare, hot = [f"w{i}" for i in range(120)], [f"h{i}" for i in range(8)]
+    terms = {" ".join(rng.sample(hot, rng.randint(0, 4)) + rng.sample(rare, rng.randint(1, rng.choice([2, 5, 12, 56])))) for _ in range(110)}
+    for size in (3, 8, 20, 60):
+        base = rng.sample(rare, size)
+        terms |= {" ".join(rng.sample(base, size - rng.randint(0, 2)) + rng.sample(hot, rng.randint(0, 2))) for _ in range(14)}
+    terms = sorted(terms | {"", " ", "W1", "w1 w1"})
+    words = [frozenset(x.lower().split()) for x in terms]
+    group = list(range(len(terms)))
+    top = lambda i: i if group[i] == i else top(group[i])
+    for i in range(len(terms)):
+        for j in range(i):
+            a, b = words[i], words[j]
+            if a == b or len(a & b) >= t * len(a | b) - 1e-9 and a & b:
+                group[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for i, term in enumerate(terms):
+        least[top(i)] = min(least.get(top(i), term), term)
+    monkeypatch.setattr(K, "similar_sets", lambda sets, threshold: similar_sets(sets, threshold, full))
+    df = frame("site_id string, term string", *[("s", x) for x in terms], ("r", terms[5]))
+    got = {(r["site_id"], r["term"]): r["cluster_id"] for r in K.cluster_keywords(df, t, 1).collect()}
+    assert got.pop(("r", terms[5])) == terms[5]
+    assert got == {("s", x): least[top(i)] for i, x in enumerate(terms)}
+    assert 1 < len(set(got.values())) < len(terms)
+
+
 def test_components_match_brute_force(spark):
     edges = [(i, f"g{(i * 37) % 61}") for i in range(150)] + [(i, f"h{i // 2}") for i in range(0, 150, 5)] + [(i, "hub") for i in range(60, 110)]
     label = {i: i for i in range(150)}
