@@ -13,14 +13,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import durable
 from .common import GAP, null_key, words_between
 
-# Equal-probability slices of the key range; the one that is ordered holds this share of a source.
-BUCKETS = 4096
+# Slices of the key range, of equal probability for documents of LEAST_WEIGHT; of weight 1 a slice holds at most 1 / LEAST_WEIGHT times as many. So
+# the one slice of a source that is ordered holds less than a thousandth of it, whatever its weights are.
+BUCKETS = 16384
+LEAST_WEIGHT = 0.1
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """Between 0.1 and 1: falls as the mean characters per word, white space included, leave the 6 of running text;
-    0.1 for texts without words."""
-    return F.when(size > 0, F.greatest(F.lit(0.1), 1 - F.abs(F.length(text).cast("double") / size - 6) / 10)).otherwise(F.lit(0.1))
+    """Between :data:`LEAST_WEIGHT` and 1: falls as the mean characters per word, white space included, leave the 6 of running text;
+    the least for texts without words."""
+    least = F.lit(LEAST_WEIGHT)
+    return F.when(size > 0, F.greatest(least, 1 - F.abs(F.length(text).cast("double") / size - 6) / 10)).otherwise(least)
 
 
 def source_targets(sources: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -67,7 +70,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, buckets
         F.col("source").alias("_source"), null_key("source").alias("_group"),
         F.col("__words").alias("size"),
         (-F.log(uniform) / quality_weight(F.col("text"), F.col("__words"))).alias("_key"),
-    ).withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * buckets).cast("long")))
+    ).withColumn("_bucket", F.floor((1 - F.exp(-LEAST_WEIGHT * F.col("_key"))) * buckets).cast("long")))
 
     hist = sized.groupBy("_group", "_bucket").agg(F.sum("size").alias("_sum"), F.first("_source").alias("source"))
     hist = durable(hist)
