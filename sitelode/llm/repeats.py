@@ -414,7 +414,9 @@ def repeated_bytes(docs: DataFrame, keep_text: bool = False, carry: tuple[str, .
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
-    deal = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks))
+    # Rows without an id are dealt by their text, as they may be many.
+    own = F.col("doc_id").cast("long")
+    deal = F.pmod(F.when(own.isNull(), F.xxhash64("text")).otherwise(F.xxhash64(own)), F.lit(blocks))
     rest = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.lit(0).alias("none"))
     dealt = docs.select(deal.alias("block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_ID))).alias("id"),
                         F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))

@@ -73,6 +73,7 @@ def repeat_rows():
             for i in range(60)]
     rows += [(100 + i, rows[i][1]) for i in range(8)] + [(120, None), (121, ""), (122, "é" * 25), (123, "é" * 40), (124, "x" * 49), (125, "x" * 200),
                                                          (126, "x" * 200), (126, passage[0]), (126, passage[0]), (None, passage[1])]
+    rows += [(None, passage[2] + word()), (None, passage[2]), (None, "tail " + passage[3]), (None, "y" * 120), (None, "y" * 90)]
     return rows + [(130, " ".join(passage) * 20), (131, passage[2][10:] + passage[3][:-7])]
 
 
