@@ -106,6 +106,16 @@ def main_texts(spark, sf_dir):
     return P.main_text(I.pages(spark, sf_dir)).select("crawl_seq", "text_content")
 
 
+@query(f"""{_MAIN}, main AS (SELECT crawl_seq, string_agg(text, chr(10) ORDER BY k) AS main FROM blocks GROUP BY 1)
+SELECT crawl_seq, coalesce(main, '') AS text_content FROM p LEFT JOIN main USING (crawl_seq)""")
+def nested_main_texts(spark, sf_dir):
+    """Main blocks of the pages with a menu inside a menu and boxes inside an advert put before every paragraph: the same as without."""
+    nested = ('<nav><ul><li>menu</li></ul><nav>inner</nav>still menu</nav>'
+              '<div class="ad"><div><div>offer</div>more</div>still offer</div><p')
+    pages = I.pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", r"<p(?=[\s>])", nested))
+    return pages.select("crawl_seq", F.array_join(H.main_blocks("html"), "\n").alias("text_content"))
+
+
 def _hits(lang: str) -> str:
     listed = ", ".join(f"'{w}'" for w in LANGUAGE_STOPWORDS[lang])
     return f"len(list_filter(regexp_split_to_array(lower(main), '\\s+'), lambda w: w IN ({listed})))"

@@ -1,7 +1,7 @@
 """Expressions over raw HTML. Each is independent, so unused ones are pruned from the plan.
 
 Known limits of parsing by expression: CDATA sections and tags left open at the end of the
-file are read as text, and nested elements of one name end at the first closing tag.
+file are read as text. Headings and titles end at the first closing tag of their name; page furniture is cut by nesting.
 """
 
 from __future__ import annotations
@@ -118,12 +118,19 @@ def visible_text(html) -> Column:
     return collapse_space(unescape(strip_tags(shown)))
 
 
-# Page furniture dropped from main text, and the tags that separate blocks.
-_FURNITURE = (
+# Dropped from main text: comments, and elements whose bodies hold no elements of their own name.
+_UNSEEN = (
     r"(?is)<!--.*?(?:-->|\z)"
-    r"|<(script|style|noscript|head|title|nav|footer|header|aside|form)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
-    r"|<(\w+)\s(?:[^>]*?\s)?(?:class|id)\s*=\s*[\"']ad[\"'][^>]*>.*?</\2\s*>"
+    r"|<(script|style|noscript|head|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
 )
+# Page furniture by element and by class or id; it goes with all that it holds.
+FURNITURE = ("nav", "footer", "header", "aside", "form")
+_AD = r"(?is)^<\w+\s(?:[^>]*?\s)?(?:class|id)\s*=\s*[\"']ad[\"']"
+# A tag, a run of text, or a lone angle bracket: together they are the whole page.
+_TOKEN = rf"(?s)</?[A-Za-z](?:{_ATTRS}>|[^>]*>)|[^<]+|<"
+# Elements without an end tag, and elements that the next of their kind ends.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+SELF_ENDED = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
 _BLOCK = (
     r"(?is)</?(?:p|div|li|ul|ol|td|th|tr|table|h[1-6]|article|section|main|body|html|blockquote|pre|br)"
     r"(?=[\s/>])[^>]*>"
@@ -131,9 +138,43 @@ _BLOCK = (
 _ANCHOR = r"(?is)<a(?=[\s>])[^>]*>(.*?)</a\s*>"
 
 
+def _quoted(names: Sequence[str]) -> str:
+    return ", ".join(sql_literal(n) for n in names)
+
+
+def without_furniture(html) -> Column:
+    """HTML without comments, scripts and page furniture, however deep the furniture nests; a break stands for each part left out.
+
+    One pass over the tags with a stack of open element names. A closing tag ends the innermost open element of its name and
+    all inside it; one without an opening tag is ignored. Furniture left open ends with its parent or the page. Only where an
+    outermost furniture element ends does the list of cuts grow.
+    """
+    name = sql_literal(r"^</?([A-Za-z][^\s/>]*)")
+    kind = (f"transform(ft, (fx, fi) -> if(fx like '<%', named_struct('i', fi, 'n', lower(regexp_extract(fx, {name}, 1)), "
+            f"'close', fx like '</%', 'bad', fx rlike {sql_literal(_AD)}), null))")
+    tags = f"filter({kind}, fm -> fm.n <> '' and fm.n not in ({_quoted(VOID)}))"
+    at = "array_position(reverse(fz.s), fm.n)"
+    ended = f"fm.n in ({_quoted(SELF_ENDED)}) and coalesce(try_element_at(fz.s, -1) = fm.n, false)"
+    left = (f"case when fm.close then {sql_let(at, 'fp', 'if(fp > 0, slice(fz.s, 1, size(fz.s) - cast(fp as int)), fz.s)')} "
+            f"when {ended} then slice(fz.s, 1, size(fz.s) - 1) else fz.s end")
+    done = "fz.k > 0 and size(fl) < fz.k"
+    starts = f"not fm.close and (fm.bad or fm.n in ({_quoted(FURNITURE)})) and (fz.k = 0 or ({done}))"
+    step = (f"named_struct('s', if(fm.close, fl, fl || array(fm.n)), "
+            f"'k', case when {starts} then size(fl) + 1 when {done} then 0 else fz.k end, "
+            f"'f', if({starts}, fm.i, fz.f), "
+            f"'c', if({done}, fz.c || array(named_struct('a', fz.f, 'b', if(fm.close, fm.i + 1, fm.i))), fz.c))")
+    zero = "named_struct('s', cast(array() as array<string>), 'k', 0, 'f', 0, 'c', cast(array() as array<struct<a: int, b: int>>))"
+    last = "if(fz.k > 0, fz.c || array(named_struct('a', fz.f, 'b', size(ft))), fz.c)"
+    cuts = f"aggregate({tags}, {zero}, (fz, fm) -> {sql_let(left, 'fl', step)}, fz -> {last})"
+    part = "array_join(slice(ft, fo.b + 1, coalesce(get(fc, fj).a, size(ft)) - fo.b), '')"
+    kept = f"array_join(transform(array(named_struct('a', 0, 'b', 0)) || fc, (fo, fj) -> {part}), '<br>')"
+    tokens = F.regexp_extract_all(F.regexp_replace(_col(html), _UNSEEN, "<br>"), F.lit(_TOKEN), F.lit(0))
+    return apply_sql(tokens, "ft", sql_let(cuts, "fc", kept))
+
+
 def main_blocks(html, max_link_share: float = 0.5) -> Column:
     """Ordered, de-duplicated text blocks of the page body without furniture or link lists."""
-    pieces = F.split(F.regexp_replace(_col(html), _FURNITURE, "<br>"), _BLOCK)
+    pieces = F.split(without_furniture(html), _BLOCK)
     linked = f"array_join(regexp_extract_all(bp, {sql_literal(_ANCHOR)}, 1), ' ')"
     measure = f"named_struct('text', {shown_text_sql('bp')}, 'linked', length({sql_let(linked, 'ba', shown_text_sql('ba'))}))"
     keep = f"bm.text <> '' and bm.linked <= length(bm.text) * cast({float(max_link_share)} as double)"
@@ -160,5 +201,5 @@ def language_of(text, stopwords: Mapping[str, Sequence[str]]) -> Column:
 __all__ = [
     "attribute", "first_h1", "heading_elements", "image_tags", "inner_text", "language_of", "link_tags",
     "main_blocks", "markup", "meta_description", "page_title", "strip_tags", "tag_pattern",
-    "visible_text", "word_count",
+    "visible_text", "without_furniture", "word_count",
 ]

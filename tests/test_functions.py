@@ -1,6 +1,8 @@
 """Expressions against Python's own functions and hand-derived values."""
 import html
+import random
 import re
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pytest
@@ -105,3 +107,63 @@ def test_main_blocks_drop_furniture(frame):
     page = ('<body><nav><a href="/">x</a></nav><div class="ad">buy</div><p>keep me</p><p>keep me</p>'
             '<p><a href="/a">only a link</a></p><table><tr><td>cell</td></tr></table><footer>end</footer></body>')
     assert frame("h string", (page,)).select(H.main_blocks("h")).first()[0] == ["keep me", "cell"]
+
+
+class Reader(HTMLParser):
+    """Text blocks outside furniture, by a stack of open elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.blocks.append("")
+            return
+        if tag == "li" and self.open and self.open[-1][0] == "li":
+            self.open.pop()
+        self.open.append((tag, tag in H.FURNITURE or ("class", "ad") in attrs))
+        if tag != "span":
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        names = [n for n, _ in self.open]
+        if tag in H.FURNITURE and tag not in names:
+            return
+        if tag in names:
+            del self.open[len(names) - 1 - names[::-1].index(tag):]
+        if tag != "span":
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if not any(bad for _, bad in self.open):
+            self.blocks[-1] += data
+
+    def result(self):
+        return list(dict.fromkeys(b for b in (" ".join(x.split()) for x in self.blocks) if b))
+
+
+def random_page(rng, tags=60):
+    """Nested, unclosed and stray tags around numbered words."""
+    names, out = ["div", "div", "nav", "aside", "ul", "li", "section", "form", "footer", "p"], []
+    for k in range(tags):
+        tag = rng.choice(names)
+        out.append(rng.choice([f"<{tag}>", f"<{tag}>", f'<{tag} class="ad">', f"</{tag}>", f"</{tag}>", "<br>", ""]) + f" w{k} ")
+    return "".join(out).replace("<p", "<section").replace("</p", "</section")
+
+
+def test_furniture_goes_with_all_it_holds(frame):
+    pages = ['<div class="ad"><div>x</div>y</div><p>kept</p>', "<nav><nav>a</nav>b</nav>c", "<nav>a<div>b</div>", "<div><aside>a</div>b",
+             "</div>a</nav>b", "<ul><li class=\"ad\">a<li>b</ul>c", "<NAV>a</nav >b", "", "text only", "a < b <c", "<nav title='>'>x</nav>y",
+             "<div id='ad'>" * 300 + "deep" + "</div>" * 300 + "out"]
+    want = [["kept"], ["c"], [], ["b"], ["a b"], ["b", "c"], ["b"], [], ["text only"], ["a < b <c"], ["y"], ["out"]]
+    got = [r[0] for r in frame("i int, h string", *enumerate(pages), (99, None)).orderBy("i").select(H.main_blocks("h")).collect()]
+    assert got[:-1] == want and not got[-1]
+
+
+def test_furniture_against_a_stack(frame):
+    pages = [random_page(random.Random(seed)) for seed in range(300)]
+    for row in frame("h string", *[(p,) for p in pages]).select("h", H.main_blocks("h").alias("b")).collect():
+        reader = Reader()
+        reader.feed(row["h"])
+        assert row["b"] == reader.result(), row["h"]
