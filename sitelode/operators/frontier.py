@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable, durable_layout, scratch_path
 from .ranking import top_n
-from .robots_filter import robots_allowed, robots_by_host
+from .robots_filter import robots_allowed, robots_index
 
 KEY = ["site_id", "url"]
 
@@ -41,50 +43,51 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, rules: DataFrame | None =
     never exceeds ``max_pages`` (order: depth, then URL). A disallowed URL is neither a page nor followed.
     With ``stored``, URLs that have no stored page yield nothing either.
 
-    Each level is one table under the shared folder (``depth=k``), so lineage does not grow and all
-    earlier levels read as a single relation; the driver only learns whether a level was empty. Edges are
-    partitioned once by page; a level either moves to them or, when small, is broadcast. Rules and stored pages are
+    Links and levels are dealt to the same partitions by (site, URL) once and keep them (reliable checkpoints), so a level moves
+    only its new links: the visited levels and the links of pages are joined where they lie. Rules and stored pages are
     written once before the first level. Each level adds its pages per site to a small table of counts, which gives
-    the room left without reading earlier levels, and sites without room are no longer followed.
+    the room left without reading earlier levels, and sites without room are no longer followed. The driver only learns
+    whether a level was empty.
     """
     spark = edges.sparkSession
-    base = scratch_path(spark, "frontier")
-    followed = durable_layout(
-        edges.filter(F.col("pos") < links_per_page).select("site_id", F.col("src").alias("url"), "dst")
-        .distinct().repartition("site_id", "url"))
+    counts = scratch_path(spark, "frontier-counts")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, *KEY)
 
-    rules = None if rules is None else durable(robots_by_host(rules))
+    followed = durable_layout(dealt(
+        edges.filter(F.col("pos") < links_per_page).select("site_id", F.col("src").alias("url"), "dst").distinct()))
+    rules = None if rules is None else durable(robots_index(rules))
     stored = None if stored is None else durable(stored.select(*KEY).distinct())
 
     def used() -> DataFrame:
-        counts = spark.read.schema("site_id string, n long, depth int").parquet(f"{base}-counts")
-        return counts.groupBy("site_id").agg(F.sum("n").alias("_used"))
-
-    def taken() -> DataFrame:
-        return spark.read.schema("site_id string, url string, depth int").parquet(base)
-
-    found = seeds.select(*KEY).distinct()
-    depth = 0
-    while max_depth is None or depth <= max_depth:
-        if depth:
-            found = minus_visited(found, taken())
+        rows = spark.read.schema("site_id string, n long, depth int").parquet(counts)
+        return rows.groupBy("site_id").agg(F.sum("n").alias("_used"))
+
+    levels: list[DataFrame] = []
+    found = dealt(seeds.select(*KEY)).distinct()
+    while max_depth is None or len(levels) <= max_depth:
+        for level in levels:
+            found = minus_visited(found, level)
         if rules is not None:
             found = robots_allowed(found, rules)
         if stored is not None:
             found = found.join(stored, KEY, "left_semi")
-        level = top_n(found, ["site_id"], ["url"], max_pages, "_n")
-        if depth:
-            level = level.join(used(), "site_id", "left").filter(
+        taken = top_n(found, ["site_id"], ["url"], max_pages, "_n")
+        if levels:
+            taken = taken.join(used(), "site_id", "left").filter(
                 F.col("_n") + F.coalesce("_used", F.lit(0)) <= max_pages)
-        level.select(*KEY).write.parquet(f"{base}/depth={depth}")
-        fresh = spark.read.schema(seeds.select(*KEY).schema).parquet(f"{base}/depth={depth}")
+        fresh = durable_layout(dealt(taken.select(*KEY)))
+        fresh.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{counts}/depth={len(levels)}")
         if fresh.isEmpty():
             break
-        fresh.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{base}-counts/depth={depth}")
+        levels.append(fresh)
         full = used().filter(F.col("_used") >= max_pages).select("site_id")
-        found = fresh.join(full, "site_id", "left_anti").join(followed, KEY).select("site_id", F.col("dst").alias("url")).distinct()
-        depth += 1
-    return taken()
+        reached = fresh.join(followed, KEY).join(full, "site_id", "left_anti")
+        found = dealt(reached.select("site_id", F.col("dst").alias("url"))).distinct()
+    none = spark.createDataFrame([], "site_id string, url string, depth int")
+    return reduce(DataFrame.unionByName, [level.withColumn("depth", F.lit(k)) for k, level in enumerate(levels)], none)
 
 
 def coverage(frontier: DataFrame, pages: DataFrame) -> DataFrame:

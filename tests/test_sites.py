@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelode.operators import frontier as C
-from sitelode.operators.robots_filter import match_rules, robots_allowed
+from sitelode.operators.robots_filter import match_rules, robots_allowed, robots_index
 from sitelode.sources import parse_robots, parse_sitemap, robots_arrays, robots_sitemaps, sitemap_urls
 
 BODIES = {
@@ -101,3 +101,23 @@ def test_seed_and_set_operators(frame, values):
     assert values(C.minus_visited(listed, start)) == [("s", "u2"), ("s", "u3")]
     assert C.frontier_minus(listed, listed).isEmpty()
     assert start.filter(F.col("url") == "u1").count() == 1
+
+
+def test_many_rules_on_one_host(spark):
+    """50,000 prefixes, repeated ones among them: the first rule in file order still decides, found in the row of the host."""
+    rules = spark.range(50_000).select(F.lit("h.com").alias("host"), F.col("id").alias("seq"), (F.col("id") % 3 == 0).alias("allow"),
+                                       F.concat(F.lit("/"), (F.col("id") * 7919 % 40_000).cast("string")).alias("prefix"))
+    listed = [tuple(r) for r in rules.orderBy("seq").select("prefix", "allow").collect()]
+    paths = [f"/{n}" for n in range(0, 60_000, 997)] + ["/", "/x", "/12/a?b", "/399999999"]
+    want = {f"https://h.com{p}": next((a for prefix, a in listed if p.startswith(prefix)), True) for p in paths}
+    urls = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r["url"]: r["allow"] for r in match_rules(urls, rules).collect()} == want
+    index = robots_index(rules).first()
+    assert len(index["slots"]) == 40_000 and max(map(len, index["slots"])) < 12 and sorted(index["lengths"]) == [2, 3, 4, 5, 6]
+
+
+def test_rules_without_rows_or_prefix(frame):
+    schema = "host string, seq int, allow boolean, prefix string"
+    urls = frame("url string", ("https://h.com/a",), (None,), ("no url",))
+    for rules in (frame(schema), frame(schema, ("h.com", 1, False, None), (None, 1, False, "/"))):
+        assert [r["allow"] for r in match_rules(urls, rules).collect()] == [True] * 3
