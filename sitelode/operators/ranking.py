@@ -48,8 +48,14 @@ def rank_rows(df: DataFrame, by: Sequence[str], order: Sequence, name: str = "id
 
 def next_in_group(df: DataFrame, by: Sequence[str], order: Sequence, value: str, name: str,
                   range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``value`` of the following row of the group: an equi-join on exact positions, so a hot group spreads over all tasks."""
+    """``value`` of the following row of the group.
+
+    Rows that fit one range need one window over their groups; more are joined on exact positions, so a hot group spreads over all tasks.
+    """
     by = list(by)
+    df = durable(df)
+    if df.count() <= range_rows:
+        return df.withColumn(name, F.lead(value).over(Window.partitionBy(*by).orderBy(*_key(order))))
     ranked = durable(rank_rows(df, by, order, "_i", range_rows))
     following = ranked.select(*by, (F.col("_i") - 1).alias("_i"), F.col(value).alias(name))
     return ranked.join(following, [*by, "_i"], "left").select(*df.columns, name)
