@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import durable, durable_layout, scratch_path
+from ..session import durable, durable_buckets, scratch_path
 from .ranking import top_n
 from .robots_filter import robots_allowed, robots_index
 
 KEY = ["site_id", "url"]
+# Visited tables of one size that are merged into a larger one.
+RUNS = 8
 
 
 def seed_urls(start: DataFrame, sitemap: DataFrame | None = None, max_sitemap: int | None = None) -> DataFrame:
@@ -43,51 +46,61 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, rules: DataFrame | None =
     never exceeds ``max_pages`` (order: depth, then URL). A disallowed URL is neither a page nor followed.
     With ``stored``, URLs that have no stored page yield nothing either.
 
-    Links and levels are dealt to the same partitions by (site, URL) once and keep them (reliable checkpoints), so a level moves
-    only its new links: the visited levels and the links of pages are joined where they lie. Rules and stored pages are
-    written once before the first level. Each level adds its pages per site to a small table of counts, which gives
-    the room left without reading earlier levels, and sites without room are no longer followed. The driver only learns
-    whether a level was empty.
+    Links and visited URLs lie in buckets by (site, URL), so a level shuffles only its new links: what was visited and what the
+    new pages link to is joined where it lies. ``RUNS`` visited tables of a size are merged into one, so a URL is written again
+    only log(levels) times and a deep site joins few tables. Rules and stored pages are written once before the first
+    level. Each level adds its pages per site to a small table of counts, which gives the room left without reading earlier
+    levels, and sites without room are no longer followed. The driver only learns whether a level was empty.
     """
     spark = edges.sparkSession
     counts = scratch_path(spark, "frontier-counts")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, *KEY)
-
-    followed = durable_layout(dealt(
-        edges.filter(F.col("pos") < links_per_page).select("site_id", F.col("src").alias("url"), "dst").distinct()))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    followed = durable_buckets(
+        edges.filter(F.col("pos") < links_per_page).select("site_id", F.col("src").alias("url"), "dst").distinct(), KEY, buckets)
     rules = None if rules is None else durable(robots_index(rules))
-    stored = None if stored is None else durable(stored.select(*KEY).distinct())
+    stored = None if stored is None else durable_buckets(stored.select(*KEY).distinct(), KEY, buckets)
 
     def used() -> DataFrame:
         rows = spark.read.schema("site_id string, n long, depth int").parquet(counts)
         return rows.groupBy("site_id").agg(F.sum("n").alias("_used"))
 
-    levels: list[DataFrame] = []
-    found = dealt(seeds.select(*KEY)).distinct()
-    while max_depth is None or len(levels) <= max_depth:
-        for level in levels:
-            found = minus_visited(found, level)
+    visited: list[list[DataFrame]] = [[]]
+    found = seeds.select(*KEY).distinct()
+    depth = 0
+    while max_depth is None or depth <= max_depth:
+        for run in chain(*visited):
+            found = minus_visited(found, run)
         if rules is not None:
             found = robots_allowed(found, rules)
         if stored is not None:
             found = found.join(stored, KEY, "left_semi")
-        taken = top_n(found, ["site_id"], ["url"], max_pages, "_n")
-        if levels:
-            taken = taken.join(used(), "site_id", "left").filter(
+        level = top_n(found, ["site_id"], ["url"], max_pages, "_n")
+        if depth:
+            level = level.join(used(), "site_id", "left").filter(
                 F.col("_n") + F.coalesce("_used", F.lit(0)) <= max_pages)
-        fresh = durable_layout(dealt(taken.select(*KEY)))
-        fresh.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{counts}/depth={len(levels)}")
+        fresh = durable_buckets(level.select(*KEY, F.lit(depth).alias("depth")), KEY, buckets)
         if fresh.isEmpty():
             break
-        levels.append(fresh)
+        fresh.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{counts}/depth={depth}")
+        _file_run(visited, fresh, buckets)
         full = used().filter(F.col("_used") >= max_pages).select("site_id")
-        reached = fresh.join(followed, KEY).join(full, "site_id", "left_anti")
-        found = dealt(reached.select("site_id", F.col("dst").alias("url"))).distinct()
+        links = fresh.select(*KEY).join(followed, KEY).select("site_id", F.col("dst").alias("url"))
+        found = links.join(full, "site_id", "left_anti").distinct()
+        depth += 1
     none = spark.createDataFrame([], "site_id string, url string, depth int")
-    return reduce(DataFrame.unionByName, [level.withColumn("depth", F.lit(k)) for k, level in enumerate(levels)], none)
+    return reduce(DataFrame.unionByName, chain(*visited), none)
+
+
+def _file_run(visited: list[list[DataFrame]], run: DataFrame, buckets: int) -> None:
+    """Add a run to the first rank; a rank that holds ``RUNS`` runs becomes one run of the next."""
+    visited[0].append(run)
+    for rank, runs in enumerate(visited):
+        if len(runs) < RUNS:
+            break
+        if rank + 1 == len(visited):
+            visited.append([])
+        visited[rank + 1].append(durable_buckets(reduce(DataFrame.unionByName, runs), KEY, buckets))
+        runs.clear()
 
 
 def coverage(frontier: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 """Robots, sitemaps, frontier."""
+import random
 import urllib.robotparser
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelode.operators import frontier as C
 from sitelode.operators.robots_filter import match_rules, robots_allowed, robots_index
+from sitelode.session import durable_buckets
 from sitelode.sources import parse_robots, parse_sitemap, robots_arrays, robots_sitemaps, sitemap_urls
 
 BODIES = {
@@ -121,3 +123,39 @@ def test_rules_without_rows_or_prefix(frame):
     urls = frame("url string", ("https://h.com/a",), (None,), ("no url",))
     for rules in (frame(schema), frame(schema, ("h.com", 1, False, None), (None, 1, False, "/"))):
         assert [r["allow"] for r in match_rules(urls, rules).collect()] == [True] * 3
+
+
+def test_long_chain_merges_its_visited_tables(spark, monkeypatch):
+    """A chain with links back and a random graph against a queue, with so few runs that merges happen."""
+    monkeypatch.setattr(C, "RUNS", 2)
+    rng = random.Random(5)
+    pairs = {("c", str(n), str(m)) for n in range(9) for m in (n + 1, n // 2)} | {
+        ("r", str(rng.randrange(40)), str(rng.randrange(40))) for _ in range(70)}
+    seeds = {("c", "0"), ("r", "0")}
+    want, now, depth = {}, seeds, 0
+    while now:
+        want.update({k: depth for k in now})
+        now = {(s, d) for s, a, d in pairs if (s, a) in now} - set(want)
+        depth += 1
+    edges = spark.createDataFrame([(*p, 0) for p in pairs], "site_id string, src string, dst string, pos int")
+    got = C.crawl_frontier(edges, spark.createDataFrame(sorted(seeds), "site_id string, url string"))
+    assert sorted(map(tuple, got.collect())) == sorted((s, u, d) for (s, u), d in want.items())
+    assert len(want) > 20 and depth > 8
+
+
+def test_levels_join_visited_tables_where_they_lie(spark):
+    """Above the size of a broadcast, neither the links nor the visited URLs are exchanged."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select(F.lit("s").alias("site_id"), F.col("id").cast("string").alias("url"))
+        visited = durable_buckets(rows, C.KEY, 8)
+        links = durable_buckets(rows.withColumn("dst", F.lit("x")), C.KEY, 8)
+        joined = visited.join(links, C.KEY)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        new = spark.range(2000).select(F.concat(F.lit("s"), (F.col("id") % 1).cast("string")).alias("site_id"), F.col("id").cast("string").alias("url"))
+        plan = C.minus_visited(C.minus_visited(new.distinct(), visited), visited)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        assert joined.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
