@@ -51,6 +51,16 @@ def streamed_pages(spark, sf_dir):
     return spark.read.parquet(out).select("site_id", "crawl_seq", "url", F.col("word_count").cast("long").alias("word_count"))
 
 
+@query(f"WITH {I.TEXTS} SELECT site_id, crawl_seq, url, CASE WHEN text_content = '' THEN 0 ELSE len(string_split(text_content, ' ')) END AS word_count FROM t")
+def pages_taken_once(spark, sf_dir):
+    """The stored pages streamed in twice, the second time by a stream that knows nothing of the first: each is stored once."""
+    out = scratch_path(spark, "pages")
+    for run in ("first", "again"):
+        arriving = intake.arriving_pages(spark, sf_dir, glob="pages.parquet")
+        intake.take_pages(arriving, out, f"{out}-log-{run}").awaitTermination()
+    return intake.read_pages_taken(spark, out).select("site_id", "crawl_seq", "url", F.col("word_count").cast("long").alias("word_count"))
+
+
 def _children(spark, sf_dir):
     orders = I.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("job_id"), "o_orderstatus")
     return {"calendar_items": orders, "briefs_generated": orders.filter("o_orderstatus = 'F'"),

@@ -388,6 +388,32 @@ def test_streamed_pages_once(spark, frame, tmp_path):
     assert sorted(r["url"] for r in rows.collect()) == ["https://s/a", "https://s/b"]
 
 
+def test_pages_taken_once_however_late(spark, frame, tmp_path):
+    schema, source, out = "page_id long, url string, html string", str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*rows):
+        frame(schema, *rows).coalesce(1).write.mode("append").parquet(source)
+
+    def take(checkpoint):
+        intake.take_pages(intake.arriving_pages(spark, source), out, str(tmp_path / checkpoint)).awaitTermination()
+        return [(r["crawl_seq"], r["url"], r["title"]) for r in intake.read_pages_taken(spark, out).collect()]
+
+    arrive((2, "https://s/a", "<title>second</title>"), (1, "https://s/a", "<title>A</title>"), (1, "https://s/a", "<title>A</title>"),
+           (3, "https://s/b", "<title>B</title>"), (4, None, "<title>none</title>"), (5, "https://s/empty", ""))
+    first = [(1, "https://s/a", "A"), (3, "https://s/b", "B"), (4, None, "none")]
+    key = lambda rows: sorted(map(repr, rows))
+    assert key(take("ck")) == key(first)
+    arrive((9, "https://s/a", "<title>late</title>"), (10, "https://s/c", "<title>C</title>"))
+    both = first + [(10, "https://s/c", "C")]
+    assert key(take("ck")) == key(both)
+    # the last batch fails before its commit and is run again
+    (tmp_path / "ck" / "commits" / "1").unlink()
+    (tmp_path / "ck" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert key(take("ck")) == key(both)
+    # a stream that knows nothing of the first
+    assert key(take("other")) == key(both)
+
+
 def test_no_join_is_hinted(spark, frame):
     """Robots files that repeat, and a dictionary made by explode, compress to next to nothing: their estimates prove nothing."""
     rules = spark.range(2000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("seq"),
