@@ -116,7 +116,7 @@ def durable_buckets(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "buckets")
     name = "sitelode_" + uuid.uuid4().hex
-    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
     WRITTEN.append(path)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
