@@ -100,14 +100,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def durable_layout(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: like :func:`durable`, but keeps the hash partitioning for repeated joins."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def durable_buckets(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """Like :func:`durable`, in ``buckets`` buckets by the hash of ``keys``: joins on the keys read it without a shuffle.
 
