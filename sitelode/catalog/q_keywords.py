@@ -22,6 +22,11 @@ def candidate_terms(spark, sf_dir):
     return K.candidate_terms(I.docs(spark, sf_dir))
 
 
+@query(f"WITH {I.DOCS}, {_TERMS} SELECT site_id, term, volume FROM terms WHERE volume >= 5")
+def frequent_terms(spark, sf_dir):
+    return K.candidate_terms(I.docs(spark, sf_dir), min_volume=5)
+
+
 _SCORE = "ln(1 + volume) * (1 - ads_competition) * (1 - difficulty_proxy / 100)"
 
 

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions.urls import last_segment_phrase, url_part
 from ..lexicons import DEFAULT, Lexicon, group_count
 from ..session import durable
-from .grams import known_grams, normal_term, term_lengths
+from .grams import known_grams, normal_term
 from .ranking import first_pages
 
 _NO_VALUES = "array<string>"
@@ -133,16 +133,11 @@ def trigger_service_values(text, lexicon: Lexicon = DEFAULT, max_words: int = 4)
     return F.flatten(F.transform(found, lambda m: noun_phrases(m, lexicon.noun_stopwords, max_words)))
 
 
-def trigger_location_candidates(text, lexicon: Lexicon = DEFAULT, lengths: Sequence[int] = (1, 2, 3)) -> Column:
-    """Phrases of ``lengths`` words right after a location trigger, lower case, edge punctuation removed."""
-    def heads(match: Column) -> Column:
-        tokens = F.transform(T.words(match), T.strip_punctuation)
-        return F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.size(tokens)),
-                           lambda n: F.array_join(F.slice(tokens, F.lit(1), n), " "))
-
+def trigger_location_phrases(text, lexicon: Lexicon = DEFAULT) -> Column:
+    """What follows a location trigger up to the next stop, as lower-case words without edge punctuation."""
     found = T.let(F.lower(text), lambda low: _all(
         _matches(low, rf"(?U)\b(?:{p})\s+([^.;,]+)", 1) for p in lexicon.location_triggers))
-    return F.flatten(F.transform(F.filter(found, lambda m: F.trim(m) != ""), heads))
+    return F.transform(F.filter(found, lambda m: F.trim(m) != ""), lambda m: F.transform(T.words(m), T.strip_punctuation))
 
 
 def heading_service_values(h2, lexicon: Lexicon = DEFAULT) -> Column:
@@ -279,21 +274,25 @@ def _dictionary(entity_dict: DataFrame) -> DataFrame:
 
 
 def trigger_locations(pages: DataFrame, entity_dict: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Places of the dictionary named right after a location trigger, of as many words as its places have."""
-    places = durable(_dictionary(entity_dict.filter(F.col("label").isin("GPE", "LOC"))))
-    lengths = term_lengths(places, "_term")
-    if not lengths:
-        return explode_facet(pages, "locations", _none()).limit(0)
-    heads = explode_facet(pages, "locations",
-                          F.array_distinct(trigger_location_candidates(F.col("text_content"), lexicon, lengths)))
-    return heads.join(places, heads["value"] == places["_term"]).select(
-        "site_id", "url", "facet", F.col("term").alias("value"))
+    """Places of the dictionary named right after a location trigger, each once per page, of as many words as its places have.
+
+    The first word after the trigger tells which numbers of words are tried, so phrases that begin no place go first.
+    """
+    places = _dictionary(entity_dict.filter(F.col("label").isin("GPE", "LOC"))).select("_term", "term")
+    words = F.split("_term", " ")
+    lengths = places.groupBy(F.get(words, F.lit(0)).alias("_first")).agg(F.collect_set(F.size(words)).alias("_lengths"))
+    heads = explode_facet(pages, "locations", F.array_distinct(trigger_location_phrases(F.col("text_content"), lexicon))).join(
+        lengths, F.get("value", F.lit(0)) == F.col("_first"))
+    tried = F.transform(F.filter("_lengths", lambda n: n <= F.size("value")),
+                        lambda n: F.array_join(F.slice("value", F.lit(1), n), " "))
+    return heads.select("site_id", "url", "facet", F.explode(tried).alias("_term")).join(places, "_term").select(
+        "site_id", "url", "facet", F.col("term").alias("value")).distinct()
 
 
 def match_entities(pages: DataFrame, entity_dict: DataFrame, head_chars: int | None = None) -> DataFrame:
     """Dictionary terms found in each page, of any number of words: ``site_id, url, label, term``.
 
-    Each page is reduced to its distinct n-grams of the lengths that the dictionary has before the equi-join. Both sides
+    Each page is reduced to the n-grams around words under which the dictionary files its terms before the equi-join. Both sides
     are lower-case words without edge punctuation. Whole texts are searched; ``head_chars=5000`` limits
     the search to the head of each page.
     """

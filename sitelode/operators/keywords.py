@@ -7,6 +7,7 @@ is stated at each operator.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,7 +15,7 @@ from ..functions import text as T
 from ..lexicons import NOUN_STOPWORDS
 from ..functions.urls import url_join, url_part, url_root
 from ..session import durable
-from .grams import known_grams, normal_term
+from .grams import frequent_grams, known_grams, normal_term
 from .ranking import top_n
 from .similar import similar_sets
 
@@ -30,13 +31,19 @@ def page_terms(pages: DataFrame, n: tuple[int, int] = (1, 3), stopwords: Sequenc
         "site_id", "url", F.explode(F.array_distinct(T.ngrams(F.col("_t"), *n, edge_stopwords=stopwords))).alias("term"))
 
 
-def candidate_terms(pages: DataFrame, n: tuple[int, int] = (1, 3),
-                    stopwords: Sequence[str] = NOUN_STOPWORDS) -> DataFrame:
-    """``site_id, term, volume``: number of pages that contain each term.
+def candidate_terms(pages: DataFrame, n: tuple[int, int] = (1, 3), stopwords: Sequence[str] = NOUN_STOPWORDS,
+                    min_volume: int = 1) -> DataFrame:
+    """``site_id, term, volume``: number of pages that contain each term, for terms of ``min_volume`` pages or more.
 
     Terms are distinct within a page first, so document frequency is a plain count that merges
-    before the shuffle.
+    before the shuffle. With a ``min_volume`` above 1 only n-grams whose parts reach it are counted (:func:`frequent_grams`).
     """
+    if min_volume > 1:
+        tokens = durable(pages.select("site_id", T.plain_tokens("text_content").alias("_t")))
+        levels = frequent_grams(tokens, "_t", ["site_id"], n[1], min_volume)[n[0] - 1:]
+        words = F.split("term", " ")
+        return reduce(DataFrame.unionByName, levels).filter(
+            ~F.get(words, F.lit(0)).isin(*stopwords) & ~F.element_at(words, -1).isin(*stopwords))
     return page_terms(pages, n, stopwords).groupBy("site_id", "term").agg(F.count(F.lit(1)).alias("volume"))
 
 
@@ -57,7 +64,7 @@ def _term_hits(keys: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct ``site_id, term`` of ``keys`` (normalised terms of any length) that occur on a page of their site."""
     keys = durable(keys.filter(F.col("term") != "").distinct())
     tokens = pages.select("site_id", T.plain_tokens("text_content").alias("_t"))
-    return known_grams(tokens, "_t", keys, "term").join(keys, ["site_id", "term"], "left_semi").distinct()
+    return known_grams(tokens, "_t", keys, "term", ["site_id"]).distinct().join(keys, ["site_id", "term"], "left_semi")
 
 
 def site_evidence(keywords: DataFrame, pages: DataFrame) -> DataFrame:
