@@ -22,7 +22,7 @@ def latest_job_states(spark, sf_dir):
 def streamed_job_states(spark, sf_dir):
     """The same states from a stream over the event file, run until its input is used up."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(schema).parquet(I.stream_path(sf_dir, "events"))
     out = scratch_path(spark, "states")
     J.start_state_stream(I.to_job_log(events), out, f"{out}-log").awaitTermination()
     return J.read_states(spark, out)
@@ -46,7 +46,7 @@ def job_durations(spark, sf_dir):
 def streamed_pages(spark, sf_dir):
     """Incremental intake of the stored pages."""
     out = scratch_path(spark, "pages")
-    parsed = intake.parse_stream(intake.stream_pages(spark, sf_dir, glob="pages.parquet"))
+    parsed = intake.parse_stream(intake.stream_pages(spark, I.stream_path(sf_dir, "pages")))
     intake.write_stream(parsed, out, f"{out}-log").awaitTermination()
     return spark.read.parquet(out).select("site_id", "crawl_seq", "url", F.col("word_count").cast("long").alias("word_count"))
 
@@ -56,7 +56,7 @@ def pages_taken_once(spark, sf_dir):
     """The stored pages streamed in twice, the second time by a stream that knows nothing of the first: each is stored once."""
     out = scratch_path(spark, "pages")
     for run in ("first", "again"):
-        arriving = intake.arriving_pages(spark, sf_dir, glob="pages.parquet")
+        arriving = intake.arriving_pages(spark, I.stream_path(sf_dir, "pages"))
         intake.take_pages(arriving, out, f"{out}-log-{run}").awaitTermination()
     return intake.read_pages_taken(spark, out).select("site_id", "crawl_seq", "url", F.col("word_count").cast("long").alias("word_count"))
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sitelode.catalog import QUERIES
 from sitelode.config import RunConfig
 from sitelode.operators import facets as X, keywords as K, parse as P, reports as A
 from sitelode.operators.quality import rule_counts, rules_for, validate
@@ -414,6 +415,23 @@ def test_pages_taken_once_however_late(spark, frame, tmp_path):
     assert key(take("other")) == key(both)
 
 
+@pytest.mark.parametrize("folder", [True, False])
+def test_streams_read_tables_stored_as_a_folder_or_a_file(spark, frame, tmp_path, folder):
+    frame("page_id long, url string, html string", (1, "https://s/a", "<p>one two"), (2, "https://s/b", "<p>three"), (3, "https://s/c", None)).coalesce(
+        1).write.parquet(str(tmp_path / "pages.parquet"))
+    frame("event_id long, ts timestamp, user_id long, event_type string, props string", (1, TS, 7, "click", None)).coalesce(
+        1).write.parquet(str(tmp_path / "events.parquet"))
+    if not folder:
+        for name in ("pages", "events"):
+            (part,) = (tmp_path / f"{name}.parquet").glob("part-*.parquet")
+            (tmp_path / "files").mkdir(exist_ok=True)
+            (tmp_path / "files" / f"{name}.parquet").write_bytes(part.read_bytes())
+    source = str(tmp_path if folder else tmp_path / "files")
+    for name in ("streamed_pages", "pages_taken_once"):
+        assert sorted((r["url"], r["word_count"]) for r in QUERIES[name](spark, source).collect()) == [("https://s/a", 2), ("https://s/b", 1)]
+    assert [r["job_id"] for r in QUERIES["streamed_job_states"](spark, source).collect()] == ["7"]
+
+
 def test_no_join_is_hinted(spark, frame):
     """Robots files that repeat, and a dictionary made by explode, compress to next to nothing: their estimates prove nothing."""
     rules = spark.range(2000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("host"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("seq"),
