@@ -42,6 +42,15 @@ def test_known_grams_hold_every_term(spark, monkeypatch, most_bits):
         assert len(rows) - len(want) < grams / 10
 
 
+def test_no_row_carries_the_bit_table_and_grams_are_made_once(spark):
+    df = spark.createDataFrame([("a", ["x", "y"])], "site string, t array<string>")
+    keys = spark.createDataFrame([("a", "x y")], "site string, term string")
+    plan = G.known_grams(df, "t", keys, "term", ["site"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "Join Cross" not in plan and "slice(" not in plan
+    (made,) = [line for line in plan.splitlines() if "scalar-subquery" in line]
+    assert "transform(" in made
+
+
 def test_known_grams_without_terms(spark):
     df = spark.createDataFrame([("u", ["a"])], "url string, t array<string>")
     none = spark.createDataFrame([], "term string")
