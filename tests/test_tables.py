@@ -263,6 +263,21 @@ def test_export(spark, frame, tmp_path):
     assert "drafts" not in export_tables(tables, include_drafts=False)
 
 
+def test_export_keeps_no_second_copy(spark, frame, tmp_path):
+    """The rendered tables that outputs share go when a run is written, or failed; JSON lines are compressed and read back whole."""
+    names = frame("site_id string, name string", ("s", "Tea & Co"))
+    tables = {"briefs": spark.createDataFrame([brief()], BRIEFS)}
+    before = set(WRITTEN)
+    assert tuple(export_jobs(tables, str(tmp_path), names, F.lit(TS)).first()) == ("s", 1, 0)
+    with pytest.raises(FileExistsError):
+        export_jobs(tables, str(tmp_path), names, F.lit(TS))
+    left = [t for t in WRITTEN if t not in before]
+    assert left and not any("filename" in spark.read.parquet(t).columns for t in left)
+    assert list(tmp_path.glob("briefs/run=*/client_slug=*/run_ts=*/*.json.gz")) and not list(tmp_path.glob("briefs/run=*/client_slug=*/run_ts=*/*.json"))
+    (read,) = runs.read_export(spark, str(tmp_path), "briefs", "site_id string, content string").collect()
+    assert read["content"] == R.render_briefs(tables["briefs"]).first()["content"]
+
+
 def test_layout_keeps_other_clients_and_runs(spark, frame, values, tmp_path):
     path = str(tmp_path / "layout")
     table = lambda site, text: frame("site_id string, content string", (site, text), (site, text + "!"))
