@@ -89,3 +89,21 @@ def test_table_of_marks_is_bounded(spark):
     seen = spark.range(2000).join(F.broadcast(table)).filter(F.expr(G.is_marked("words", "xxhash64(id)", 1024)))
     ids = {r["id"] for r in seen.select("id").collect()}
     assert set(range(50)) <= ids and len(ids) < 300
+
+
+def test_terms_are_dealt_before_they_are_counted(spark, frame, monkeypatch):
+    """Terms go to as many partitions as the texts ask for, and no task counts them before that; counts as by brute force."""
+    monkeypatch.setattr(K, "TERM_CHARS", 100, raising=False)
+    rng = random.Random(3)
+    pages = [(rng.choice(["a", "b", None]), f"u{i % 30}", " ".join(rng.choice(["x", "Y,", "z", "the", "of"]) for _ in range(rng.choice([0, 1, 2, 40]))))
+             for i in range(60)] + [("a", "u", None)]
+    df = K.candidate_terms(frame("site_id string, url string, text_content string", *pages))
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Aggregate") < plan.index("REPARTITION_BY_NUM") and "Aggregate" not in plan[plan.index("REPARTITION_BY_NUM"):]
+    assert df.rdd.getNumPartitions() > 8
+    want = Counter()
+    for site, _, text in pages:
+        words = [w.strip(",").lower() for w in (text or "").split()]
+        grams = {tuple(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+        want.update((site, " ".join(g)) for g in grams if not {g[0], g[-1]} & {"the", "of"})
+    assert {(r["site_id"], r["term"]): r["volume"] for r in df.collect()} == want
