@@ -510,3 +510,23 @@ def test_inputs_are_spread_by_setting_only(spark):
         assert spread(one, "id")._jdf.queryExecution().toRdd().getNumPartitions() == 3
     finally:
         spark.conf.unset(INPUT_PARTITIONS)
+
+
+def test_components_shrink(spark, frame, monkeypatch):
+    """A long chain of names in no order, and a hub: rounds write less and less, not every node again."""
+    rng = random.Random(7)
+    names = [f"n{i:03d}" for i in rng.sample(range(600), 300)]
+    links = [(x, i + k) for i, x in enumerate(names) for k in (0, 1)] + [(f"z{i}", -1) for i in range(60)] * 2
+    rows = [(("s" if n[0] == "n" else None, n), f"g{s}") for n, s in links] + [(None, "g5"), (("s", "alone"), "own"), (("s", "unlinked"), None)]
+    written, plain = [], K.durable
+
+    def counting(df):
+        table = plain(df)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(K, "durable", counting)
+    got = K.connected_labels(frame("node struct<site_id:string,term:string>, sig string", *rows)).collect()
+    assert {(r["node"]["term"], r["label"]["term"]) for r in got} == {
+        *((n, min(names)) for n in names), *((f"z{i}", "z0") for i in range(60)), ("alone", "alone")}
+    assert len(got) == 361 and sum(written) <= 7 * len(rows)
