@@ -107,3 +107,20 @@ def test_terms_are_dealt_before_they_are_counted(spark, frame, monkeypatch):
         grams = {tuple(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
         want.update((site, " ".join(g)) for g in grams if not {g[0], g[-1]} & {"the", "of"})
     assert {(r["site_id"], r["term"]): r["volume"] for r in df.collect()} == want
+
+
+@pytest.mark.parametrize(("n", "stopwords"), [((1, 3), K.NOUN_STOPWORDS), ((2, 4), ())])
+def test_terms_of_one_first_word_are_one_row(spark, frame, values, monkeypatch, n, stopwords):
+    """What is shuffled is one row for the terms that begin at a word, not one for each; pages in large parts are dealt first; same terms."""
+    monkeypatch.setattr(K, "PAGE_CHARS", 500)
+    rng = random.Random(11)
+    words = ["the", "of", "a+b", "é1", "x", "xy", "x.y", "+", "Z,"]
+    pages = [(rng.choice(["a", "b", None]), rng.choice([f"u{i}", None]), " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 80])))) for i in range(20)]
+    df = frame("site_id string, url string, text_content string", *pages, *pages[:5], ("a", "u", None))
+    one = df.limit(1).select(F.lit("a").alias("site_id"), F.lit("u").alias("url"), F.lit("x y z the x y w x y").alias("text_content"))
+    assert K.term_runs(one).count() == 6
+    assert K.term_runs(df, n, stopwords).count() <= df.agg(F.sum(F.size(F.split("text_content", " ")))).first()[0]
+    want = K.page_terms(df, n, stopwords).groupBy("site_id", "term").agg(F.count(F.lit(1)).alias("volume"))
+    got = K.candidate_terms(df, n, stopwords)
+    assert got.columns == ["site_id", "term", "volume"] and got.count() == want.count() > 10
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
