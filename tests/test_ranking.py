@@ -2,6 +2,7 @@
 from pyspark.sql import Window, functions as F
 
 from sitelode.operators import ranking as R
+from sitelode.session import WRITTEN
 
 
 def rows(spark):
@@ -45,3 +46,19 @@ def test_top_n_beyond_group_limit(spark):
     df = rows(spark)
     got = R.top_n(df, ["site_id"], ["crawl_seq", "url"], 1500)
     assert got.filter("site_id = 'hot'").count() == 1500
+
+
+def test_long_rows_are_ranked_in_small_ranges_and_written_once(spark, monkeypatch):
+    """Texts count for the number of ranges; one table is written, in which groups lie together. Null groups and equal keys have positions too."""
+    monkeypatch.setattr(R, "RANGE_CHARS", 20_000, raising=False)
+    df = spark.range(2000).select(
+        F.when(F.col("id") % 5 < 4, (F.col("id") % 5 % 2).cast("string")).alias("site_id"), F.expr("nullif(id % 300, 0)").alias("k"),
+        F.when(F.col("id") % 9 > 0, F.repeat(F.lit("x"), F.lit(100))).alias("text"))
+    before = len(WRITTEN)
+    got = R.rank_rows(df, ["site_id"], ["k"])
+    assert len(WRITTEN) == before + 1 and len(set(got.inputFiles())) >= 8
+    by_group = Window.partitionBy("site_id")
+    wrong = got.withColumn("n", F.count(F.lit(1)).over(by_group)).withColumn("r", F.rank().over(by_group.orderBy("k"))).withColumn(
+        "after", F.lead("idx").over(by_group.orderBy("idx"))).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("site_id", "k")))
+    assert wrong.filter("idx < r or idx >= r + ties or idx > n or after <> idx + 1").isEmpty()
+    assert got.drop("idx").exceptAll(df).isEmpty() and got.count() == 2000 == got.select("site_id", "idx").distinct().count()

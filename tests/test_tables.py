@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from sitelode.catalog import QUERIES
 from sitelode.config import RunConfig
 from sitelode.operators import facets as X, keywords as K, parse as P, reports as A
+from sitelode.operators.ranking import rank_rows
 from sitelode.operators.quality import rule_counts, rules_for, validate
 from sitelode.operators.similar import similar_sets
-from sitelode.plans import runs
+from sitelode.plans import export, runs
 from sitelode.plans.export import export_jobs, export_tables
 from sitelode.schema import BRIEFS, DRAFTS, KEYWORDS
 from sitelode.operators.robots_filter import match_rules
@@ -278,6 +279,29 @@ def test_export_keeps_no_second_copy(spark, frame, tmp_path):
     assert read["content"] == R.render_briefs(tables["briefs"]).first()["content"]
 
 
+def test_export_writes_contents_to_their_files_only(spark, frame, tmp_path, monkeypatch):
+    """No table between steps holds rendered contents, and rows that lie by client are not moved to be written."""
+    kept, durable = [], export.durable
+    monkeypatch.setattr(export, "durable", lambda df, *a: kept.append(df.columns) or durable(df, *a))
+    names = frame("site_id string, name string", ("s", "Tea & Co"), ("t", "T"))
+    tables = {"briefs": spark.createDataFrame([brief()], BRIEFS), "drafts": spark.createDataFrame([("s", 1, "b", "Body", 1, 70.0, True, True, True, True, [], TS)], DRAFTS)}
+    assert tuple(export_jobs(tables, str(tmp_path), names, F.lit(TS)).first()) == ("s", 1, 1)
+    assert kept and not any("content" in columns for columns in kept)
+    open_files = spark.conf.get(W.OPEN_FILES)
+    site = F.when(F.col("id") < 600, "s").when(F.col("id") < 990, "t")
+    lie = durable(spark.range(1000).select(site.alias("site_id"), F.col("id").cast("string").alias("content")).repartitionByRange(8, "content").sortWithinPartitions("content"))
+    apart = lie.repartition(40, "content")
+    ranked = rank_rows(apart, ["site_id"], ["content"], range_rows=100)
+    for i, (df, most) in enumerate(((ranked, 40), (apart, 3))):
+        W.write_layout(df, path := str(tmp_path / f"layout{i}"), names, F.lit(TS), "json", lying=True)
+        back = spark.read.schema("site_id string, content string, client_slug string").json(path)
+        assert back.select("site_id", "content").exceptAll(lie).isEmpty() and back.count() == 1000
+        assert back.groupBy("client_slug").count().exceptAll(spark.createDataFrame([("tea-co", 600), ("t", 390), ("client", 10)], "c string, n long")).isEmpty()
+        assert 3 <= len(set(back.inputFiles())) <= most
+        assert W.lies_by_client(R.client_layout(df, names, F.lit(TS))) == (df is ranked)
+    assert spark.conf.get(W.OPEN_FILES) == open_files
+
+
 def test_layout_keeps_other_clients_and_runs(spark, frame, values, tmp_path):
     path = str(tmp_path / "layout")
     table = lambda site, text: frame("site_id string, content string", (site, text), (site, text + "!"))
